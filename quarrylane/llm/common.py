@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,17 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return near.unionByName(far)
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``limit`` bytes in the column numbered ``text``, or one row."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        start = size = 0
+        for i, n in enumerate(sizes):
+            if i > start and size + n > limit:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < len(sizes):
+            yield batch.slice(start)

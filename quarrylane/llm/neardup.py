@@ -18,7 +18,9 @@ linked if
   on size classes finds those pairs.
 
 Smaller buckets of up to FEW members are compared in full, larger ones get hubs of their own in
-the next round, until no bucket holds two components.
+the next round, until no bucket holds two components. Those that come from one bucket and choose
+the same hub are one bucket again, so that what two sets share in many shingles isn't carried on
+many times; it lacks the earlier hub, so buckets only shrink and rounds come to an end.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import bloom
-from quarrylane.llm.common import attach, stash, text_of
+from quarrylane.llm.common import attach, portions, stash, text_of
 
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared without another hub.
@@ -107,7 +109,7 @@ def fingerprint(s: np.ndarray) -> str:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
@@ -121,7 +123,7 @@ def _sign(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             sets = shingle_sets(batch.column(0).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) if len(s) else "" for s in sets]), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["print", "shingles"])
 
@@ -177,7 +179,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     members = _open(nodes.select("node", F.explode("bands").alias("key")).withColumn("comp", F.col("node")))
-    members = stash(members.select("key", "node", "m"), "buckets")
+    members = stash(members.select(F.col("key").alias("parent"), "key", "node", "m"), "buckets")
     involved = stash(members.groupBy("node").agg(F.sum("m").alias("mates")).join(nodes.select("node", "print", "n_shingles", "first_id"), "node"), "involved")
     sets = _involved_sets(rows, involved, width)
     links: list[DataFrame] = []
@@ -185,11 +187,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     while True:
         compared, seated = _compare_hubs(members, sets, threshold)
         links.append(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        labels = components(reduce(DataFrame.unionByName, links))
+        if labels is None or links[-1].limit(1).count():
+            labels = components(reduce(DataFrame.unionByName, links))
         pairs, members = _what_is_left(compared, seated, labels, threshold)
         links.append(_verify(pairs, sets, threshold).filter("linked").select("a", "b"))
-        labels = components(reduce(DataFrame.unionByName, links))
-        members = stash(_open(_with_comp(members, labels)).select("key", "node", "m"), "buckets")
+        if links[-1].limit(1).count():
+            labels = components(reduce(DataFrame.unionByName, links))
+        if not members.limit(1).count():
+            break
+        members = stash(_open(_with_comp(members, labels)).select("parent", "key", "node", "m"), "buckets")
         if not members.limit(1).count():
             break
 
@@ -232,7 +238,8 @@ def _compare_hubs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
     """Each bucket's hub against the rest; and the other members with their hub."""
     ranked = members.join(sets.select("node", "mates"), "node")
     hubs = stash(ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("low"))).alias("top"), F.max("m").alias("m")).select("key", (-F.col("top.low")).alias("hub"), "m"), "hubs")
-    seated = stash(attach(members.select("key", "node"), hubs, "key", "m", max(1, members.count())).filter("node <> hub").select("key", "hub", "node"), "seated")
+    seated = attach(members.select("parent", "key", "node"), hubs, "key", "m", max(1, members.count())).filter("node <> hub")
+    seated = stash(seated.select(F.xxhash64("parent", "hub").alias("key"), "hub", "node").distinct(), "seated")
     pairs = seated.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     return _verify(pairs, sets, threshold).withColumnsRenamed({"a": "hub", "b": "node"}), seated
 
@@ -242,8 +249,8 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     num, den = threshold
     rest = _open(_with_comp(seated, labels)).select("key", "hub", "node", "comp").join(compared, ["hub", "node"])
     rest = stash(rest.select("key", "node", "comp", "n", "common", "linked", "outside"), "rest")
-    shared = rest.select(F.explode("outside").alias("s"), "key", "node", "comp", "n", "common", "linked")
-    shared = _open(shared.withColumn("key", F.xxhash64("key", "s")).drop("s"))
+    shared = rest.select(F.explode("outside").alias("s"), F.col("key").alias("parent"), "node", "comp", "n", "common", "linked")
+    shared = _open(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"))
     shared = stash(shared, "shared")
     x = shared.filter(F.col("m") <= FEW).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common", "linked")])
     y = x.select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("node", "comp", "n", "common", "linked")])
@@ -261,7 +268,7 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     fits = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_common", "y_common") * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
     by_size = loose.join(mates, ["key", "c"]).filter(fits).select("x_node", "y_node")
     pairs = by_shingle.unionByName(by_size).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return pairs, shared.filter(F.col("m") > FEW).select("key", "node")
+    return pairs, shared.filter(F.col("m") > FEW).select("parent", "key", "node")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
