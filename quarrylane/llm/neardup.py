@@ -224,8 +224,12 @@ def _involved_sets(rows: DataFrame, involved: DataFrame, width: int) -> DataFram
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) compared on their full sets: sizes, common, linked, b's shingles outside a."""
     num, den = threshold
+    pairs = stash(pairs, "pairs")
     hub = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n"), F.col("shingles").alias("a_set"))
     own = sets.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("shingles").alias("b_set"))
+    # later rounds need few of the sets
+    hub = hub.join(pairs.select("a").distinct(), "a", "left_semi")
+    own = own.join(pairs.select("b").distinct(), "b", "left_semi")
     both = pairs.join(own, "b").join(hub, "a").withColumn("common", F.size(F.array_intersect("b_set", "a_set")).cast("long"))
     linked = den * F.col("common") >= num * (F.col("n") + F.col("a_n") - F.col("common"))
     needed = F.ceil(F.lit(num) * F.col("n") / F.lit(den))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylane.llm import bpe, dedup, mixing, neardup, quality
+from quarrylane.llm import bpe, dedup, mixing, neardup, quality, secrets, tokens, urls
 from quarrylane.llm.common import table
 from quarrylane.session import ship
 
@@ -57,3 +57,43 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    kinds = []
+    for place, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        ok = f"length(regexp_extract(found[i], '{pattern}', 2)) >= {r.least}" if r.least else "true"
+        kinds.append(f"""
+  SELECT doc_id, {place} AS place, '{r.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(found) + 1), lambda i: struct_pack(
+    s := list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0), n := length(found[i]), ok := {ok})), lambda m: m.ok)) AS m
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS gaps FROM t) WHERE len(found) > 0""")
+    name = "kind || ':' || s || ':' || e"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, place, kind, m.s::BIGINT AS s, (m.s + m.n)::BIGINT AS e FROM ({" UNION ALL ".join(kinds)})),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg({name}, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg({name}, ',' ORDER BY s, place) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES["op1_secret_scan"] = _secrets_sql()
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled(spark))
+    return urls.judge(table(spark, sf_dir, "pages"), model).drop("score")
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
