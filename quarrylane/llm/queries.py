@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylane.llm import bpe, dedup, mixing, neardup, quality, secrets, tokens, urls
+from quarrylane.llm import bpe, dedup, mixing, neardup, quality, secrets, tokens, toxicity, urls, warc
 from quarrylane.llm.common import table
 from quarrylane.session import ship
 
@@ -97,3 +97,23 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_legacy_archives"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT page_id, n, d, first_value(page_id) OVER w AS lead, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY d ORDER BY page_id NULLS LAST))
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN lead END AS refers_to
+FROM f
+"""
