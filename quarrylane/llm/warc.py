@@ -12,6 +12,7 @@ file holds a bounded number of records and is parsed as a whole.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -73,11 +74,11 @@ def _to_arc(version: int, per_file: int):
     return run
 
 
-def write_arc(pages: DataFrame, folder: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_arc(pages: DataFrame, folder: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "gzip") -> None:
     """Write ARC files of one version with an HTTP response for each row (null html: empty)."""
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
     per_file = records_per_file(rows, text_of(html_col))
-    rows.mapInArrow(_to_arc(version, per_file), "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).mode("append").text(folder)
+    rows.mapInArrow(_to_arc(version, per_file), "value string").write.option("lineSep", "\n").option("compression", compression).option("maxRecordsPerFile", per_file).mode("append").text(folder)
 
 
 @dataclass
@@ -114,6 +115,11 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             at = end + 1
 
 
+def plain(data: bytes) -> bytes:
+    """An archive's bytes, without gzip."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def iso_date(stamp: str) -> str:
     """14 digits (shorter ones are filled up) as an ISO time in UTC."""
     s = (stamp + "00000101000000"[len(stamp) :])[:14]
@@ -143,7 +149,7 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows: list[tuple] = []
             size = 0
-            for r in parse_arc(data.as_py()):
+            for r in parse_arc(plain(data.as_py())):
                 info = r.fields["URL"].startswith("filedesc://")
                 head, payload, http = (b"", r.block, {}) if info else http_parts(r.block)
                 name = r.fields["URL"] if info else f"{path.rsplit('/', 1)[-1]}#{r.offset}"
@@ -169,7 +175,7 @@ def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Colum
     return F.concat(*lines, F.lit("WARC-Block-Digest: sha256:"), F.sha2(block.cast("binary"), 256), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
+def convert(spark: SparkSession, arc_folder: str, warc_folder: str, compression: str = "none") -> None:
     """Write WARC files from ARC files.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, the one with the smallest page id
@@ -204,7 +210,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
     out = alone.unionByName(shared)
     mean = narrow.agg(F.avg("payload_bytes").alias("m")).first().m or 0
     per_file = int(max(2, min(MOST_RECORDS, ARCHIVE_BYTES // (mean + 1000))))
-    out.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(warc_folder)
+    out.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(warc_folder)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -231,7 +237,7 @@ def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for fields, block in parse_warc(data.as_py()):
+            for fields, block in parse_warc(plain(data.as_py())):
                 kind = fields["warc-type"]
                 if kind not in ("response", "revisit"):
                     continue
