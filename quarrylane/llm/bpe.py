@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from quarrylane.llm.common import text_of
 
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
@@ -49,21 +49,21 @@ class ForcedBoundaries:
         self.special_bytes = [s.encode() for s in self.special]
         self.token = {i: t for t, i in tokens.items()} | {i: t for t, i in self.special.items()}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> list[str]:
         """A word's byte symbols, cut at each pair that no token holds."""
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def word_ids(self, word: str) -> list[int]:
-        if (ids := self.words.get(word)) is None:
+    def word_ids(self, word: str) -> bytes:
+        if (packed := self.words.get(word)) is None:
             *heads, last = self.fragments(word)
             ids = [t.id for f in heads for t in self.inner.tokenize(f)] + [t.id for t in self.final.tokenize(last)]
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
-            self.words[word] = ids
-        return ids
+            packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
     def chunk(self, raw: bytes) -> tuple[bytes, str]:
         """Ids of a chunk as little-endian 32-bit integers, and its decoded text."""
@@ -72,8 +72,8 @@ class ForcedBoundaries:
             words = WORDS.findall(text.lower())
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        ids = [i for w in words for i in self.word_ids(w)]
-        found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.token[i] for i in ids])
+        packed = b"".join([self.word_ids(w) for w in words])
+        found = packed, " ".join([self.token[i] for i in struct.unpack(f"<{len(packed) // 4}I", packed)])
         if len(self.chunks) >= REMEMBERED:
             self.chunks.clear()
         if len(raw) <= 200:
