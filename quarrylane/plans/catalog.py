@@ -4,7 +4,225 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarrylane.functions import measures as m
+from quarrylane.operators import portfolio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT c_custkey, round(c_acctbal * n / (n + 1), 4) AS score FROM (
+  SELECT c_custkey, any_value(c_acctbal) AS c_acctbal, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
+ORDER BY score DESC, c_custkey LIMIT 10""")
+def customer_score_top10(spark, d):
+    n = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = t(spark, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    scored = c.select("c_custkey", F.round(m.score(F.col("c_acctbal"), F.col("n"), F.col("n") + 1), 4).alias("score"))
+    return portfolio.top(scored, 10, "score", "c_custkey")
+
+
+@query("""SELECT o_orderkey, min(l_discount) AS least_discount, min(l_extendedprice) AS least_price, max(l_quantity) AS most_quantity
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def order_line_reconcile(spark, d):
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_discount").alias("least_discount"), F.min("l_extendedprice").alias("least_price"), F.max("l_quantity").alias("most_quantity"))
+    return t(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75,
+round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag""")
+def price_quantiles(spark, d):
+    q = lambda x: F.round(F.percentile("l_extendedprice", F.lit(x)), 4)
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.max("l_extendedprice").alias("most"))
+
+
+@query("SELECT l_orderkey, round(1 - product(1 - l_discount), 6) AS p_any FROM lineitem GROUP BY l_orderkey")
+def order_any_discount(spark, d):
+    rows = t(spark, d, "lineitem").withColumnRenamed("l_discount", "p")
+    return portfolio.at_least_one(rows, "l_orderkey").withColumn("p_any", F.round("p_any", 6))
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, round(median(o_totalprice), 4) AS median_price, count(*) FILTER (o_totalprice >= 200000) AS n_large, count(*) FILTER (o_totalprice < 20000) AS n_small
+FROM orders GROUP BY o_orderpriority HAVING count(*) >= 20""")
+def priority_profile(spark, d):
+    price = F.col("o_totalprice")
+    g = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.median(price), 4).alias("median_price"), F.count_if(price >= 200000).alias("n_large"), F.count_if(price < 20000).alias("n_small"))
+    return g.filter("n >= 20")
+
+
+@query("""WITH mo AS (SELECT l_linestatus, date_trunc('year', l_shipdate)::DATE AS year, date_trunc('month', l_shipdate)::DATE AS month,
+  sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS part, sum(l_quantity) AS whole FROM lineitem GROUP BY ALL),
+sh AS (SELECT *, sum(part) OVER w / sum(whole) OVER w AS share FROM mo WINDOW w AS (PARTITION BY l_linestatus, year ORDER BY month ROWS UNBOUNDED PRECEDING))
+SELECT l_linestatus, year::VARCHAR AS year, count(*) FILTER (share < 0.3) AS months_below, round(arg_max(share, month), 6) AS final_share FROM sh GROUP BY ALL""")
+def ytd_return_share(spark, d):
+    part = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
+    shares = portfolio.running_share(t(spark, d, "lineitem").withColumn("r", part), "l_linestatus", "l_shipdate", "r", "l_quantity")
+    return shares.withColumn("year", F.col("year").cast("string")).groupBy("l_linestatus", "year").agg(F.count_if(F.col("share") < 0.3).alias("months_below"), F.round(F.max_by("share", "month"), 6).alias("final_share"))
+
+
+@query("""WITH w AS (SELECT event_type, date_trunc('week', ts)::DATE AS week, sum(value) AS total, count(*) AS n FROM events GROUP BY ALL),
+f AS (SELECT *, date_diff('day', DATE '1970-01-05', week) // 7 - row_number() OVER (PARTITION BY event_type ORDER BY week) AS run FROM w WHERE n >= 2)
+SELECT event_type, week::VARCHAR AS week, held FROM (SELECT event_type, week, row_number() OVER (PARTITION BY event_type, run ORDER BY week) AS held FROM f) WHERE held >= 2""")
+def two_week_streaks(spark, d):
+    weeks = t(spark, d, "events").groupBy("event_type", F.date_trunc("week", "ts").cast("date").alias("week")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    held = portfolio.streaks(weeks.withColumn("over", F.col("n") >= 2), "event_type", "week", "over")
+    return held.select("event_type", F.col("week").cast("string").alias("week"), F.col("held").cast("long").alias("held"))
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+def customers_without_orders(spark, d):
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment""")
+def segments_with_orders(spark, d):
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT year(o_orderdate) AS year, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
+def status_by_year(spark, d):
+    counts = t(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey"))
+    return counts.fillna(0)
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def quantity_totals(spark, d):
+    return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, round(greatest(0.07 * o_totalprice, 5220), 6) AS floor_tax, round(0.15 * least(o_totalprice, 120000) + 0.35 * greatest(o_totalprice - 120000, 0), 6) AS bracket_tax,
+round(0.039 * o_totalprice + 0.4, 6) AS card_fee, round(least(0.007 * o_totalprice, 40), 6) AS capped_fee, round(greatest(0.0025 * o_totalprice, 25) + 10, 6) AS wire_fee,
+round(CASE WHEN o_totalprice < 500 THEN 15 ELSE 29 END + 0.02 * o_totalprice, 6) AS step_fee FROM orders""")
+def fee_schedule(spark, d):
+    x, r = F.col("o_totalprice"), lambda c: F.round(c, 6)
+    return t(spark, d, "orders").select("o_orderkey", r(m.tax_with_floor(x, 0.07, 5220.0)).alias("floor_tax"), r(m.two_brackets(x, 120000.0, 0.15, 0.35)).alias("bracket_tax"), r(m.fee_percent_fixed(x, 0.039, 0.4)).alias("card_fee"), r(m.fee_at_most(x, 0.007, 40.0)).alias("capped_fee"), r(m.fee_at_least(x, 0.0025, 25.0, 10.0)).alias("wire_fee"), r(m.fee_step(x, 500.0, 15.0, 29.0, 0.02)).alias("step_fee"))
+
+
+@query("""SELECT lang, sum(len(regexp_extract_all(coalesce(text, ''), '(license|public|version)')))::BIGINT AS hits, count(*) AS n FROM documents GROUP BY lang""")
+def keyword_counts(spark, d):
+    hits = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("(license|public|version)"))
+    return t(spark, d, "documents").groupBy("lang").agg(F.sum(hits).cast("long").alias("hits"), F.count("*").alias("n"))
+
+
+@query("""SELECT kind, count(*) AS n, round(sum(balance), 2) AS balance FROM (
+  SELECT 'customer' AS kind, c_acctbal AS balance, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_acctbal, s_nationkey FROM supplier) GROUP BY kind""")
+def union_streams(spark, d):
+    c = t(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = t(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance"))
+    return c.unionByName(s, allowMissingColumns=True).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+
+
+@query("SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def nations_left_over(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).exceptAll(t(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("""SELECT c_mktsegment, c_custkey, c_acctbal, place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 5""")
+def top5_per_segment(spark, d):
+    best = portfolio.top_per_group(t(spark, d, "customer"), "c_mktsegment", 5, "c_acctbal", "c_custkey")
+    return best.select("c_mktsegment", "c_custkey", "c_acctbal", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT c_mktsegment, round(sum(c_acctbal) / sum(sum(c_acctbal)) OVER (), 6) AS share FROM customer GROUP BY c_mktsegment")
+def share_of_total(spark, d):
+    total = F.sum(F.sum("c_acctbal")).over(Window.partitionBy())
+    return t(spark, d, "customer").groupBy("c_mktsegment").agg(F.sum("c_acctbal").alias("s"), (F.sum("c_acctbal") / total).alias("share")).select("c_mktsegment", F.round("share", 6).alias("share"))
+
+
+@query("""SELECT year, round(total / lag(total) OVER (ORDER BY year) - 1, 6) AS growth FROM (SELECT year(o_orderdate) AS year, sum(o_totalprice) AS total FROM orders GROUP BY 1)""")
+def yearly_growth(spark, d):
+    years = t(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.sum("o_totalprice").alias("total"))
+    return years.select("year", F.round(F.col("total") / F.lag("total").over(Window.orderBy("year")) - 1, 6).alias("growth"))
+
+
+@query("""WITH f AS (SELECT c_custkey, min(o_orderdate)::DATE AS first FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1)
+SELECT c_custkey, k AS day, count(o_orderkey) AS n FROM f CROSS JOIN (VALUES (14), (30), (45), (60), (90)) v(k)
+LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate::DATE <= first + k::INTEGER GROUP BY 1, 2""")
+def milestones(spark, d):
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = o.select("c_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    since = o.withColumn("since", F.datediff("day", F.min("day").over(Window.partitionBy("c_custkey"))))
+    marks = [14, 30, 45, 60, 90]
+    counts = since.groupBy("c_custkey").agg(*[F.count_if(F.col("since") <= k).alias(str(k)) for k in marks])
+    return counts.unpivot(["c_custkey"], [str(k) for k in marks], "day", "n").withColumn("day", F.col("day").cast("int"))
+
+
+@query("""WITH dd AS (SELECT ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1)
+SELECT day::VARCHAR AS day, round(avg(v) OVER (ORDER BY day RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW), 6) AS average FROM dd""")
+def moving_average_28d(spark, d):
+    days = t(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("v"))
+    w = Window.orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(-27, 0)
+    return days.select(F.col("day").cast("string").alias("day"), F.round(F.avg("v").over(w), 6).alias("average"))
+
+
+@query("""SELECT n_regionkey, arg_min(n_nationkey, bal) AS weakest FROM (SELECT n_regionkey, n_nationkey, sum(c_acctbal) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY n_regionkey""")
+def weakest_nation(spark, d):
+    sums = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.sum("c_acctbal").alias("bal"))
+    return sums.groupBy("n_regionkey").agg(F.min_by("n_nationkey", "bal").alias("weakest"))
+
+
+@query("""SELECT p_size, round(sum(p_retailprice * CASE WHEN p_size <= 90 THEN pow(90 - p_size, 2) / (60.0 * (180 - p_size)) ELSE 0 END), 4) AS usd FROM part GROUP BY p_size""")
+def day_90_by_start(spark, d):
+    rows = t(spark, d, "part")
+    return rows.groupBy("p_size").agg(F.round(F.sum(F.col("p_retailprice") * m.day_90_share(F.col("p_size"))), 4).alias("usd"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN day(h) <= 1 THEN date_trunc('month', h) WHEN day(h) <= 15 THEN date_trunc('month', h) + INTERVAL 14 DAYS ELSE date_trunc('month', h) + INTERVAL 1 MONTH END::DATE::VARCHAR AS payout
+FROM (SELECT o_orderkey, o_totalprice, (o_orderdate::DATE + 21) AS h FROM orders) WHERE o_totalprice >= 50""")
+def payout_dates(spark, d):
+    held = F.date_add(F.col("o_orderdate").cast("date"), 21)
+    month = F.trunc(held, "month")
+    payout = F.when(F.dayofmonth(held) <= 1, month).when(F.dayofmonth(held) <= 15, F.date_add(month, 14)).otherwise(F.add_months(month, 1))
+    return t(spark, d, "orders").filter("o_totalprice >= 50").select("o_orderkey", payout.cast("string").alias("payout"))
+
+
+@query("""SELECT user_id, date_trunc('month', ts)::DATE::VARCHAR AS month, round(least(sum(value), 500), 4) AS counted FROM events GROUP BY 1, 2""")
+def monthly_cap(spark, d):
+    g = t(spark, d, "events").groupBy("user_id", F.trunc("ts", "month").alias("month")).agg(F.sum("value").alias("v"))
+    return g.select("user_id", F.col("month").cast("string").alias("month"), F.round(F.least("v", F.lit(500.0)), 4).alias("counted"))
+
+
+@query("""WITH r AS (SELECT event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS n7 FROM events)
+SELECT event_type, min(n7) AS least, max(n7) AS most, count(*) FILTER (n7 < 10) AS below_floor FROM r GROUP BY event_type""")
+def demand_floor(spark, d):
+    w = Window.partitionBy("event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-7 * 86_400_000_000, 0)
+    r = t(spark, d, "events").select("event_type", F.count("*").over(w).alias("n7"))
+    return r.groupBy("event_type").agg(F.min("n7").alias("least"), F.max("n7").alias("most"), F.count_if(F.col("n7") < 10).alias("below_floor"))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer) a FULL JOIN (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) b ON a.k = b.k
+WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""")
+def snapshot_changes(spark, d):
+    old = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    new = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("v"))
+    return portfolio.snapshot_diff(old, new, "k", "v")
+
+
+@query("""SELECT c_custkey, c_acctbal, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1 ORDER BY c_acctbal DESC, c_custkey LIMIT 10""")
+def independent_top10(spark, d):
+    return portfolio.independent_top(t(spark, d, "customer"), 10, "c_acctbal", "c_nationkey", "c_custkey").select("c_custkey", "c_acctbal", "c_nationkey")
+
+
+@query("""SELECT count(*) AS n, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice), 6) AS share,
+sum(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END)::BIGINT AS alerts FROM lineitem WHERE l_discount >= 0.05""")
+def alert_rules(spark, d):
+    rows = t(spark, d, "lineitem").filter("l_discount >= 0.05")
+    part = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0))
+    return rows.agg(F.count("*").alias("n"), F.round(part / F.sum("l_extendedprice"), 6).alias("share"), F.count_if(F.col("l_quantity") > 45).alias("alerts"))
