@@ -53,82 +53,97 @@ def uniform(column: str, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 11).cast("double") + 0.5) * (2.0**-53)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 10) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
-
-    ``size`` counts words (null text: 0), ``taken`` is copies times size. Null sources are one
-    source, the last. Documents without words are never taken. The same rows give the same mix:
-    randomness is a hash of the id, and ties go by id, then size; rows that repeat an id draw the
-    same number, and of such equal rows any are taken. An empty table gives no rows.
-    """
+def _measured(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """Adds each row's size in words, size class and random odds."""
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    u = uniform("doc_id", seed)
-    size_class = F.when(F.col("size") > 0, F.floor(F.log2("size") * FINE)).otherwise(-1).cast("int")
-    rows = stash(rows.withColumn("size_class", size_class).withColumn("u", u), "sizes")
+    u = uniform(id_col, seed)
+    size_class = F.when(F.col("_words") > 0, F.floor(F.log2("_words") * FINE)).otherwise(-1).cast("int")
+    return docs.withColumn("_words", size).withColumn("_class", size_class).withColumn("_odds", u / (1 - u))
+
+
+def _rank(id_col: str) -> Column:
+    """What a class is ordered by; its inclusion odds are the same for all of its documents."""
+    ratio = F.col("_odds") / (F.col("take") / (F.col("n") - F.col("take")))
+    return F.struct(F.when(F.col("take") < F.col("n"), ratio).alias("ratio"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_words").alias("words"))
 
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Measured narrow rows, source targets, and for each class its copies and its last rank taken."""
+    measured = _measured(docs.select(id_col, source_col, text_col), id_col, text_col, seed)
+    rows = stash(measured.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "_words", "_class", "_odds"), "sizes")
+    sizes = rows.groupBy("source").agg(F.sum("_words").alias("source_size"))
     targets = stash(source_targets(sizes, weights, most), "targets")
-    classes = rows.filter("size > 0").groupBy("source", "size_class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    classes = rows.filter("_words > 0").groupBy("source", "_class").agg(F.count("*").alias("n"), F.sum("_words").alias("words"))
     same = classes["source"].eqNullSafe(targets["source"])
-    each = classes.join(targets, same).select(classes["source"], "size_class", "n", "words", (F.col("target") / F.col("source_size")).alias("f"))
+    each = classes.join(targets, same).select(classes["source"], "_class", "n", "words", (F.col("target") / F.col("source_size")).alias("f"))
     each = each.withColumn("whole", F.least(F.floor("f"), F.lit(most))).withColumn("part", F.greatest(F.lit(0.0), F.col("f") - F.col("whole")))
 
     # from the largest class down: how many documents get one copy more; carry: words still owed
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("size_class", "n", "words", "part", "whole"))))
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size_class:int,n:bigint,whole:bigint,take:bigint>>").alias("out"))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("_class", "n", "words", "part", "whole"))))
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<_class:int,n:bigint,whole:bigint,take:bigint>>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         owed = acc["carry"] + c["part"] * c["words"]
         room = F.when(c["whole"] < most, c["n"]).otherwise(F.lit(0))
         take = F.least(room, F.greatest(F.lit(0), F.round(owed * c["n"] / c["words"]).cast("long")))
-        row = F.struct(c["size_class"].alias("size_class"), c["n"].alias("n"), c["whole"].alias("whole"), take.alias("take"))
+        row = F.struct(c["_class"].alias("_class"), c["n"].alias("n"), c["whole"].alias("whole"), take.alias("take"))
         return F.struct((owed - take * c["words"] / c["n"]).alias("carry"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     plan = each.groupBy("source").agg(ordered.alias("cs")).select("source", F.explode(F.aggregate("cs", start, step)["out"]).alias("c")).select("source", "c.*")
     plan = stash(plan, "classes")
 
-    # rank by odds: within a class all have p = take / n; bins of the rank, then the one bin cut through
-    p = F.col("take") / F.col("n")
-    odds = F.when((F.col("take") > 0) & (F.col("take") < F.col("n")), (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    # the ratio is below 1 for a share p of the draws; its bin is even in u
-    share = odds * (p / (1 - p))
-    ranked = _with(rows, plan).withColumn("odds", odds).withColumn("bin", F.floor(share / (1 + share) * BINS).cast("int"))
-    bins = ranked.filter("odds is not null").groupBy("source", "size_class", "bin").agg(F.count("*").alias("k"), F.first("take").alias("take"))
-    upto = Window.partitionBy("source", "size_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the last rank taken: count ranks in bins of the draw, then order the one bin that it is in
+    ranked = _with(rows, plan).filter("take > 0 and take < n").withColumn("bin", F.floor(F.col("_odds") / (1 + F.col("_odds")) * BINS).cast("int"))
+    bins = ranked.groupBy("source", "_class", "bin").agg(F.count("*").alias("k"), F.first("take").alias("take"))
+    upto = Window.partitionBy("source", "_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = bins.withColumn("upto", F.sum("k").over(upto)).filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("k") < F.col("take")))
-    cut = stash(cut.select("source", "size_class", F.col("bin").alias("cut"), (F.col("take") - F.col("upto") + F.col("k")).alias("left")), "cuts")
-    ranked = _with(ranked, cut)
-    at_cut = F.col("odds").isNotNull() & (F.col("bin") == F.col("cut"))
-    order = Window.partitionBy("source", "size_class").orderBy("odds", F.col("doc_id").isNull(), "doc_id", "size")
-    tied = ranked.filter(at_cut).withColumn("more", (F.row_number().over(order) <= F.col("left")).cast("long"))
-    more = F.when(F.col("odds").isNotNull(), F.col("bin") < F.col("cut")).otherwise(F.coalesce(F.col("take") > 0, F.lit(False))).cast("long")
-    rest = ranked.filter(~at_cut | F.col("cut").isNull()).withColumn("more", more)
-    taken = rest.unionByName(tied).withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.col("more"))
-    out = _with(taken.select("doc_id", "source", "size", "copies"), targets, on=("source",))
+    cut = stash(cut.select("source", "_class", F.col("bin").alias("cut"), (F.col("take") - F.col("upto") + F.col("k")).alias("left")), "cuts")
+    order = Window.partitionBy("source", "_class").orderBy("rank")
+    last = _with(ranked, cut).filter("bin = cut").withColumn("rank", _rank("doc_id")).withColumn("place", F.row_number().over(order)).filter("place = left")
+    last = last.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("rank").alias("last"))
+    joined = plan.join(last, plan["source"].eqNullSafe(last["_s"]) & (plan["_class"] == last["_c"]), "left").select("source", "_class", "n", "whole", "take", "last")
+    return rows, targets, stash(joined, "plan")
+
+
+def _copies(id_col: str) -> Column:
+    more = F.when(F.col("take") == F.col("n"), 1).when(F.col("last").isNotNull() & (_rank(id_col) <= F.col("last")), 1).otherwise(0)
+    return F.coalesce(F.col("whole") + more, F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 10) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+
+    ``size`` counts words (null text: 0), ``taken`` is copies times size. Null sources are one
+    source, the last. Documents without words are never taken. The same rows give the same mix:
+    randomness is a hash of the id, and ties go by id (null last), then size; rows equal in these
+    are all taken or none. An empty table gives no rows.
+    """
+    rows, targets, plan = _plan(docs, id_col, text_col, source_col, weights, most, seed)
+    taken = _with(rows, plan).withColumn("copies", _copies("doc_id"))
+    out = _with(taken.select("doc_id", "source", F.col("_words").alias("size"), "copies"), targets, on=("source",))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _with(rows: DataFrame, side: DataFrame, on: tuple[str, ...] = ("source", "size_class")) -> DataFrame:
+def _with(rows: DataFrame, side: DataFrame, on: tuple[str, ...] = ("source", "_class")) -> DataFrame:
     """Left join with a table of sources or classes: broadcast while it is small, else dealt in 16."""
-    named = side.withColumnsRenamed({c: f"_{c}" for c in on})
-    same = [rows[c].eqNullSafe(named[f"_{c}"]) for c in on]
+    named = side.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [rows[c].eqNullSafe(named[f"_of_{c}"]) for c in on]
     if side.count() <= SMALL:
-        return rows.join(F.broadcast(named), same, "left").drop(*[f"_{c}" for c in on])
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+        return rows.join(F.broadcast(named), same, "left").drop(*[f"_of_{c}" for c in on])
+    salted = rows.withColumn("_salt", F.floor(F.rand(1) * 16).cast("long"))
     spread = named.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
-    same = [salted[c].eqNullSafe(spread[f"_{c}"]) for c in on]
-    return salted.join(spread, [*same, salted["_salt"] == spread["_deal"]], "left").drop("_salt", "_deal", *[f"_{c}" for c in on])
+    same = [salted[c].eqNullSafe(spread[f"_of_{c}"]) for c in on]
+    return salted.join(spread, [*same, salted["_salt"] == spread["_deal"]], "left").drop("_salt", "_deal", *[f"_of_{c}" for c in on])
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 10) -> DataFrame:
     """The mix itself: each document's row as many times as it is taken, with all its columns.
 
-    Documents without words have no part in the mix. Where an id repeats, its rows are paired with
-    the copies by id, source and size.
+    Rows are compared with their class's last rank where they are; texts don't shuffle. Documents
+    without words have no part in the mix.
     """
-    marks = stash(mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")), "copies")
-    named = marks.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    sized = docs.withColumn("_words", F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"))
-    same = sized[id_col].eqNullSafe(named["_id"]) & sized[source_col].eqNullSafe(named["_source"]) & (sized["_words"] == named["_size"])
-    return sized.join(named, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    _, _, plan = _plan(docs, id_col, text_col, source_col, weights, most, seed)
+    plan = plan.withColumnRenamed("source", "_source")
+    measured = _measured(docs, id_col, text_col, seed).withColumn("_source", F.col(source_col))
+    taken = _with(measured, plan, on=("_source", "_class")).withColumn("_copies", _copies(id_col)).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
