@@ -26,6 +26,7 @@ many times; it lacks the earlier hub, so buckets only shrink and rounds come to
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import bloom
-from quarrylane.llm.common import attach, portions, stash, text_of
+from quarrylane.llm.common import attach, portions, scratch, stash, text_of
 
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared without another hub.
@@ -218,7 +219,11 @@ def _involved_sets(rows: DataFrame, involved: DataFrame, width: int) -> DataFram
     again = bloom.flag(rows, F.xxhash64("doc_id"), bitmaps, log2, "maybe").filter("maybe").select("text")
     again = again.mapInArrow(_sets(width), "print string, shingles array<long>")
     one = again.join(involved, "print").groupBy("node").agg(F.first("mates").alias("mates"), F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
-    return stash(one, "sets")
+    # in buckets, so that no round shuffles the sets
+    spark, name = rows.sparkSession, f"sets_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one.repartition(count, "node").write.bucketBy(count, "node").sortBy("node").option("path", scratch(spark, "sets")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -265,9 +270,10 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     # sizes in classes of 5 %, so that the partners of a set are in a few classes
     step = math.log(1.05)
     size_class = F.floor(F.log(F.col("n")) / F.lit(step))
-    reach = math.ceil(math.log(den / num) / step) + 1
-    loose = rest.filter(~F.col("linked")).select("key", F.col("node").alias("x_node"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("common").alias("x_common"), F.explode(F.sequence(size_class - reach, size_class + reach)).alias("c"))
-    loose = loose.filter(F.col("x_common") * (num + den) >= (F.col("x_n") + F.greatest(F.lit(1), F.exp(F.col("c") * step) - 1)) * num)
+    most, least = F.col("common") * (num + den) / F.lit(num) - F.col("n"), F.col("n") * num / F.lit(den)
+    low, high = F.floor(F.log(least) / F.lit(step)) - 1, F.floor(F.log(most) / F.lit(step))
+    loose = rest.filter(~F.col("linked")).filter(most >= least - 0.01)
+    loose = loose.select("key", F.col("node").alias("x_node"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("common").alias("x_common"), F.explode(F.sequence(low, F.greatest(low, high + 1))).alias("c"))
     mates = rest.select("key", F.col("node").alias("y_node"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("common").alias("y_common"), size_class.alias("c"))
     fits = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_common", "y_common") * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
     by_size = loose.join(mates, ["key", "c"]).filter(fits).select("x_node", "y_node")
