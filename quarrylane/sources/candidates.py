@@ -48,7 +48,7 @@ def read_pipe_tables(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("line"))
     rows = lines.filter(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[\s:|-]+\|?$"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return rows.withColumn("cells", cells)
 
 
