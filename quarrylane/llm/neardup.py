@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,6 +149,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: only links between different components are walked again."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+        ends = ends.join(known, end, "left")
+    across = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a <> b").distinct()
+    across = stash(across, "across")
+    if not across.limit(1).count():
+        return labels
+    moved = components(across)
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    old = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return stash(old.select("node", F.coalesce("to", "comp").alias("comp")).unionByName(new.select("node", "comp")), "labels")
+
+
 def _with_comp(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("comp", F.col("node"))
@@ -183,17 +200,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = stash(members.select(F.col("key").alias("parent"), "key", "node", "m"), "buckets")
     involved = stash(members.groupBy("node").agg(F.sum("m").alias("mates")).join(nodes.select("node", "print", "n_shingles", "first_id"), "node"), "involved")
     sets = _involved_sets(rows, involved, width)
-    links: list[DataFrame] = []
     labels: DataFrame | None = None
     while True:
         compared, seated = _compare_hubs(members, sets, threshold)
-        links.append(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        if labels is None or links[-1].limit(1).count():
-            labels = components(reduce(DataFrame.unionByName, links))
+        labels = merge(labels, compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
         pairs, members = _what_is_left(compared, seated, labels, threshold)
-        links.append(_verify(pairs, sets, threshold).filter("linked").select("a", "b"))
-        if links[-1].limit(1).count():
-            labels = components(reduce(DataFrame.unionByName, links))
+        labels = merge(labels, _verify(pairs, sets, threshold).filter("linked").select("a", "b"))
         if not members.limit(1).count():
             break
         members = stash(_open(_with_comp(members, labels)).select("parent", "key", "node", "m"), "buckets")
