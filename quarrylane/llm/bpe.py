@@ -15,7 +15,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from quarrylane.llm.common import text_of
 
-#: Chunks that a worker remembers before it starts afresh.
+#: Words that a worker remembers before it starts afresh; and chunks of each of two generations.
 REMEMBERED = 100_000
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -48,7 +48,8 @@ class ForcedBoundaries:
         self.special_text = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         self.special_bytes = [s.encode() for s in self.special]
         self.token = {i: t for t, i in tokens.items()} | {i: t for t, i in self.special.items()}
-        self.chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> list[str]:
@@ -65,42 +66,43 @@ class ForcedBoundaries:
             packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return packed
 
-    def chunk(self, raw: bytes) -> tuple[bytes, str]:
-        """Ids of a chunk as little-endian 32-bit integers, and its decoded text."""
-        text = raw.decode()
-        if raw.isascii() and text.isprintable():
-            words = WORDS.findall(text.lower())
-        else:
-            words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        packed = b"".join([self.word_ids(w) for w in words])
-        found = packed, " ".join([self.token[i] for i in struct.unpack(f"<{len(packed) // 4}I", packed)])
+    def chunk(self, raw: bytes) -> bytes:
+        """Ids of a chunk as little-endian 32-bit integers; chunks in use outlive their generation."""
+        packed = self.chunks.get(raw) or self.older.get(raw)
+        if packed is None:
+            text = raw.decode()
+            if raw.isascii() and text.isprintable():
+                words = WORDS.findall(text.lower())
+            else:
+                words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+            packed = b"".join([self.word_ids(w) for w in words])
         if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
+            self.older, self.chunks = self.chunks, {}
         if len(raw) <= 200:
-            self.chunks[raw] = found
-        return found
+            self.chunks[raw] = packed
+        return packed
 
-    def _plain(self, raw: bytes) -> list[tuple[bytes, str]]:
+    def _plain(self, raw: bytes) -> list[bytes]:
         known = self.chunks.get
         return [known(c) or self.chunk(c) for c in raw.split()]
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """The encoded chunks of a text in order; those that vanish are empty."""
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
         raw = text.encode()
         if not any(s in raw for s in self.special_bytes):
-            return self._plain(raw)
+            return b"".join(self._plain(raw))
         out, at = [], 0
         for m in self.special_text.finditer(text):
             out += self._plain(text[at : m.start()].encode())
-            out.append((struct.pack("<I", self.special[m[0]]), m[0]))
+            out.append(struct.pack("<I", self.special[m[0]]))
             at = m.end()
-        return out + self._plain(text[at:].encode())
+        return b"".join(out + self._plain(text[at:].encode()))
 
     def encode(self, text: str) -> list[int]:
-        packed = b"".join([p[0] for p in self.parts(text)])
+        packed = self.packed(text)
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """As the library without a decoder: the tokens, special ones too, with spaces between."""
         return " ".join([self.token[i] for i in ids if i in self.token])
 
@@ -118,11 +120,10 @@ def _round_trip(path: str):
         for texts in batches:
             counts, ids, decoded = [], [], []
             for t in texts:
-                parts = e.parts(t.as_py() or "")
-                packed = b"".join([p[0] for p in parts])
+                packed = e.packed(t.as_py() or "")
                 counts.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([p[1] for p in parts if p[0]]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(e.decode(struct.unpack(f"<{len(packed) // 4}I", packed)).encode()).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
