@@ -3,9 +3,13 @@
 A merge joins two neighbouring parts into a vocabulary token. So if a pair of bytes stands next to
 each other in no token, no merge ever crosses it: the text can be cut there, the fragments encoded
 independently and their ids concatenated. For this vocabulary (BPE with word ends; white space is
-in no token), spaces cut a text into chunks, the library's own splitting cuts chunks into words,
-and pairs that occur inside no token cut words into fragments. Only a word's last fragment carries
-the word end. Fragments recur, so a worker keeps a bounded memory of chunks.
+in no token), the vocabulary's own splitting cuts a text into words, and pairs that occur inside no
+token cut words into fragments. Only a word's last fragment carries the word end. Words recur, so a
+worker keeps a bounded memory of them.
+
+Texts of Latin letters and common signs are lower-cased and split here, by one pattern: such
+characters are in composed form already. What has other characters goes through the library's
+normalizer and splitter, one stretch without spaces at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import operator
 import re
 import struct
 from collections.abc import Iterator, Sequence
@@ -24,9 +29,20 @@ from tokenizers import Tokenizer
 
 from quarrylane.llm.common import text_of
 
-#: Words that a worker remembers before it starts afresh; and chunks of each of two generations.
-REMEMBERED = 100_000
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of each of two generations that a worker remembers, and their greatest length.
+REMEMBERED, LONGEST = 150_000, 100
+#: Characters that are in composed form whatever stands beside them in this set, which has no marks.
+PLAIN = re.compile("[\\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+LETTERS, NUMBERS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
+#: The vocabulary's splitting, for lower-cased PLAIN text.
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in this kind of vocabulary: itself, if visible in Latin-1."""
+    symbols = [chr(b) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else "" for b in range(256)]
+    others = iter(range(256, 512))
+    return [s or chr(next(others)) for s in symbols]
 
 
 class ForcedBoundaries:
@@ -48,55 +64,58 @@ class ForcedBoundaries:
         self.special_text = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         self.special_bytes = [s.encode() for s in self.special]
         self.token = {i: t for t, i in tokens.items()} | {i: t for t, i in self.special.items()}
-        self.chunks: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.tokens = [self.token[i] for i in range(len(self.token))]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.bytes = {ord(s): b for b, s in self.symbols.items()}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> list[str]:
         """A word's byte symbols, cut at each pair that no token holds."""
+        if self.pairs.issuperset(map(operator.add, word, word[1:])):
+            return [word]
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def word_ids(self, word: str) -> bytes:
-        if (packed := self.words.get(word)) is None:
-            *heads, last = self.fragments(word)
+    def word(self, word: str) -> bytes:
+        """Ids of a word as little-endian 32-bit integers; words in use outlive their generation."""
+        packed = self.words.get(word) or self.older.get(word)
+        if packed is None:
+            *heads, last = self.fragments(word.encode().decode("latin-1").translate(self.symbols))
             ids = [t.id for f in heads for t in self.inner.tokenize(f)] + [t.id for t in self.final.tokenize(last)]
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.words) >= REMEMBERED:
+            self.older, self.words = self.words, {}
+        if len(word) <= LONGEST:
+            self.words[word] = packed
         return packed
 
-    def chunk(self, raw: bytes) -> bytes:
-        """Ids of a chunk as little-endian 32-bit integers; chunks in use outlive their generation."""
-        packed = self.chunks.get(raw) or self.older.get(raw)
-        if packed is None:
-            text = raw.decode()
-            if raw.isascii() and text.isprintable():
-                words = WORDS.findall(text.lower())
+    def split(self, text: str) -> list[str]:
+        """The normalized words of a text without special strings."""
+        if PLAIN.fullmatch(text):
+            return WORDS.findall(text.lower())
+        words = []
+        for raw in text.encode().split():
+            part = raw.decode()
+            if PLAIN.fullmatch(part):
+                words += WORDS.findall(part.lower())
             else:
-                words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-            packed = b"".join([self.word_ids(w) for w in words])
-        if len(self.chunks) >= REMEMBERED:
-            self.older, self.chunks = self.chunks, {}
-        if len(raw) <= 200:
-            self.chunks[raw] = packed
-        return packed
+                symbols = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))
+                words += [w.translate(self.bytes).encode("latin-1").decode() for w, _ in symbols]
+        return words
 
-    def _plain(self, raw: bytes) -> list[bytes]:
-        known = self.chunks.get
-        return [known(c) or self.chunk(c) for c in raw.split()]
+    def _plain(self, text: str) -> list[bytes]:
+        known, word = self.words.get, self.word
+        return [known(w) or word(w) for w in self.split(text)]
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        raw = text.encode()
-        if not any(s in raw for s in self.special_bytes):
-            return b"".join(self._plain(raw))
         out, at = [], 0
-        for m in self.special_text.finditer(text):
-            out += self._plain(text[at : m.start()].encode())
+        for m in self.special_text.finditer(text) if "<|" in text else ():
+            out += self._plain(text[at : m.start()])
             out.append(struct.pack("<I", self.special[m[0]]))
             at = m.end()
-        return b"".join(out + self._plain(text[at:].encode()))
+        return b"".join(out + self._plain(text[at:] if at else text))
 
     def encode(self, text: str) -> list[int]:
         packed = self.packed(text)
@@ -106,6 +125,13 @@ class ForcedBoundaries:
         """As the library without a decoder: the tokens, special ones too, with spaces between."""
         return " ".join([self.token[i] for i in ids if i in self.token])
 
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids, SHA-256 of the text that they are decoded to."""
+        packed = self.packed(text)
+        ids = struct.unpack(f"<{len(packed) // 4}I", packed)
+        decoded = " ".join(map(self.tokens.__getitem__, ids))
+        return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaries:
@@ -118,12 +144,7 @@ def _round_trip(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(path)
         for texts in batches:
-            counts, ids, decoded = [], [], []
-            for t in texts:
-                packed = e.packed(t.as_py() or "")
-                counts.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(e.decode(struct.unpack(f"<{len(packed) // 4}I", packed)).encode()).hexdigest())
+            counts, ids, decoded = zip(*[e.digest(t.as_py() or "") for t in texts], strict=True) if len(texts) else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -128,6 +128,20 @@ def test_bpe_equals_library(spark):
     assert row.x == library.decode(library.encode(texts[6], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_bpe_words_equal_library(monkeypatch):
+    """All characters of the basic plane, mixtures of plain and other ones, and a memory that overflows."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.ForcedBoundaries(path)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}B{c}{c} 1{c}'S{c}" for c in chars]
+    rnd = random.Random(5)
+    some = [*chars[:0x180], *chars[0x300:0x320], "\u2019", "\u20ac", "\u2028", "\uac00", " ", "'re", "<|endoftext|>", "<|"]
+    texts += ["".join(rnd.choices(some, k=30)) for _ in range(5000)]
+    for t, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(t) == found.ids, repr(t)
+
+
 def test_token_counts_equal_library(spark, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
