@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from quarrylane.llm.common import text_of
 
 #: Words of each of two generations that a worker remembers, and their greatest length.
-REMEMBERED, LONGEST = 150_000, 100
+REMEMBERED, LONGEST = 100_000, 100
 #: Characters that are in composed form whatever stands beside them in this set, which has no marks.
 PLAIN = re.compile("[\\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 LETTERS, NUMBERS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
