@@ -189,6 +189,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     similarity ``threshold`` (numerator, denominator) or more; null ids lose to all others. Rows
     that repeat an id are all kept or all dropped. An empty table gives no rows.
     """
+    return _linked(docs, id_col, text_col, width, threshold).drop("copies")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """What link_documents gives, and how many rows have the row's shingle set (an empty one: 1)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     signed = stash(rows.mapInArrow(_sign(width), f"doc_id {id_type}, n_shingles long, print string, bands array<long>"), "signatures")
@@ -216,8 +221,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = first.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("_size"))
     final = stash(attach(first, stash(smallest, "components"), "comp", "_size", max(1, n_docs)).select("print", "component_id", "copies"), "classes")
     linked = attach(signed.filter("print is not null").select("doc_id", "n_shingles", "print"), final, "print", "copies", max(1, n_docs))
-    alone = signed.filter("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = signed.filter("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    out = linked.select("doc_id", "n_shingles", "component_id", "copies").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -294,6 +299,19 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of one document for each component, with all their columns."""
-    marks = stash(link_documents(docs, id_col, text_col, width, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    return bloom.without(docs, marks, id_col)
+    """One row for each component, with all its columns: the one with the smallest id.
+
+    Null ids lose to all others; of rows that share an id, one with the least hash of its text
+    stays, and of rows that share both, any. Rows without shingles all stay.
+    """
+    # texts tell rows with null or repeated ids apart, by 128 bits of hash
+    text = text_of(text_col)
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    keyed = docs.withColumn("_row", row)
+    links = stash(_linked(keyed, "_row", text_col, width, threshold).filter("not kept or copies > 1").select(F.col("doc_id").alias("_row"), "kept"), "dropped")
+    left = bloom.without(keyed, links.filter("not kept").select("_row").distinct(), "_row")
+    again = stash(links.filter("kept").groupBy("_row").count().filter("count > 1").select("_row"), "repeated")
+    if not again.limit(1).count():
+        return left.drop("_row")
+    single = left.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(*left.columns)
+    return bloom.without(left, again, "_row").unionByName(single).drop("_row")

@@ -83,6 +83,20 @@ def test_near_dedup_equals_all_pairs(spark, few, monkeypatch):
     assert neardup.link_documents(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    """One row of each component stays, whatever the ids; rows of other texts aren't taken along."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(8)]
+    near = [f"{t} end" for t in texts]
+    rows = [(1, texts[0]), (None, near[0]), (None, texts[1]), (None, texts[2]), (None, near[2]), (None, None), (None, ""), (5, texts[3]), (7, near[3]), (7, texts[4]), (8, texts[5]), (8, near[5]), (8, texts[6]), (9, texts[7]), (9, texts[7]), (9, texts[7])]
+    df = spark.createDataFrame([(i, t, None, None, k) for k, (i, t) in enumerate(rows)], DOC)
+    got = sorted(r.n_chars for r in neardup.drop_near_copies(df).collect())
+    one_of = [{0}, {2}, {3, 4}, {5}, {6}, {7}, {9}, {10, 11}, {12}, {13, 14, 15}]
+    assert len(got) == len(one_of) and all(len(g.intersection(got)) == 1 for g in one_of)
+    assert neardup.drop_near_copies(df).columns == df.columns
+    assert neardup.drop_near_copies(df.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     texts = ["x " * int(rng.paretovariate(0.8) * 20 + 1) for _ in range(600)] + ODD
