@@ -86,11 +86,13 @@ class ArcRecord:
     offset: int
     fields: dict[str, str]
     block: bytes
+    is_version: bool = False
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an archive, its version block first.
 
+    A version block is at the start only; a later record is a page, whatever its URL.
     A header line has as many fields as its version says, counted from the right, as URLs may hold
     spaces. What doesn't parse as a header is skipped to the next line.
     """
@@ -100,14 +102,15 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if end < 0:
             return
         line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
-        if line.startswith("filedesc://"):
+        is_version = at == 0 and line.startswith("filedesc://")
+        if is_version:
             # the version is on the next line, and says how to read this one
             second = data[end + 1 : data.find(b"\n", end + 1)].split(b" ")
             fields = ARC_FIELDS.get(int(second[0]) if second[0].isdigit() else 1, ARC_FIELDS[1])
         values = line.rsplit(" ", len(fields) - 1)
         if len(values) == len(fields) and values[-1].isdigit() and values[fields.index("Archive-date")].isdigit():
             size = int(values[-1])
-            yield ArcRecord(at, dict(zip(fields, values, strict=True)), data[end + 1 : end + 1 + size])
+            yield ArcRecord(at, dict(zip(fields, values, strict=True)), data[end + 1 : end + 1 + size], is_version)
             at = end + 1 + size
             while data[at : at + 1] in (b"\n", b"\r"):
                 at += 1
@@ -150,7 +153,7 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
             size = 0
             for r in parse_arc(plain(data.as_py())):
-                info = r.fields["URL"].startswith("filedesc://")
+                info = r.is_version
                 head, payload, http = (b"", r.block, {}) if info else http_parts(r.block)
                 name = r.fields["URL"] if info else f"{path.rsplit('/', 1)[-1]}#{r.offset}"
                 kind = "warcinfo" if info else "response" if head else "resource"

@@ -234,6 +234,18 @@ def test_archives(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_with_urls_like_version_blocks(spark, tmp_path):
+    rows = [(i, f"filedesc://page{i}.arc" if i % 3 else "u", f"1 0 text {i}\nURL") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.payload_digest for r in warc.round_trip(df).collect()}
+    assert got == {i: hashlib.sha256(html.encode()).hexdigest() for i, _, html in rows}
+    for version in (1, 2):
+        warc.write_arc(df.coalesce(1), str(tmp_path / str(version)), version)
+        found = warc.read_arc(spark, str(tmp_path / str(version))).collect()
+        assert {r.date for r in found} == {"2026-01-01T00:00:00Z"}
+        assert [r.kind for r in found].count("warcinfo") == 1 and {r.page_id for r in found if r.kind == "response"} == set(range(20))
+
+
 def test_toxicity(spark):
     lexicon = toxicity.Lexicon([toxicity.Term("idiot", False, 2.0), toxicity.Term("worthless", False, 2.0), toxicity.Term("achl", True, 1.0)])
 
