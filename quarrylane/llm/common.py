@@ -44,6 +44,23 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """A folder for intermediate tables of one step, which goes once the step's results are written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.tables = spark, scratch(spark, label), 0
+
+    def stash(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{label}-{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

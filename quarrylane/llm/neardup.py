@@ -15,12 +15,13 @@ linked if
   |x - hub| - max(1, needed(x) - |x & hub|) + 1 of x in hash order (a prefix filter in which the
   hub's shingles come last). Bucket and shingle make a smaller bucket; or
 * min(|x & hub|, |y & hub|) alone suffices, which only holds for x + y <= min * (1 + T) / T; a join
-  on size classes finds those pairs.
+  on classes of sizes and of the room that this leaves for the other's size finds those pairs.
 
-Smaller buckets of up to FEW members are compared in full, larger ones get hubs of their own in
-the next round, until no bucket holds two components. Those that come from one bucket and choose
-the same hub are one bucket again, so that what two sets share in many shingles isn't carried on
-many times; it lacks the earlier hub, so buckets only shrink and rounds come to an end.
+All first buckets with one hub are one bucket, so a set's shingles are carried on once for each
+hub it meets (about one), not for each band. Smaller buckets of up to FEW members are compared in
+full, larger ones get hubs of their own in the next round, until no bucket holds two components.
+Those that come from one bucket and choose the same hub are one bucket again; it is a part of that
+bucket and lacks the hub, so from there on buckets only shrink and rounds come to an end.
 """
 
 from __future__ import annotations
@@ -37,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import bloom
-from quarrylane.llm.common import attach, portions, scratch, stash, text_of
+from quarrylane.llm.common import HOT_SHARE, Workspace, attach, portions, stash, text_of
 
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared without another hub.
 FEW = 50
+#: Partners of a set that one task compares with it.
+PARTNERS = 250
 #: Elements of a batch that numpy works on at once.
 BLOCK = 1 << 16
 
@@ -130,41 +133,41 @@ def _sets(width: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """node, comp (the least node that is reachable) for the nodes of an edge table (a, b).
 
     Each round takes the least label among a node's neighbours and then that node's own label, so
     chains shorten by halves. Labels are rewritten to the shared folder in each round.
     """
-    both = stash(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    both = work.stash(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = work.stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         better = labels.join(near, "node").select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        moved = stash(better.join(jump, "next").select("node", F.least("next", "far").alias("comp"), "old"), "labels")
+        moved = work.stash(better.join(jump, "next").select("node", F.least("next", "far").alias("comp"), "old"), "labels")
         changed = moved.filter("comp < old").limit(1).count()
         labels = moved.select("node", "comp")
         if not changed:
             return labels
 
 
-def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def merge(labels: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
     """Components after more links: only links between different components are walked again."""
     if labels is None:
-        return components(links)
+        return components(links, work)
     ends = links
     for end in ("a", "b"):
         known = labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
         ends = ends.join(known, end, "left")
     across = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a <> b").distinct()
-    across = stash(across, "across")
+    across = work.stash(across, "across")
     if not across.limit(1).count():
         return labels
-    moved = components(across)
+    moved = components(across, work)
     new = moved.join(labels.select("node"), "node", "left_anti")
     old = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-    return stash(old.select("node", F.coalesce("to", "comp").alias("comp")).unionByName(new.select("node", "comp")), "labels")
+    return work.stash(old.select("node", F.coalesce("to", "comp").alias("comp")).unionByName(new.select("node", "comp")), "labels")
 
 
 def _with_comp(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -173,9 +176,9 @@ def _with_comp(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _open(members: DataFrame) -> DataFrame:
+def _open(members: DataFrame, work: Workspace) -> DataFrame:
     """Members of buckets that hold two components or more, with the bucket's size m."""
-    kinds = stash(members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "m"), "open")
+    kinds = work.stash(members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "m"), "open")
     total = kinds.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("t")).first().t
     return attach(members, kinds, "key", "m", max(1, total))
 
@@ -198,36 +201,47 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     id_type = rows.schema["doc_id"].dataType.simpleString()
     signed = stash(rows.mapInArrow(_sign(width), f"doc_id {id_type}, n_shingles long, print string, bands array<long>"), "signatures")
     n_docs = signed.count()
+    work = Workspace(rows.sparkSession, "near")
     nodes = signed.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    members = _open(nodes.select("node", F.explode("bands").alias("key")).withColumn("comp", F.col("node")))
-    members = stash(members.select(F.col("key").alias("parent"), "key", "node", "m"), "buckets")
-    involved = stash(members.groupBy("node").agg(F.sum("m").alias("mates")).join(nodes.select("node", "print", "n_shingles", "first_id"), "node"), "involved")
-    sets = _involved_sets(rows, involved, width)
+    nodes = work.stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    turn = Workspace(rows.sparkSession, "round")
+    members = _open(nodes.select("node", F.explode("bands").alias("key")).withColumn("comp", F.col("node")), turn)
+    # all buckets with one hub are one bucket, so that a node has a row for each hub, not for each band
+    members = turn.stash(members.select(F.lit(0).cast("long").alias("parent"), "key", "node", "m"), "buckets")
+    involved = work.stash(members.groupBy("node").agg(F.sum("m").alias("mates")).join(nodes.select("node", "print", "n_shingles", "first_id"), "node"), "involved")
+    sets, sets_table = _involved_sets(rows, involved, width, work)
     labels: DataFrame | None = None
     while True:
-        compared, seated = _compare_hubs(members, sets, threshold)
-        labels = merge(labels, compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        pairs, members = _what_is_left(compared, seated, labels, threshold)
-        labels = merge(labels, _verify(pairs, sets, threshold).filter("linked").select("a", "b"))
-        if not members.limit(1).count():
-            break
-        members = stash(_open(_with_comp(members, labels)).select("parent", "key", "node", "m"), "buckets")
-        if not members.limit(1).count():
+        compared, seated = _compare_hubs(members, sets, threshold, turn)
+        labels = merge(labels, compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")), turn)
+        pairs, members = _what_is_left(compared, seated, labels, threshold, n_docs, turn)
+        labels = merge(labels, _verify(pairs, sets, threshold, turn).filter("linked").select("a", "b"), turn)
+        left = members.limit(1).count()
+        if left:
+            members = turn.stash(_open(_with_comp(members, labels), turn).select("parent", "key", "node", "m"), "buckets")
+            left = members.limit(1).count()
+        # only the labels and the buckets live on
+        last, turn = turn, Workspace(rows.sparkSession, "round")
+        labels, members = turn.stash(labels, "labels"), turn.stash(members, "buckets") if left else members
+        last.close()
+        if not left:
             break
 
     first = _with_comp(nodes.select("node", "print", "first_id", "copies"), labels)
     smallest = first.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("_size"))
-    final = stash(attach(first, stash(smallest, "components"), "comp", "_size", max(1, n_docs)).select("print", "component_id", "copies"), "classes")
+    final = stash(attach(first, work.stash(smallest, "components"), "comp", "_size", max(1, n_docs)).select("print", "component_id", "copies"), "classes")
+    rows.sparkSession.sql(f"DROP TABLE {sets_table}")
+    turn.close()
+    work.close()
     linked = attach(signed.filter("print is not null").select("doc_id", "n_shingles", "print"), final, "print", "copies", max(1, n_docs))
     alone = signed.filter("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
     out = linked.select("doc_id", "n_shingles", "component_id", "copies").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _involved_sets(rows: DataFrame, involved: DataFrame, width: int) -> DataFrame:
-    """node, mates, n_shingles and the full shingle set of each node that shares a bucket.
+def _involved_sets(rows: DataFrame, involved: DataFrame, width: int, work: Workspace) -> tuple[DataFrame, str]:
+    """node, mates, n_shingles and the full shingle set of each node that shares a bucket; its table.
 
     A filter on the id of one document of each node keeps all other texts out of the second pass.
     """
@@ -239,63 +253,75 @@ def _involved_sets(rows: DataFrame, involved: DataFrame, width: int) -> DataFram
     # in buckets, so that no round shuffles the sets
     spark, name = rows.sparkSession, f"sets_{uuid.uuid4().hex}"
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one.repartition(count, "node").write.bucketBy(count, "node").sortBy("node").option("path", scratch(spark, "sets")).saveAsTable(name)
-    return spark.table(name)
+    one.repartition(count, "node").write.bucketBy(count, "node").sortBy("node").option("path", f"{work.folder}/sets").saveAsTable(name)
+    return spark.table(name), name
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) compared on their full sets: sizes, common, linked, b's shingles outside a."""
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], work: Workspace) -> DataFrame:
+    """Pairs (a, b) compared on their full sets: sizes, common, linked, b's shingles outside a.
+
+    A set with very many partners goes to several tasks; there are HOT_SHARE such sets at most.
+    """
     num, den = threshold
-    pairs = stash(pairs, "pairs")
+    pairs = work.stash(pairs, "pairs")
+    share = max(PARTNERS, pairs.count() // HOT_SHARE)
+    heavy = work.stash(pairs.groupBy("a").agg(F.floor(F.count("*") / F.lit(share)).cast("int").alias("more")).filter("more > 0"), "heavy")
     hub = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n"), F.col("shingles").alias("a_set"))
     own = sets.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("shingles").alias("b_set"))
     # later rounds need few of the sets
-    hub = hub.join(pairs.select("a").distinct(), "a", "left_semi")
+    hub = hub.join(pairs.select("a").distinct(), "a", "left_semi").join(F.broadcast(heavy), "a", "left")
+    hub = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).drop("more")
     own = own.join(pairs.select("b").distinct(), "b", "left_semi")
-    both = pairs.join(own, "b").join(hub, "a").withColumn("common", F.size(F.array_intersect("b_set", "a_set")).cast("long"))
+    dealt = pairs.join(F.broadcast(heavy), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1).cast("int")).drop("more")
+    both = dealt.join(own, "b").join(hub, ["a", "part"]).withColumn("common", F.size(F.array_intersect("b_set", "a_set")).cast("long"))
     linked = den * F.col("common") >= num * (F.col("n") + F.col("a_n") - F.col("common"))
     needed = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
     prefix = F.greatest(F.lit(1), F.col("n") - F.col("common") - F.greatest(F.lit(1), needed - F.col("common")) + 1).cast("int")
     outside = F.slice(F.array_except("b_set", "a_set"), F.lit(1), prefix)
-    return stash(both.select("a", "b", "n", "common", linked.alias("linked"), outside.alias("outside")), "compared")
+    return work.stash(both.select("a", "b", "n", "common", linked.alias("linked"), outside.alias("outside")), "compared")
 
 
-def _compare_hubs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _compare_hubs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], work: Workspace) -> tuple[DataFrame, DataFrame]:
     """Each bucket's hub against the rest; and the other members with their hub."""
     ranked = members.join(sets.select("node", "mates"), "node")
-    hubs = stash(ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("low"))).alias("top"), F.max("m").alias("m")).select("key", (-F.col("top.low")).alias("hub"), "m"), "hubs")
+    hubs = work.stash(ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("low"))).alias("top"), F.max("m").alias("m")).select("key", (-F.col("top.low")).alias("hub"), "m"), "hubs")
     seated = attach(members.select("parent", "key", "node"), hubs, "key", "m", max(1, members.count())).filter("node <> hub")
-    seated = stash(seated.select(F.xxhash64("parent", "hub").alias("key"), "hub", "node").distinct(), "seated")
+    seated = work.stash(seated.select(F.xxhash64("parent", "hub").alias("key"), "hub", "node").distinct(), "seated")
     pairs = seated.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    return _verify(pairs, sets, threshold).withColumnsRenamed({"a": "hub", "b": "node"}), seated
+    return _verify(pairs, sets, threshold, work).withColumnsRenamed({"a": "hub", "b": "node"}), seated
 
 
-def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, threshold: tuple[int, int], n_docs: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """Pairs that may still be linked, and the buckets that need another hub."""
     num, den = threshold
-    rest = _open(_with_comp(seated, labels)).select("key", "hub", "node", "comp").join(compared, ["hub", "node"])
-    rest = stash(rest.select("key", "node", "comp", "n", "common", "linked", "outside"), "rest")
+    rest = _open(_with_comp(seated, labels), work).select("key", "hub", "node", "comp").join(compared, ["hub", "node"])
+    rest = work.stash(rest.select("key", "node", "comp", "n", "common", "linked", "outside"), "rest")
     shared = rest.select(F.explode("outside").alias("s"), F.col("key").alias("parent"), "node", "comp", "n", "common", "linked")
-    shared = _open(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"))
-    shared = stash(shared, "shared")
-    x = shared.filter(F.col("m") <= FEW).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common", "linked")])
+    shared = _open(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"), work)
+    shared = work.stash(shared, "shared")
+    # larger buckets too, while their pairs are fewer than the documents: that saves rounds
+    limits = [FEW << i for i in range(6)]
+    work_of = shared.agg(*[F.coalesce(F.sum(F.when((F.col("m") > FEW) & (F.col("m") <= k), F.col("m"))), F.lit(0)) for k in limits]).first()
+    few = max(k for k, pairs_of in zip(limits, work_of, strict=True) if k == FEW or pairs_of <= n_docs)
+    x = shared.filter(F.col("m") <= few).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common", "linked")])
     y = x.select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("node", "comp", "n", "common", "linked")])
     apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & ~(F.col("x_linked") & F.col("y_linked"))
     alike = (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")) & ((F.least("x_common", "y_common") + F.least(F.col("x_n") - F.col("x_common"), F.col("y_n") - F.col("y_common"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
     by_shingle = x.join(y, "key").filter(apart & alike).select("x_node", "y_node")
 
-    # sizes in classes of 5 %, so that the partners of a set are in a few classes
-    step = math.log(1.05)
-    size_class = F.floor(F.log(F.col("n")) / F.lit(step))
-    most, least = F.col("common") * (num + den) / F.lit(num) - F.col("n"), F.col("n") * num / F.lit(den)
-    low, high = F.floor(F.log(least) / F.lit(step)) - 1, F.floor(F.log(most) / F.lit(step))
-    loose = rest.filter(~F.col("linked")).filter(most >= least - 0.01)
-    loose = loose.select("key", F.col("node").alias("x_node"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("common").alias("x_common"), F.explode(F.sequence(low, F.greatest(low, high + 1))).alias("c"))
-    mates = rest.select("key", F.col("node").alias("y_node"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("common").alias("y_common"), size_class.alias("c"))
+    # with room(z) = |z & hub| * (1 + T) / T - |z|, the second condition is |y| <= room(x) and
+    # |x| <= room(y); sizes and rooms in classes of 5 %, so that few but the fitting pairs meet
+    step = F.lit(math.log(1.05))
+    cls = lambda v: F.floor(F.log(v) / step)
+    n, room = F.col("n"), F.col("common") * (num + den) / F.lit(num) - F.col("n")
+    roomy = rest.withColumn("room", room)
+    x = roomy.filter(~F.col("linked") & (F.col("room") >= n * num / F.lit(den) - 0.01)).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common")], F.explode(F.sequence(cls(n * num / F.lit(den)) - 1, cls(F.col("room")) + 1)).alias("c"))
+    x = x.withColumn("r", F.explode(F.sequence(cls(F.col("x_n")) - 1, cls(F.col("x_n") * (den * den) / F.lit(num * num)) + 1)))
+    y = roomy.filter("room > 0.99").select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "common")], cls(n).alias("c"), cls(F.col("room")).alias("r"))
     fits = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_common", "y_common") * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
-    by_size = loose.join(mates, ["key", "c"]).filter(fits).select("x_node", "y_node")
+    by_size = x.join(y, ["key", "c", "r"]).filter(fits).select("x_node", "y_node")
     pairs = by_shingle.unionByName(by_size).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return pairs, shared.filter(F.col("m") > FEW).select("parent", "key", "node")
+    return pairs, shared.filter(F.col("m") > few).select("parent", "key", "node")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -304,14 +330,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null ids lose to all others; of rows that share an id, one with the least hash of its text
     stays, and of rows that share both, any. Rows without shingles all stay.
     """
-    # texts tell rows with null or repeated ids apart, by 128 bits of hash
+    # texts tell rows with null or repeated ids apart, by 128 bits of hash; the caller's columns are
+    # packed, so that their names can't clash
     text = text_of(text_col)
-    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
-    keyed = docs.withColumn("_row", row)
-    links = stash(_linked(keyed, "_row", text_col, width, threshold).filter("not kept or copies > 1").select(F.col("doc_id").alias("_row"), "kept"), "dropped")
-    left = bloom.without(keyed, links.filter("not kept").select("_row").distinct(), "_row")
-    again = stash(links.filter("kept").groupBy("_row").count().filter("count > 1").select("_row"), "repeated")
-    if not again.limit(1).count():
-        return left.drop("_row")
-    single = left.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(*left.columns)
-    return bloom.without(left, again, "_row").unionByName(single).drop("_row")
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed"), key.alias("row"), text.alias("text"))
+    links = stash(_linked(packed, "row", "text", width, threshold).filter("not kept or copies > 1").select(F.col("doc_id").alias("row"), "kept"), "dropped")
+    packed = packed.select("packed", "row")
+    left = bloom.without(packed, links.filter("not kept").select("row").distinct(), "row")
+    again = stash(links.filter("kept").groupBy("row").count().filter("count > 1").select("row"), "repeated")
+    if again.limit(1).count():
+        single = left.join(again, "row", "left_semi").dropDuplicates(["row"])
+        left = bloom.without(left, again, "row").unionByName(single)
+    return left.select("packed.*")
