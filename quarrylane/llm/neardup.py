@@ -310,14 +310,16 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     by_shingle = x.join(y, "key").filter(apart & alike).select("x_node", "y_node")
 
     # with room(z) = |z & hub| * (1 + T) / T - |z|, the second condition is |y| <= room(x) and
-    # |x| <= room(y); sizes and rooms in classes of 5 %, so that few but the fitting pairs meet
-    step = F.lit(math.log(1.05))
-    cls = lambda v: F.floor(F.log(v) / step)
+    # |x| <= room(y); sizes in classes of 12 % and rooms in classes of 25 %, so that few but the
+    # fitting pairs meet and a set is in few classes; edge takes up rounding
+    edge = 1e-9
+    cls = lambda v, width: F.floor(F.log(v) / F.lit(math.log(width)))
+    classes = lambda low, high, width: F.explode(F.sequence(cls(low * (1 - edge), width), F.greatest(cls(low * (1 - edge), width), cls(high * (1 + edge), width))))
     n, room = F.col("n"), F.col("common") * (num + den) / F.lit(num) - F.col("n")
     roomy = rest.withColumn("room", room)
-    x = roomy.filter(~F.col("linked") & (F.col("room") >= n * num / F.lit(den) - 0.01)).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common")], F.explode(F.sequence(cls(n * num / F.lit(den)) - 1, cls(F.col("room")) + 1)).alias("c"))
-    x = x.withColumn("r", F.explode(F.sequence(cls(F.col("x_n")) - 1, cls(F.col("x_n") * (den * den) / F.lit(num * num)) + 1)))
-    y = roomy.filter("room > 0.99").select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "common")], cls(n).alias("c"), cls(F.col("room")).alias("r"))
+    x = roomy.filter(~F.col("linked") & (F.col("room") >= n * num / F.lit(den) * (1 - edge))).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common")], classes(n * num / F.lit(den), F.col("room"), 1.12).alias("c"))
+    x = x.withColumn("r", classes(F.col("x_n"), F.col("x_n") * (den * den) / F.lit(num * num), 1.25))
+    y = roomy.filter("room > 0.99").select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "common")], cls(n, 1.12).alias("c"), cls(F.col("room"), 1.25).alias("r"))
     fits = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_common", "y_common") * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
     by_size = x.join(y, ["key", "c", "r"]).filter(fits).select("x_node", "y_node")
     pairs = by_shingle.unionByName(by_size).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
