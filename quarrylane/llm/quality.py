@@ -11,18 +11,19 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import SPACES, text_of
+from quarrylane.llm import tokens
+from quarrylane.llm.common import SPACES, portions, text_of
 
 
 @dataclass(frozen=True)
@@ -90,17 +91,65 @@ CYRILLIC = re.compile("[Ѐ-ӿ]+")
 SYMBOLS = "#*$%&|<>"
 #: The second vocabulary.
 MULTI = "byte_bpe_multi_50k.tiktoken"
-#: A long text is encoded in parts of about so many characters.
+#: A text longer than this is cut for the second vocabulary, where a space stands between letters:
+#: its splitting always begins a new token there.
 PART = 32_768
-#: Ids of the vocabulary's 256 fallback bytes: <0x00> to <0xFF>.
-BYTE_IDS = (3, 259)
+BETWEEN_LETTERS = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+#: Stretches between spaces that a worker remembers in each of two generations, and their greatest length.
+REMEMBERED, LONGEST = 100_000, 100
+#: Bytes of text that are encoded together.
+PORTION = 1 << 19
 
 FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("chars_per_token", "double"), ("fallback_share", "double"), ("token_entropy", "double"), ("script", "string"), ("multi_chars_per_token", "double"), ("multi_token_entropy", "double"), ("band", "string")]
 
 
+class Pieces:
+    """Ids of whole texts in a SentencePiece vocabulary; stretches between spaces are remembered.
+
+    No piece reaches across a space (tokens.CUT), so the ids of the stretches are those of the text.
+    """
+
+    def __init__(self, path: str):
+        self.model, self.can_split = tokens.model(path)
+        byte = [self.model.is_byte(i) for i in range(self.model.get_piece_size())]
+        # line ends and tabs are fallback bytes in some vocabularies, and no sign of a foreign script
+        self.foreign = np.array([b and self.model.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>") for i, b in enumerate(byte)])
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        if not self.can_split:
+            return [text]
+        if "  " in text or "▁" in text or text[:1] == " " or text[-1:] == " ":
+            return tokens.CUT.split(text)
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; what isn't remembered is encoded in one call."""
+        split = [self.split(t) for t in texts]
+        here: dict[str, bytes] = {}
+        unknown = set().union(*split) - self.new.keys()
+        for x in unknown & self.old.keys():
+            here[x] = self.old[x]
+        unknown = [x for x in unknown if x not in here]
+        for x, ids in zip(unknown, self.model.encode(unknown, num_threads=1), strict=True):
+            here[x] = array("i", ids).tobytes()
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {x: self.new[x] for parts in split for x in parts if x in self.new}
+        self.new |= here
+        out = [np.frombuffer(b"".join(map(self.new.__getitem__, parts)), np.int32) for parts in split]
+        for x in here:
+            if len(x) > LONGEST:
+                del self.new[x]
+        return out
+
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
+
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+def vocabulary(path: str) -> Pieces:
+    return Pieces(path)
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,7 +204,12 @@ def language(text: str) -> str | None:
 
 
 def parts(text: str) -> list[str]:
-    return [text[i : i + PART] for i in range(0, len(text), PART)]
+    """Parts of at least PART characters, but the last, with equal tokens in sum."""
+    out, at = [], 0
+    while len(text) - at > PART and (cut := BETWEEN_LETTERS.search(text, at + PART)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
 
 def spread(ids: np.ndarray) -> float:
@@ -166,14 +220,11 @@ def spread(ids: np.ndarray) -> float:
     return float(-(counts * np.log2(counts)).sum())
 
 
-def fertility(text: str, model: sentencepiece.SentencePieceProcessor) -> tuple[float, float, float, int]:
-    """Characters per token, share of fallback bytes, entropy in bits, tokens; of no text: zeros."""
-    ids = np.concatenate([np.array(model.encode(p), np.int64) for p in parts(text) or [""]])
+def fertility(text: str, ids: np.ndarray, foreign: np.ndarray) -> tuple[float, float, float, int]:
+    """Characters per token, share of fallback bytes, entropy in bits, tokens; of no tokens: zeros."""
     if not len(ids):
         return 0.0, 0.0, 0.0, 0
-    fallback = np.count_nonzero((ids >= BYTE_IDS[0]) & (ids < BYTE_IDS[1]))
-    # a line feed is a fallback byte in this vocabulary, and no sign of a foreign script
-    fallback = max(0, int(fallback) - sum(text.count(c) for c in "\n\r\t"))
+    fallback = 0 if text.isascii() else int(np.count_nonzero(foreign[ids]))
     return len(text) / len(ids), fallback / len(ids), spread(ids), len(ids)
 
 
@@ -185,18 +236,18 @@ def multi_fertility(text: str, encoding: tiktoken.Encoding) -> tuple[float, floa
     return len(text) / len(ids), spread(ids), len(ids)
 
 
-def judge(text: str, lang: str | None, model: sentencepiece.SentencePieceProcessor, encoding: tiktoken.Encoding) -> tuple:
+def judge(text: str, lang: str | None, ids: np.ndarray, foreign: np.ndarray, encoding: tiktoken.Encoding) -> tuple:
     words = text.encode().split()
     n, repeat = len(words), repeated_words(words)
     base_failed = n < 50 or 100 * repeat > 50 * n
-    per_token, share, entropy, tokens = fertility(text, model)
+    per_token, share, entropy, n_tokens = fertility(text, ids, foreign)
     multi_per_token, multi_entropy, multi_tokens = multi_fertility(text, encoding)
     kind = "latin" if text.isascii() else script(text)
     name = kind
     if kind == "latin":
         # tables of words have few telling words
         name = language(text) or (lang if lang in TELLING else kind)
-    kept = not base_failed and fits(BANDS[name], (per_token, multi_per_token), (entropy, multi_entropy), (tokens, multi_tokens), share)
+    kept = not base_failed and fits(BANDS[name], (per_token, multi_per_token), (entropy, multi_entropy), (n_tokens, multi_tokens), share)
     chars = len(text) - sum(text.count(c) for c in SPACES)
     return n, chars, sum(text.count(c) for c in SYMBOLS), repeated_lines(text), repeat, base_failed, kept, per_token, share, entropy, kind, multi_per_token, multi_entropy, name
 
@@ -214,9 +265,14 @@ def _judge(path: str, multi_path: str):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model, encoding = vocabulary(path), ranks(multi_path)
         for texts, langs in batches:
-            rows = [judge(t.as_py() or "", lang.as_py(), model, encoding) for t, lang in zip(texts, langs, strict=True)]
+            rows = []
+            for part in portions([pa.RecordBatch.from_arrays([texts, langs], names=["text", "lang"])], 0, PORTION):
+                some = [t or "" for t in part.column(0).to_pylist()]
+                rows += [judge(t, lang, ids, model.foreign, encoding) for t, lang, ids in zip(some, part.column(1).to_pylist(), model.encode(some), strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
             yield pa.StructArray.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
+        # the worker lives on for other stages
+        model.forget()
 
     return run
 
@@ -237,5 +293,9 @@ def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that the rules keep, with all their columns."""
-    return docs.withColumn("_judged", _judged(docs, path, text_col, lang_col)).filter("_judged.kept").select(*docs.columns)
+    """The rows that the rules keep, with all their columns, whatever these are called.
+
+    Null and empty texts go, repeated rows are all kept or all dropped, an empty table stays empty.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed")
+    return docs.select(row, _judged(docs, path, text_col, lang_col).alias("judged")).filter("judged.kept").select("packed.*")

@@ -1,7 +1,8 @@
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -186,6 +187,23 @@ def test_quality(spark):
         assert not (r.kept and r.base_failed)
 
 
+def test_fertility_of_whole_texts(monkeypatch):
+    """Measures equal those of the libraries' ids of the whole text, long ones and a full memory included."""
+    monkeypatch.setattr(quality, "REMEMBERED", 20)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, encoding, pieces = sentencepiece.SentencePieceProcessor(model_file=path), quality.ranks(public_tokenizers.path(quality.MULTI)), quality.Pieces(path)
+    rng = random.Random(6)
+    some = ["Größe", "the", " ", "  ", "\n", "\r\n", "\t", "日本語", "🙂", "12", "don't", "▁", "a_b", "x" * 300, "\xa0", "<s>"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choices([*some, " "], k=n)) for n in (5, 50, 400, 20_000) for _ in range(4)] + ["word " * 20_000 + "déjà vu"]
+    assert [x.tolist() for x in pieces.encode(texts)] == library.encode(texts)
+    for t in texts:
+        ids, multi = library.encode(t), encoding.encode(t, disallowed_special=())
+        n = Counter(ids)
+        want = (len(t) / len(ids), sum(k for i, k in n.items() if library.is_byte(i) and library.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>")) / len(ids), -sum(k / len(ids) * math.log2(k / len(ids)) for k in n.values()), len(ids)) if ids else (0, 0, 0, 0)
+        assert quality.fertility(t, pieces.encode([t])[0], pieces.foreign) == pytest.approx(want), t[:99]
+        assert quality.multi_fertility(t, encoding)[2] == len(multi), t[:99]
+
+
 def test_quality_bands(spark):
     """Clean documents pass; symbol-laden words, tables of words and long words of fallback bytes don't."""
     path, d = public_tokenizers.path("piece_bpe_32k.model"), "/root/testdata/sf0.1"
