@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source that wants f copies of each document gets floor(f) whole copies of all and, with
-probability f - floor(f), one more of some. Which ones: documents of a source are dealt into
-classes of like size; each class has a fixed sample size, and the documents with the least ratio
-of random odds u / (1 - u) to inclusion odds p / (1 - p) are taken. Sample sizes are set from the
-largest class down, each carrying on what the rounding of the ones before left over, so that the
-words taken come within about one small document of the target.
+Each document of a source has its own expected copies: a price of the source times the fourth root
+of the document's size in words, as longer documents hold more running text, and at most
+MOST_COPIES. The price is set so that the expected words are the source's target. The whole part of
+a document's expected copies is certain; what is over is its inclusion probability p for one copy
+more. One sample for each source fills the words that the certain copies leave: its documents are
+ranked by random odds u / (1 - u) over inclusion odds p / (1 - p) and taken in that order while they
+fit. The sample's size is fixed in words, as sources are: where the next document is too long, PASSES
+go on behind it with those that still fit.
+
+The last rank taken comes from a histogram of the ranks; only the bin that it is in is ordered.
 """
 
 from __future__ import annotations
@@ -13,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import WORD, stash, text_of
+from quarrylane.llm.common import WORD, Workspace, attach, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Size classes for each doubling of the size, and rank bins of a class.
-FINE, BINS = 4, 4096
-#: Class tables of up to so many rows are broadcast.
+#: Bins of a source's ranks, and how often the sample goes on behind a document that is too long.
+BINS, PASSES = 1 << 16, 3
+#: Tables of up to so many sources are broadcast; of larger ones only the sources with many rows.
 SMALL = 100_000
 
 
@@ -48,102 +52,121 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return priced.select("source", "source_size", target.alias("target"))
 
 
-def uniform(column: str, seed: int) -> Column:
-    """A reproducible number in (0, 1) for an id."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 11).cast("double") + 0.5) * (2.0**-53)
-
-
-def _measured(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """Adds each row's size in words, size class and random odds."""
-    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    u = uniform(id_col, seed)
-    size_class = F.when(F.col("_words") > 0, F.floor(F.log2("_words") * FINE)).otherwise(-1).cast("int")
-    return docs.withColumn("_words", size).withColumn("_class", size_class).withColumn("_odds", u / (1 - u))
-
-
-def _rank(id_col: str) -> Column:
-    """What a class is ordered by; its inclusion odds are the same for all of its documents."""
-    ratio = F.col("_odds") / (F.col("take") / (F.col("n") - F.col("take")))
-    return F.struct(F.when(F.col("take") < F.col("n"), ratio).alias("ratio"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_words").alias("words"))
-
-
-def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Measured narrow rows, source targets, and for each class its copies and its last rank taken."""
-    measured = _measured(docs.select(id_col, source_col, text_col), id_col, text_col, seed)
-    rows = stash(measured.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "_words", "_class", "_odds"), "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("_words").alias("source_size"))
-    targets = stash(source_targets(sizes, weights, most), "targets")
-    classes = rows.filter("_words > 0").groupBy("source", "_class").agg(F.count("*").alias("n"), F.sum("_words").alias("words"))
-    same = classes["source"].eqNullSafe(targets["source"])
-    each = classes.join(targets, same).select(classes["source"], "_class", "n", "words", (F.col("target") / F.col("source_size")).alias("f"))
-    each = each.withColumn("whole", F.least(F.floor("f"), F.lit(most))).withColumn("part", F.greatest(F.lit(0.0), F.col("f") - F.col("whole")))
-
-    # from the largest class down: how many documents get one copy more; carry: words still owed
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("_class", "n", "words", "part", "whole"))))
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<_class:int,n:bigint,whole:bigint,take:bigint>>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        owed = acc["carry"] + c["part"] * c["words"]
-        room = F.when(c["whole"] < most, c["n"]).otherwise(F.lit(0))
-        take = F.least(room, F.greatest(F.lit(0), F.round(owed * c["n"] / c["words"]).cast("long")))
-        row = F.struct(c["_class"].alias("_class"), c["n"].alias("n"), c["whole"].alias("whole"), take.alias("take"))
-        return F.struct((owed - take * c["words"] / c["n"]).alias("carry"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    plan = each.groupBy("source").agg(ordered.alias("cs")).select("source", F.explode(F.aggregate("cs", start, step)["out"]).alias("c")).select("source", "c.*")
-    plan = stash(plan, "classes")
-
-    # the last rank taken: count ranks in bins of the draw, then order the one bin that it is in
-    ranked = _with(rows, plan).filter("take > 0 and take < n").withColumn("bin", F.floor(F.col("_odds") / (1 + F.col("_odds")) * BINS).cast("int"))
-    bins = ranked.groupBy("source", "_class", "bin").agg(F.count("*").alias("k"), F.first("take").alias("take"))
-    upto = Window.partitionBy("source", "_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = bins.withColumn("upto", F.sum("k").over(upto)).filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("k") < F.col("take")))
-    cut = stash(cut.select("source", "_class", F.col("bin").alias("cut"), (F.col("take") - F.col("upto") + F.col("k")).alias("left")), "cuts")
-    order = Window.partitionBy("source", "_class").orderBy("rank")
-    last = _with(ranked, cut).filter("bin = cut").withColumn("rank", _rank("doc_id")).withColumn("place", F.row_number().over(order)).filter("place = left")
-    last = last.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("rank").alias("last"))
-    joined = plan.join(last, plan["source"].eqNullSafe(last["_s"]) & (plan["_class"] == last["_c"]), "left").select("source", "_class", "n", "whole", "take", "last")
-    return rows, targets, stash(joined, "plan")
-
-
-def _copies(id_col: str) -> Column:
-    more = F.when(F.col("take") == F.col("n"), 1).when(F.col("last").isNotNull() & (_rank(id_col) <= F.col("last")), 1).otherwise(0)
-    return F.coalesce(F.col("whole") + more, F.lit(0)).cast("long")
+def uniform(identifier: Column, text: Column, seed: int) -> Column:
+    """A reproducible number in (0, 1) from 52 bits of a hash of id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(identifier.cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) * F.lit(2.0**-52)
+
+
+def _key(source: Column) -> Column:
+    """A source as a join key that is never null."""
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    """key, doc_id, source, size in words and draw of each row."""
+    text, identifier, source = text_of(text_col), F.col(id_col), F.col(source_col)
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    return docs.select(_key(source).alias("key"), identifier.alias("doc_id"), source.alias("source"), size.alias("size"), uniform(identifier, text, seed).alias("u"), *more)
+
+
+def _with_rank(rows: DataFrame, most: int) -> DataFrame:
+    """Adds certain copies, the rank in (0, 1) that odds over odds give, and its bin; rows have the price."""
+    copies = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.coalesce(F.col("price") * F.sqrt(F.sqrt("size")), F.lit(float(most))))).otherwise(0.0)
+    rows = rows.withColumn("expected", copies).withColumn("whole", F.floor("expected"))
+    p = F.col("expected") - F.col("whole")
+    ratio = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    rows = rows.withColumn("rank", F.when(p > 0, ratio / (1 + ratio)))
+    return rows.withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)))
+
+
+def _taken(k: int) -> Column:
+    """Is the row in the sample after k passes?"""
+    out = F.lit(False)
+    for i in range(k):
+        before = (F.col("bin") < F.col(f"bin{i}")) | ((F.col("bin") == F.col(f"bin{i}")) & (F.col("rank") <= F.col(f"rank{i}")))
+        out = out | (before & (F.col("size") <= F.col(f"left{i}")))
+    return F.coalesce(out, F.lit(False))
+
+
+def _join(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """Rows with their source's record, whatever the number of sources and their sizes."""
+    if n_sources <= SMALL:
+        return rows.join(F.broadcast(sources.drop("rows")), "key")
+    total = sources.agg(F.sum("rows").alias("n")).first().n
+    return attach(rows, sources, "key", "rows", total).drop("rows")
+
+
+def _plan(rows: DataFrame, work: Workspace, weights: tuple[int, ...], most: int) -> tuple[DataFrame, int]:
+    """key, rows, source_size, target, price and each pass's bin, rank and words left; the number of sources."""
+    by_size = work.stash(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    per_source = by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("rows"))
+    per_source = work.stash(per_source, "sources")
+    targets = source_targets(per_source.select("source", "source_size"), weights, most).withColumn("key", _key(F.col("source"))).drop("source")
+    targets = work.stash(targets.join(per_source.select(_key(F.col("source")).alias("key"), "rows"), "key"), "targets")
+
+    # the price: from the longest document down, the first that stays below ``most`` if all longer ones get ``most``
+    upto = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words, root = F.col("n") * F.col("size"), F.sqrt(F.sqrt("size"))
+    sized = by_size.filter("size > 0").drop("source").join(targets, "key")
+    sized = sized.withColumn("try", (F.col("target") - most * (F.col("source_size") - F.sum(words).over(upto))) / F.sum(words * root).over(upto))
+    prices = sized.groupBy("key").agg(F.max(F.when(F.col("try") * root <= most, F.struct("size", "try"))).alias("first")).select("key", F.col("first.try").alias("price"))
+    plan = targets.join(prices, "key", "left")
+    certain = _with_rank(by_size.drop("source").withColumn("u", F.lit(0.5)).join(plan.select("key", "price"), "key"), most)
+    certain = certain.groupBy("key").agg(F.sum(F.col("whole") * F.col("n") * F.col("size")).alias("certain"))
+    plan = plan.join(certain, "key", "left").withColumn("left0", F.col("target") - F.coalesce("certain", F.lit(0))).drop("certain")
+    plan = work.stash(plan, "plan")
+    n_sources = plan.count()
+    for k in range(PASSES):
+        # left: words that the sample still wants; all documents fit before the first pass
+        want = F.col(f"left{k}")
+        plan = plan.withColumn("want", want) if k else plan.withColumn("want", want).withColumn("left0", F.lit(float("inf")))
+        ranked = _with_rank(_join(rows, plan, n_sources), most).filter(F.col("rank").isNotNull() & ~_taken(k) & (F.col("size") <= F.col(f"left{k}")))
+        order = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = ranked.groupBy("key", "bin").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(order))
+        bins = bins.join(plan.select("key", "want"), "key")
+        over = F.col("upto") > F.col("want")
+        ends = bins.groupBy("key").agg(F.min(F.when(over, F.struct("bin", "upto", "words"))).alias("first"), F.max("upto").alias("all"))
+        ends = ends.select("key", F.coalesce("first.bin", F.lit(BINS)).alias(f"bin{k}"), F.coalesce(F.col("first.upto") - F.col("first.words"), F.col("all")).alias("before"))
+        plan = work.stash(plan.join(ends, "key", "left"), "plan")
+        # of the bin that the last rank is in, the documents that still fit; equal ranks stay together
+        inside = _with_rank(_join(rows, plan, n_sources), most).filter(F.col("rank").isNotNull() & ~_taken(k) & (F.col("size") <= F.col(f"left{k}")) & (F.col("bin") == F.col(f"bin{k}")))
+        order = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = inside.groupBy("key", "rank").agg(F.sum("size").alias("words"), F.first("want").alias("want"), F.first("before").alias("before"))
+        inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(order)).filter("upto <= want")
+        last = inside.groupBy("key").agg(F.max("rank").alias(f"rank{k}"), F.max("upto").alias("reached"))
+        plan = plan.join(last, "key", "left").withColumn(f"rank{k}", F.coalesce(f"rank{k}", F.lit(-1.0)))
+        plan = plan.withColumn(f"left{k + 1}", F.col("want") - F.coalesce("reached", "before", F.lit(0)))
+        plan = work.stash(plan.drop("want", "before", "reached"), "plan")
+    return plan, n_sources
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 10) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, source, size, source_size, target, expected, copies, taken.
 
-    ``size`` counts words (null text: 0), ``taken`` is copies times size. Null sources are one
-    source, the last. Documents without words are never taken. The same rows give the same mix:
-    randomness is a hash of the id, and ties go by id (null last), then size; rows equal in these
-    are all taken or none. An empty table gives no rows.
+    ``size`` counts words (null text: 0), ``taken`` is copies times size, ``expected`` the copies
+    that the document gets on average. Null sources are one source, the last. Documents without
+    words are never taken. The same rows give the same mix: randomness is a hash of id and text.
+    Rows equal in id and text have one rank, so beyond whole copies they are all taken or none. An
+    empty table gives no rows; other columns are not looked at.
     """
-    rows, targets, plan = _plan(docs, id_col, text_col, source_col, weights, most, seed)
-    taken = _with(rows, plan).withColumn("copies", _copies("doc_id"))
-    out = _with(taken.select("doc_id", "source", F.col("_words").alias("size"), "copies"), targets, on=("source",))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def _with(rows: DataFrame, side: DataFrame, on: tuple[str, ...] = ("source", "_class")) -> DataFrame:
-    """Left join with a table of sources or classes: broadcast while it is small, else dealt in 16."""
-    named = side.withColumnsRenamed({c: f"_of_{c}" for c in on})
-    same = [rows[c].eqNullSafe(named[f"_of_{c}"]) for c in on]
-    if side.count() <= SMALL:
-        return rows.join(F.broadcast(named), same, "left").drop(*[f"_of_{c}" for c in on])
-    salted = rows.withColumn("_salt", F.floor(F.rand(1) * 16).cast("long"))
-    spread = named.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
-    same = [salted[c].eqNullSafe(spread[f"_of_{c}"]) for c in on]
-    return salted.join(spread, [*same, salted["_salt"] == spread["_deal"]], "left").drop("_salt", "_deal", *[f"_of_{c}" for c in on])
+    work = Workspace(docs.sparkSession, "mix")
+    rows = work.stash(_measured(docs, id_col, text_col, source_col, seed), "rows")
+    plan, n_sources = _plan(rows, work, weights, most)
+    out = _with_rank(_join(rows, plan, n_sources), most).withColumn("copies", F.col("whole") + _taken(PASSES).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 10) -> DataFrame:
-    """The mix itself: each document's row as many times as it is taken, with all its columns.
+    """The mix itself: each document's row as many times as ``mix`` takes it, with all its columns.
 
-    Rows are compared with their class's last rank where they are; texts don't shuffle. Documents
-    without words have no part in the mix.
+    Rows are compared with their source's last ranks where they are; texts don't shuffle. Documents
+    without words have no part in the mix. Columns may have any names.
     """
-    _, _, plan = _plan(docs, id_col, text_col, source_col, weights, most, seed)
-    plan = plan.withColumnRenamed("source", "_source")
-    measured = _measured(docs, id_col, text_col, seed).withColumn("_source", F.col(source_col))
-    taken = _with(measured, plan, on=("_source", "_class")).withColumn("_copies", _copies(id_col)).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    work = Workspace(docs.sparkSession, "mix")
+    rows = work.stash(_measured(docs, id_col, text_col, source_col, seed), "rows")
+    plan, n_sources = _plan(rows, work, weights, most)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed")
+    again = _with_rank(_join(_measured(docs, id_col, text_col, source_col, seed, packed), plan, n_sources), most)
+    copies = (F.col("whole") + _taken(PASSES).cast("long")).cast("int")
+    return again.select("packed", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("packed.*")

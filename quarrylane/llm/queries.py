@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylane.llm import bpe, dedup, mixing, neardup, quality, secrets, tokens, toxicity, urls, warc
 from quarrylane.llm.common import table
@@ -56,7 +57,39 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source").withColumn("expected", F.round("expected", 6)).withColumn("target", F.round("target", 6))
+
+
+def _mix_sql() -> str:
+    most, passes = mixing.MOST_COPIES, []
+    for k in range(1, mixing.PASSES + 1):
+        before = f"p{k - 1}"
+        passes.append(f"""
+c{k} AS (SELECT *, CASE WHEN fit THEN sum(CASE WHEN fit THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST RANGE UNBOUNDED PRECEDING) END AS upto
+  FROM (SELECT *, rank IS NOT NULL AND NOT taken_more AND size <= room AS fit FROM {before})),
+p{k} AS (SELECT * EXCLUDE (fit, upto, taken_more, room, wanted), taken_more OR coalesce(upto <= wanted, false) AS taken_more,
+  wanted - coalesce(max(upto) FILTER (upto <= wanted) OVER s, 0) AS room, wanted - coalesce(max(upto) FILTER (upto <= wanted) OVER s, 0) AS wanted FROM c{k} WINDOW s AS (PARTITION BY source))""")
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  (('0x' || substr(md5('10:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) * pow(2.0::DOUBLE, -52) AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, {most}.0::DOUBLE * source_size AS cap, (sum(source_size) OVER () - coalesce(sum({most}.0::DOUBLE * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS unit
+  FROM s WINDOW b AS (ORDER BY {most}.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(unit, cap / w) FROM r WHERE cap >= unit * w) * w, cap)) AS target FROM r),
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+y AS (SELECT z.source, size, (target - {most} * (source_size - sum(n * size) OVER o)) / sum(n * size * sqrt(sqrt(size))) OVER o AS try
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY z.source ORDER BY size)),
+price AS (SELECT source, arg_max(try, size) FILTER (try * sqrt(sqrt(size)) <= {most}) AS price FROM y GROUP BY source),
+e AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN least({most}.0::DOUBLE, coalesce(price * sqrt(sqrt(size)), {most}.0::DOUBLE)) ELSE 0.0::DOUBLE END AS expected
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN price ON d.source IS NOT DISTINCT FROM price.source),
+f AS (SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p FROM e),
+g AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS ratio FROM f),
+p0 AS (SELECT *, CASE WHEN ratio IS NOT NULL THEN ratio / (1 + ratio) END AS rank, false AS taken_more, 'inf'::DOUBLE AS room, target - sum(whole * size) OVER (PARTITION BY source) AS wanted FROM g),{",".join(passes)}
+SELECT doc_id, size, source_size, round(target, 6) AS target, round(expected, 6) AS expected, whole + taken_more::BIGINT AS copies, (whole + taken_more::BIGINT) * size AS taken FROM p{mixing.PASSES}
+"""
+
+
+ORACLES["op10_mix_sources"] = _mix_sql()
 
 
 @query

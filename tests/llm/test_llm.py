@@ -106,7 +106,7 @@ def test_mixing(spark):
     texts = ["x " * int(rng.paretovariate(0.8) * 20 + 1) for _ in range(600)] + ODD
     df = docs(spark, texts)
     got = mixing.mix(df).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect())) or {r.doc_id: r.taken for r in got} == {r.doc_id: r.taken for r in mixing.mix(df.repartition(3)).collect()}
+    assert sorted((r.doc_id, r.copies) for r in mixing.mix(df.repartition(3)).collect()) == sorted((r.doc_id, r.copies) for r in got)
     size = defaultdict(int)
     for i, t in enumerate(texts):
         size[f"s{i % 3}" if i % 4 else None] += len(words(t))
@@ -129,10 +129,30 @@ def test_mixing(spark):
         assert r.target == pytest.approx(target[r.source])
         taken[r.source] += r.taken
     assert all(taken[s] == pytest.approx(target[s], rel=0.03) for s in order)
-    assert mixing.mixed_rows(df).count() == sum(r.copies for r in got)
+    clash = df.withColumns({c: F.lit(-1) for c in ("key", "rows", "size", "u", "price", "rank", "bin", "left0", "whole", "packed", "copy")})
+    copies = Counter(r.doc_id for r in mixing.mixed_rows(clash).filter("rank = -1 and packed = -1").collect())
+    assert copies == {r.doc_id: r.copies for r in got if r.copies}
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_inclusion_and_odd_ids(spark, monkeypatch):
+    """Copies follow each document's own expectation; null ids have draws of their own; many sources."""
+    rows = [(None if i % 2 else i, f"t{i} " * (1, 16, 81)[i % 3], None, "b" if i < 3000 else "a", i) for i in range(4500)]
+    df = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(df).collect()
+    for source in "ab":
+        for size in (1, 16, 81):
+            of = [r for r in got if r.source == source and r.size == size]
+            p = of[0].expected % 1
+            assert abs(sum(r.copies - r.expected for r in of)) <= 4 * (len(of) * p * (1 - p)) ** 0.5 + 1e-6
+            assert {r.copies for r in of} <= {math.floor(of[0].expected), math.ceil(of[0].expected)}
+        own = [r for r in got if r.source == source]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.002)
+        assert own[0].expected != own[1].expected
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert sorted((r.doc_id or -1, r.size, r.copies) for r in mixing.mix(df).collect()) == sorted((r.doc_id or -1, r.size, r.copies) for r in got)
+
+
 def test_bpe_equals_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
