@@ -5,9 +5,10 @@ every header line. Records are cut out by their declared lengths. What WARC need
 synthesised: record ids from the archive's name and the record's offset, ISO timestamps, record
 types and SHA-256 digests.
 
-Records of text are written with Spark's text writer, whose line separator is the one that the
-format asks for after each record, so archives can go to any file system that Spark writes to. A
-file holds a bounded number of records and is parsed as a whole.
+Records are bytes of any encoding. Tasks pack them into archives of about ARCHIVE_BYTES, or of one
+record, and each archive is a row that Spark's text writer writes as it is to a file of its own, with
+the separator that the format asks for after each record; so archives can go to any file system that
+Spark writes to. An archive is parsed as a whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm import bloom
-from quarrylane.llm.common import attach, scratch, stash, text_of
+from quarrylane.llm.common import attach, portions, scratch, stash
 
 #: Fields of a header line, by version.
 ARC_FIELDS = {
@@ -32,53 +33,57 @@ ARC_FIELDS = {
 }
 #: Payloads from this size on may be revisits.
 LEAST_REVISIT = 100
-#: Bytes that an archive should hold, and the most records.
-ARCHIVE_BYTES, MOST_RECORDS = 1 << 25, 20_000
+#: Bytes of records from which on an archive is closed.
+ARCHIVE_BYTES = 1 << 24
 PAGE_HEADER = "X-Page-Id"
 DATE = "20260101000000"
 
 
-def records_per_file(pages: DataFrame, text: Column) -> int:
-    """So many records that an archive has about ARCHIVE_BYTES."""
-    mean = pages.agg(F.avg(F.octet_length(text) + 400).alias("m")).first().m or 400
-    return int(max(2, min(MOST_RECORDS, ARCHIVE_BYTES // mean)))
-
-
 def version_block(version: int, name: str) -> str:
     lines = f"{version} 0 Quarrylane\n{' '.join(ARC_FIELDS[version])}\n"
     values = {"URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/plain", "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": "0", "Filename": name, "Archive-length": str(len(lines))}
     return f"{' '.join(values[f] for f in ARC_FIELDS[version])}\n{lines}"
 
 
-def _to_arc(version: int, per_file: int):
+def _archive(records: list[bytes], separator: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([separator.join(records)], pa.binary())], names=["value"])
+
+
+def _write(archives: DataFrame, folder: str, separator: str, compression: str) -> None:
+    """A file for each row of bytes."""
+    rows = archives.select(F.col("value").cast("string"))
+    rows.write.option("lineSep", separator).option("compression", compression).option("maxRecordsPerFile", 1).mode("append").text(folder)
+
+
+def _to_arc(version: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, offset, name = 0, 0, ""
-        for batch in batches:
-            out = []
+        out: list[bytes] = []
+        offset, name = 0, ""
+        for batch in portions(batches, 2):
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row % per_file == 0:
+                if not out:
                     name = f"{uuid.uuid4().hex}.arc"
-                    out.append(version_block(version, name))
-                    offset, row = len(out[-1]) + 1, row + 1
-                body = html or ""
-                size = len(body.encode())
+                    out.append(version_block(version, name).encode())
+                    offset = len(out[0]) + 1
+                body = html or b""
                 mark = "" if page is None else f"{PAGE_HEADER}: {page}\r\n"
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{mark}Content-Length: {size}\r\n\r\n{body}"
-                length = len(block.encode())
-                values = {"URL": (url or "-").replace("\r", "%0D").replace("\n", "%0A") or "-", "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/html", "Result-code": "200", "Checksum": hashlib.md5(block.encode()).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name, "Archive-length": str(length)}
-                head = " ".join(values[f] for f in ARC_FIELDS[version])
-                out.append(f"{head}\n{block}")
-                offset, row = offset + len(head.encode()) + length + 2, row + 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body
+                values = {"URL": (url or "-").replace("\r", "%0D").replace("\n", "%0A") or "-", "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/html", "Result-code": "200", "Checksum": hashlib.md5(block).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name, "Archive-length": str(len(block))}
+                out.append(" ".join(values[f] for f in ARC_FIELDS[version]).encode() + b"\n" + block)
+                offset += len(out[-1]) + 1
+                if offset >= limit:
+                    yield _archive(out, b"\n")
+                    out = []
+        if out:
+            yield _archive(out, b"\n")
 
     return run
 
 
 def write_arc(pages: DataFrame, folder: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "gzip") -> None:
-    """Write ARC files of one version with an HTTP response for each row (null html: empty)."""
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
-    per_file = records_per_file(rows, text_of(html_col))
-    rows.mapInArrow(_to_arc(version, per_file), "value string").write.option("lineSep", "\n").option("compression", compression).option("maxRecordsPerFile", per_file).mode("append").text(folder)
+    """Write ARC files of one version with an HTTP response for each row (text or bytes; null html: empty)."""
+    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("binary"))
+    _write(rows.mapInArrow(_to_arc(version, ARCHIVE_BYTES), "value binary"), folder, "\n", compression)
 
 
 @dataclass
@@ -142,12 +147,12 @@ def _number(x: str | None) -> int | None:
     return int(x) if x and x.lstrip("-").isdigit() else None
 
 
-ARC_ROW = "record_id string, kind string, uri string, date string, ip string, page_id long, head string, payload string, payload_bytes long, payload_digest string"
+ARC_ROW = "record_id string, kind string, uri string, date string, ip string, page_id long, head binary, payload binary, payload_bytes long, payload_digest string"
 
 
 def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ARC_ROW.split(", ")]
-    types = [pa.int64() if x.endswith("long") else pa.string() for x in ARC_ROW.split(", ")]
+    types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in ARC_ROW.split(", ")]
     for batch in batches:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows: list[tuple] = []
@@ -157,7 +162,7 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, payload, http = (b"", r.block, {}) if info else http_parts(r.block)
                 name = r.fields["URL"] if info else f"{path.rsplit('/', 1)[-1]}#{r.offset}"
                 kind = "warcinfo" if info else "response" if head else "resource"
-                rows.append((str(uuid.uuid5(uuid.NAMESPACE_URL, name)), kind, r.fields["URL"], iso_date(r.fields["Archive-date"]), r.fields["IP-address"], _number(http.get(PAGE_HEADER.lower())), head.decode(), payload.decode(), len(payload), hashlib.sha256(payload).hexdigest()))
+                rows.append((str(uuid.uuid5(uuid.NAMESPACE_URL, name)), kind, r.fields["URL"], iso_date(r.fields["Archive-date"]), r.fields["IP-address"], _number(http.get(PAGE_HEADER.lower())), head, payload, len(payload), hashlib.sha256(payload).hexdigest()))
                 size += len(payload)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -167,18 +172,36 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives in a folder; payloads must be UTF-8."""
+    """The records of all archives in a folder; heads and payloads are bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     return files.mapInArrow(_from_arc, ARC_ROW)
 
 
 def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Column:
-    """A WARC record as a string, without the two line ends after it."""
+    """A WARC record as bytes, without the two line ends after it."""
     lines = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\n"), *[F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields]]
-    return F.concat(*lines, F.lit("WARC-Block-Digest: sha256:"), F.sha2(block.cast("binary"), 256), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
+    head = F.concat(*lines, F.lit("WARC-Block-Digest: sha256:"), F.sha2(block, 256), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
+    return F.concat(head.cast("binary"), block)
+
+
+def _to_warc(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0):
+                out.append(value.as_py())
+                size += len(out[-1])
+                if size >= limit:
+                    yield _archive(out, b"\r\n\r\n")
+                    out, size = [], 0
+        if out:
+            yield _archive(out, b"\r\n\r\n")
+
+    return run
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str, compression: str = "none") -> None:
+def convert(spark: SparkSession, arc_folder: str, warc_folder: str, compression: str = "gzip") -> None:
     """Write WARC files from ARC files.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, the one with the smallest page id
@@ -210,10 +233,8 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, compression:
         .when(F.col("refers_to").isNull(), _record("response", [*common, *target, *http], text))
         .otherwise(_record("revisit", [*common, *target, *revisit, *http], F.col("head")))
     )
-    out = alone.unionByName(shared)
-    mean = narrow.agg(F.avg("payload_bytes").alias("m")).first().m or 0
-    per_file = int(max(2, min(MOST_RECORDS, ARCHIVE_BYTES // (mean + 1000))))
-    out.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(warc_folder)
+    out = alone.unionByName(shared).select(value.alias("value"))
+    _write(out.mapInArrow(_to_warc(ARCHIVE_BYTES), "value binary"), warc_folder, "\r\n\r\n", compression)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -275,7 +296,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages to ARC (even hashes of the id as version 1, odd ones as 2), to WARC, and read back.
 
-    One row per input row. Null html is an empty payload, a null id stays null and loses to others,
+    One row per input row. html may be text or bytes of any encoding; null is an empty payload, a null id stays null and loses to others,
     a null url is written as ``-``. Of rows that repeat id and payload, one is the response. An
     empty table gives no rows.
     """

@@ -287,6 +287,19 @@ def test_archives_with_urls_like_version_blocks(spark, tmp_path):
         assert [r.kind for r in found].count("warcinfo") == 1 and {r.page_id for r in found if r.kind == "response"} == set(range(20))
 
 
+def test_archives_of_bytes_and_long_pages(spark, tmp_path, monkeypatch):
+    """Latin-1, NUL and long payloads come back as they were; archives close at their size."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    rows = [(1, "http://a/é", "naïve é".encode("latin-1") * 40), (2, "u", b"\x00\xff\r\n\r\n" * 30), (3, "u", b"x" * 40_000), (4, "u", b"\x00\xff\r\n\r\n" * 30), (5, None, None)]
+    rows += [(i, "u", b"%d " % i * 200) for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html binary").withColumn("value", F.lit("x")).withColumn("maybe", F.lit(1)).coalesce(1)
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {i: (len(b or b""), hashlib.sha256(b or b"").hexdigest()) for i, _, b in rows}
+    assert {k: r.refers_to for k, r in got.items() if r.record_type == "revisit"} == {4: 2}
+    warc.write_arc(df, str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("part-*"))) >= 4
+
+
 def test_toxicity(spark):
     lexicon = toxicity.Lexicon([toxicity.Term("idiot", False, 2.0), toxicity.Term("worthless", False, 2.0), toxicity.Term("achl", True, 1.0)])
 
