@@ -52,9 +52,10 @@ def without(df: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     Only rows that the filter lets pass shuffle.
     """
     log2 = log_bits(dropped.count())
-    bitmaps = build(dropped.select(F.xxhash64(id_col).alias("_key")), "_key", log2)
-    flagged = flag(df.withColumn("_key", F.xxhash64(F.col(id_col))), F.col("_key"), bitmaps, log2, "_maybe").drop("_key")
-    gone = dropped.select(F.col(id_col).alias("_gone")).distinct()
-    maybe = flagged.filter("_maybe")
-    rest = maybe.join(gone, maybe[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    return flagged.filter(~F.col("_maybe")).drop("_maybe").unionByName(rest.drop("_maybe"))
+    bitmaps = build(dropped.select(F.xxhash64(id_col).alias("key")), "key", log2)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("packed"), F.col(id_col).alias("id"))
+    flagged = flag(rows, F.xxhash64("id"), bitmaps, log2, "maybe")
+    gone = dropped.select(F.col(id_col).alias("gone")).distinct()
+    maybe = flagged.filter("maybe")
+    rest = maybe.join(gone, maybe["id"].eqNullSafe(gone["gone"]), "left_anti")
+    return flagged.filter(~F.col("maybe")).select("packed.*").unionByName(rest.select("packed.*"))

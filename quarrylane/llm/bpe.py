@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import operator
 import re
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,12 +127,11 @@ class ForcedBoundaries:
         """As the library without a decoder: the tokens, special ones too, with spaces between."""
         return " ".join([self.token[i] for i in ids if i in self.token])
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the text that they are decoded to."""
-        packed = self.packed(text)
+    def digest(self, packed: bytes) -> tuple[str, str]:
+        """SHA-256 of packed ids and of the text that they are decoded to."""
         ids = struct.unpack(f"<{len(packed) // 4}I", packed)
         decoded = " ".join(map(self.tokens.__getitem__, ids))
-        return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,13 +140,24 @@ def encoder(path: str) -> ForcedBoundaries:
     return ForcedBoundaries(path)
 
 
-def _round_trip(path: str):
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+def _round_trip(path: str, with_ids: bool = False):
+    ids_type = "ids:array<int>," if with_ids else ""
+
+    @F.arrow_udf(f"struct<{ids_type}n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(path)
         for texts in batches:
-            counts, ids, decoded = zip(*[e.digest(t.as_py() or "") for t in texts], strict=True) if len(texts) else ((), (), ())
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+            packed = [e.packed(t.as_py() or "") for t in texts]
+            found = [e.digest(p) for p in packed]
+            columns = {
+                "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
+                "ids_sha256": pa.array([f[0] for f in found], pa.string()),
+                "decoded_sha256": pa.array([f[1] for f in found], pa.string()),
+            }
+            if with_ids:
+                ends = pa.array(itertools.accumulate((len(p) // 4 for p in packed), initial=0), pa.int32())
+                columns = {"ids": pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))} | columns
+            yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -188,3 +200,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
     found = docs.select(F.col(id_col).alias("doc_id"), _round_trip(path)(text_of(text_col)).alias("r"))
     return found.select("doc_id", "r.*")
+
+
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``digests`` gives, and the ids themselves in ``ids``."""
+    found = docs.select(F.col(id_col).alias("doc_id"), _round_trip(path, with_ids=True)(text_of(text_col)).alias("r"))
+    return found.select("doc_id", "r.*")

@@ -42,20 +42,23 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``mark_copies`` keeps, with all their columns.
+    """The rows that ``mark_copies`` keeps, with all their columns, whatever these are called.
 
-    Whole texts of unique rows don't shuffle. A row that repeats both id and text stays once.
+    Whole texts of unique rows don't shuffle. Null and empty texts are one group, of which one row
+    stays. Of rows that repeat id, text and length, any one stays. An empty table stays empty.
     """
     marks = stash(mark_copies(docs, id_col, text_col).filter("group_size > 1"), "marks")
     log2 = bloom.log_bits(marks.count())
-    key = F.xxhash64(F.sha2(squeezed(text_of(text_col)).cast("binary"), 256))
-    bitmaps = bloom.build(marks.select(F.xxhash64("text_sha256").alias("_key")), "_key", log2)
-    flagged = bloom.flag(docs.withColumn("_key", key), F.col("_key"), bitmaps, log2, "_maybe").drop("_key")
-    sha = F.sha2(squeezed(text_of(text_col)).cast("binary"), 256)
-    maybe = flagged.filter("_maybe").withColumn("_sha", sha).withColumn("_n", F.length(text_of(text_col)).cast("long"))
+    bitmaps = bloom.build(marks.select(F.xxhash64("text_sha256").alias("key")), "key", log2)
+    text = text_of(text_col)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed")
+    rows = docs.select(packed, F.col(id_col).alias("id"), F.sha2(squeezed(text).cast("binary"), 256).alias("sha"), F.length(text).cast("long").alias("n"))
+    flagged = bloom.flag(rows, F.xxhash64("sha"), bitmaps, log2, "maybe")
+    maybe = flagged.filter("maybe")
     # a row that the filter lets pass without being a copy has no mark
-    repeated = marks.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_mark"), F.col("n_chars").alias("_len")).agg(F.max("kept").alias("_kept"))
-    same = maybe[id_col].eqNullSafe(repeated["_id"]) & (maybe["_sha"] == repeated["_mark"]) & (maybe["_n"] == repeated["_len"])
-    joined = maybe.join(repeated, same, "left").filter(F.coalesce("_kept", F.lit(True)))
-    marked = joined.filter(F.col("_kept").isNotNull()).dropDuplicates([id_col, "_sha"])
-    return flagged.filter(~F.col("_maybe")).select(*docs.columns).unionByName(joined.filter(F.col("_kept").isNull()).select(*docs.columns)).unionByName(marked.select(*docs.columns))
+    marked = marks.groupBy(F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_sha"), F.col("n_chars").alias("of_n")).agg(F.max("kept").alias("kept"))
+    same = maybe["id"].eqNullSafe(marked["of_id"]) & (maybe["sha"] == marked["of_sha"]) & (maybe["n"] == marked["of_n"])
+    joined = maybe.join(marked, same, "left").filter(F.coalesce("kept", F.lit(True)))
+    once = joined.filter(F.col("kept").isNotNull()).dropDuplicates(["id", "sha"]).select("packed")
+    alone = flagged.filter(~F.col("maybe")).select("packed").unionByName(joined.filter(F.col("kept").isNull()).select("packed"))
+    return alone.unionByName(once).select("packed.*")

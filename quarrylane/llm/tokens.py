@@ -1,6 +1,7 @@
 """Token counts: SentencePiece lengths from Arrow functions.
 
-Batches are encoded in portions of about equal bytes, and only lengths leave the worker. A long
+An Arrow batch is cut by the bytes of its texts into portions of about PORTION bytes, before they
+become Python strings; each portion is encoded in one call, and only lengths leave the worker. A long
 text is split where no piece of the vocabulary can reach across: before a run of spaces, as pieces
 hold the space mark at their start only. The library puts a space mark before each part, in place
 of the one that is cut off.
@@ -17,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import text_of
+from quarrylane.llm.common import portions, text_of
 
 PORTION = 1 << 20
 LONG = 1 << 16
@@ -59,7 +60,7 @@ def lengths(texts: list[str], m: sentencepiece.SentencePieceProcessor, can_split
         for part in split(text) if can_split and len(text) > LONG else [text]:
             owners.append(i)
             pending.append(part)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= PORTION:
                 flush()
                 size = 0
@@ -73,7 +74,10 @@ def _count(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, can_split = model(path)
         for texts in batches:
-            yield pa.array(lengths([t.as_py() or "" for t in texts], m, can_split), pa.int64())
+            counts: list[int] = []
+            for part in portions([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, PORTION):
+                counts += lengths([t or "" for t in part.column(0).to_pylist()], m, can_split)
+            yield pa.array(counts, pa.int64())
 
     return run
 

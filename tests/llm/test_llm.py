@@ -329,11 +329,67 @@ def test_toxicity(spark):
     assert toxicity.judge(docs(spark, ODD), toxicity.train(docs(spark, ODD), labels.limit(0))).count() == len(ODD)
 
 
+def brute_mix(rows):
+    """Copies of each row by the mix's definition, in plain Python; no document is of no words."""
+    def words_of(r):
+        return len(words(r.text))
+
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(words_of(r) for r in rows if r.source == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, free, left = {}, set(sources), float(sum(total.values()))
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = [s for s in free if unit * weight[s] > 3 * total[s]]
+        if not over:
+            target |= {s: unit * weight[s] for s in free}
+            break
+        target |= {s: 3.0 * total[s] for s in over}
+        left -= sum(target[s] for s in over)
+        free -= set(over)
+    out = {}
+    for s in sources:
+        own = sorted((r for r in rows if r.source == s), key=words_of)
+        price = None
+        for k in range(len(own), 0, -1):
+            if k < len(own) and words_of(own[k - 1]) == words_of(own[k]):
+                continue
+            price = (target[s] - 3 * sum(map(words_of, own[k:]))) / sum(words_of(r) ** 1.25 for r in own[:k])
+            if price * words_of(own[k - 1]) ** 0.25 <= 3:
+                break
+            price = None
+        ranked, want = [], target[s]
+        for r in own:
+            expected = 3.0 if price is None else min(3.0, price * words_of(r) ** 0.25)
+            out[r.doc_id], p = math.floor(expected), expected % 1
+            want -= out[r.doc_id] * words_of(r)
+            text = hashlib.md5(r.text.encode()).hexdigest()
+            u = (int(hashlib.md5(f"10:{r.doc_id}:{text}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if p:
+                ranked.append((u / (1 - u) / (p / (1 - p)), words_of(r), r.doc_id))
+        ranked.sort()
+        room = math.inf
+        for _ in range(mixing.PASSES):
+            used, taken = 0, []
+            for x in (x for x in ranked if x[1] <= room):
+                if used + x[1] > want:
+                    break
+                used += x[1]
+                taken.append(x)
+            for x in taken:
+                out[x[2]] += 1
+                ranked.remove(x)
+            want -= used
+            room = want
+    return out
+
+
 def test_pipeline(spark):
+    """Ids, copies and token ids of run() equal those of a brute-force version of all stages."""
     d = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, d).collect()
-    rows = spark.read.parquet(f"{d}/documents.parquet")
-    kept = quality.keep_good(rows, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
+    library, pieces, encoding = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), quality.Pieces(public_tokenizers.path("piece_bpe_32k.model")), quality.ranks(public_tokenizers.path(quality.MULTI))
+    kept = [r for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect() if quality.judge(r.text or "", r.lang, pieces.encode([r.text or ""])[0], pieces.foreign, encoding)[6]]
     best = {}
     for r in kept:
         k = re.sub(r"[\x20\x09-\x0D]", "", r.text)
@@ -341,6 +397,32 @@ def test_pipeline(spark):
             best[k] = r
     left = sorted(best.values(), key=lambda r: r.doc_id)
     comps = brute_components([r.text for r in left], 5)[1]
-    ids = {left[i].doc_id for i in range(len(left)) if comps[i] == i}
-    assert {r.doc_id for r in got} <= ids and len({r.doc_id for r in got}) > 0.3 * len(ids)
+    copies = brute_mix([r for i, r in enumerate(left) if comps[i] == i])
+    assert Counter(r.doc_id for r in got) == {k: n for k, n in copies.items() if n}
+    texts = {r.doc_id: r.text for r in left}
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert set(queries.QUERIES) == {q for q in queries.QUERIES if re.match(r"op\d+_", q)} and len(queries.QUERIES) == 10
+
+
+CLASHES = ("packed", "id", "sha", "n", "maybe", "kept", "key", "row", "judged", "rank", "size", "_pos0", "_bucket1", "doc_id_", "r", "gone")
+
+
+def test_stages_keep_odd_columns_and_rows(spark):
+    """Null ids and texts, repeated rows, clashing column names and empty tables, through every stage."""
+    text = " ".join(f"the word{i} of" for i in range(40))
+    rows = [(None, text), (None, text), (1, None), (1, ""), (2, text + " end"), (2, text + " end"), (3, " ".join(f"and other{i} to" for i in range(60)))]
+    df = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", k) for k, (i, t) in enumerate(rows)], DOC).withColumns({c: F.lit(7) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        got = out.collect()
+        if name != "encode":
+            assert out.columns == df.columns and all(r[c] == 7 for r in got for c in CLASHES), name
+        if name == "exact_dedup":
+            assert sorted(r.n_chars for r in got)[1:] and len(got) == 4
+        if name == "near_dedup":
+            assert len(got) == 4 and {r.doc_id for r in got if r.text and "end" in r.text} == {2}
+        assert stage(spark, df.limit(0), "").count() == 0, name
