@@ -15,27 +15,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; null and empty texts don't."""
     ship(spark)
     return quality.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the longest, then the one with the smallest id."""
     return dedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
     ship(spark)
     return neardup.drop_near_copies(docs, width=5, threshold=(80, 100))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it; those without words never."""
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document and copy: doc_id and the digests of its ids and decoded text."""
+    """One row per document and copy: doc_id, token ids, their number, digests of ids and decoded text."""
     ship(spark)
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -46,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("encode", encode),
 ]
 
-#: Near duplicates by MinHash, SentencePiece and BPE have no SQL; tests hold run() against brute force.
+#: Verdicts by vocabularies and BPE have no SQL; a test holds the rows of run() against brute force.
 ORACLE_SQL = None
 
 
