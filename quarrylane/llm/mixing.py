@@ -22,7 +22,7 @@ from quarrylane.llm.common import WORD, Workspace, attach, text_of
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Bins of a source's ranks, and how often the sample goes on behind a document that is too long.
-BINS, PASSES = 1 << 16, 3
+BINS, PASSES = 1 << 12, 3
 #: Tables of up to so many sources are broadcast; of larger ones only the sources with many rows.
 SMALL = 100_000
 
