@@ -21,9 +21,99 @@ def at_least_one(rows: DataFrame, *by: str, p: str = "p") -> DataFrame:
     return rows.groupBy(*by).agg((1 - F.product(1 - F.col(p))).alias("p_any"))
 
 
-def with_common_factor(rows: DataFrame, factor: float, group: str = "correlation_group", p: str = "p") -> DataFrame:
-    """P of at least one, where a group counts once with its largest P, under one common factor."""
-    return rows.groupBy(group).agg(F.max(p).alias("p")).agg((factor * (1 - F.product(1 - F.col("p")))).alias("p_any"))
+def with_common_factor(rows: DataFrame, factor: float, group: str = "correlation_group", p: str = "p", otherwise: str = "p_otherwise", chance: str = "chance") -> DataFrame:
+    """P of at least one under a factor common to all groups.
+
+    A group's members depend on one condition: with ``chance`` it holds and they have ``p``, else
+    ``p_otherwise`` (null: 0). A group without a chance (null) has ``p`` for sure.
+    """
+    w, other = F.coalesce(F.first(chance, ignorenulls=True), F.lit(1.0)), F.coalesce(F.col(otherwise), F.lit(0.0))
+    mixed = w * (1 - F.product(1 - F.col(p))) + (1 - w) * (1 - F.product(1 - other))
+    return rows.groupBy(group).agg(mixed.alias("p")).agg((factor * (1 - F.product(1 - F.col("p")))).alias("p_any"))
+
+
+def quantiles(rows: DataFrame, by: str, value: str, points: dict[str, float], width: float) -> DataFrame:
+    """Interpolated quantiles by name for each group, without holding a group's values in one place.
+
+    Equal values are counted first; ranks are found in bins of ``width``, and only the bins that
+    hold a wanted rank are ordered. Nulls don't count.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("v") / width))
+    bins = counts.groupBy(by, "bin").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = bins.withColumn("total", F.sum("n").over(Window.partitionBy(by))).withColumn("before", upto - F.col("n"))
+    place = {name: q * (F.col("total") - 1) for name, q in points.items()}
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(x).cast("long").alias("rank"), (x - F.floor(x)).alias("rest"), F.lit(i).alias("end")) for name, x in place.items() for i, rank in enumerate((F.floor, F.ceil))])
+    sought = bins.select(by, "bin", "n", "before", F.explode(wanted).alias("w")).filter("w.rank >= before and w.rank < before + n").select(by, "bin", "before", "w.*")
+    inside = counts.select(F.col(by).alias("_by"), F.col("bin").alias("_bin"), "v", "n")
+    met = sought.join(inside, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bin") == F.col("_bin")))
+    order = Window.partitionBy(by, "name", "end").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = met.withColumn("upto", F.col("before") + F.sum("n").over(order)).filter("upto > rank and upto - n <= rank")
+    weighted = F.sum(F.when(F.col("end") == 0, (1 - F.col("rest")) * F.col("v")).otherwise(F.col("rest") * F.col("v")))
+    return ends.groupBy(by).pivot("name", list(points)).agg(weighted)
+
+
+def total_probability(rows: DataFrame, by: str, weight: str = "w", p: str = "p") -> DataFrame:
+    return rows.groupBy(by).agg(F.sum(F.col(weight) * F.col(p)).alias("p"))
+
+
+def unit_ceiling(items: DataFrame, by: str) -> DataFrame:
+    """Sum of quantity times price less a fee, less costs; null fees and costs are nothing."""
+    net = F.col("qty") * F.col("price") * (1 - F.coalesce("fee", F.lit(0.0))) - F.coalesce("cost", F.lit(0.0))
+    return items.groupBy(by).agg(F.sum(net).alias("ceiling"))
+
+
+def retained(setups: DataFrame, by: str, n: str = "n", rate: float = 0.8) -> DataFrame:
+    """Customers left of all monthly cohorts."""
+    return setups.groupBy(by).agg((F.sum(n) * rate).alias("customers"))
+
+
+def in_currency(rows: DataFrame, rates: DataFrame, amount: str = "amount", ccy: str = "ccy") -> DataFrame:
+    """Adds ``converted``: the amount at the stated rate of its currency; without a rate: null."""
+    return rows.join(F.broadcast(rates.select(F.col("ccy").alias("_ccy"), "rate")), F.col(ccy) == F.col("_ccy"), "left").withColumn("converted", F.col(amount) * F.col("rate")).drop("_ccy", "rate")
+
+
+def originality(rows: DataFrame, same_model: str, same_topic: str) -> DataFrame:
+    """Level of a candidate against a list: L1 (model and topic) is dropped, L2 (model only) flagged, L3 passes."""
+    level = F.when(F.col(same_model) & F.col(same_topic), "L1").when(F.col(same_model), "L2").otherwise("L3")
+    return rows.withColumn("level", level).filter("level <> 'L1'").withColumn("flag", F.col("level") == "L2")
+
+
+def to_close(rows: DataFrame, revenue: str, ceiling: str, open_deals: str) -> DataFrame:
+    """At day 60: less than a tenth of the ceiling and no open deals."""
+    return rows.filter((F.col(revenue) < 0.1 * F.col(ceiling)) & (F.col(open_deals) == 0))
+
+
+def busy(requests: DataFrame, by: str, ts: str, least: int = 3, days: int = 14) -> DataFrame:
+    """by, day, n: days on which a place has had ``least`` requests in the trailing days."""
+    daily = requests.groupBy(by, F.to_date(ts).alias("day")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(by).orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(1 - days, 0)
+    return daily.select(by, "day", F.sum("k").over(w).alias("n")).filter(F.col("n") >= least)
+
+
+def hourly_rate(weeks: DataFrame, by: str, week: str = "week", usd: str = "usd", hours: str = "hours", span: int = 4) -> DataFrame:
+    """Dollars per hour over the trailing weeks; weeks without a row between a group's first and last count as empty."""
+    ends = weeks.groupBy(by).agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
+    dense = ends.select(by, F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias(week)).join(weeks, [by, week], "left")
+    w = Window.partitionBy(by).orderBy(week).rowsBetween(1 - span, Window.currentRow)
+    return dense.select(by, week, F.try_divide(F.sum(usd).over(w), F.sum(hours).over(w)).alias("per_hour"))
+
+
+def next_to_close(rates: DataFrame, order: DataFrame, key: str, per_hour: str = "per_hour", by: str = "week") -> DataFrame:
+    """Whom to close: the least dollars per hour; on ties, as when nobody earns, the first in a fixed order."""
+    placed = rates.join(F.broadcast(order), key)
+    return placed.groupBy(by).agg(F.min_by(key, F.struct(F.coalesce(per_hour, F.lit(0.0)), "place")).alias(key))
+
+
+def mark_duplicates(rows: DataFrame, marks: DataFrame, key: str = "id") -> DataFrame:
+    """Adds ``status`` and ``of`` from (key, of): duplicates are marked and stay."""
+    marked = rows.join(marks.select(key, F.col("of")), key, "left")
+    return marked.withColumn("status", F.when(F.col("of").isNotNull(), "duplicate").otherwise("own"))
+
+
+def renamed_ids(rows: DataFrame, crosswalk: DataFrame, key: str = "id") -> DataFrame:
+    """Ids through a crosswalk (old, new); ids that it lacks stay."""
+    return rows.join(F.broadcast(crosswalk), F.col(key) == F.col("old"), "left").withColumn(key, F.coalesce("new", key)).drop("old", "new")
 
 
 def scenario_money(rows: DataFrame, weights: DataFrame) -> DataFrame:

@@ -46,8 +46,10 @@ def order_line_reconcile(spark, d):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75,
 round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag""")
 def price_quantiles(spark, d):
-    q = lambda x: F.round(F.percentile("l_extendedprice", F.lit(x)), 4)
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.max("l_extendedprice").alias("most"))
+    lines = t(spark, d, "lineitem")
+    q = portfolio.quantiles(lines, "l_returnflag", "l_extendedprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, 1000.0)
+    rest = lines.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.max("l_extendedprice").alias("most"))
+    return rest.join(q.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75", "p90")]), "l_returnflag")
 
 
 @query("SELECT l_orderkey, round(1 - product(1 - l_discount), 6) AS p_any FROM lineitem GROUP BY l_orderkey")
@@ -59,9 +61,10 @@ def order_any_discount(spark, d):
 @query("""SELECT o_orderpriority, count(*) AS n, round(median(o_totalprice), 4) AS median_price, count(*) FILTER (o_totalprice >= 200000) AS n_large, count(*) FILTER (o_totalprice < 20000) AS n_small
 FROM orders GROUP BY o_orderpriority HAVING count(*) >= 20""")
 def priority_profile(spark, d):
-    price = F.col("o_totalprice")
-    g = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.median(price), 4).alias("median_price"), F.count_if(price >= 200000).alias("n_large"), F.count_if(price < 20000).alias("n_small"))
-    return g.filter("n >= 20")
+    price, orders = F.col("o_totalprice"), t(spark, d, "orders")
+    g = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(price >= 200000).alias("n_large"), F.count_if(price < 20000).alias("n_small")).filter("n >= 20")
+    q = portfolio.quantiles(orders, "o_orderpriority", "o_totalprice", {"median_price": 0.5}, 10_000.0)
+    return g.join(q.withColumn("median_price", F.round("median_price", 4)), "o_orderpriority")
 
 
 @query("""WITH mo AS (SELECT l_linestatus, date_trunc('year', l_shipdate)::DATE AS year, date_trunc('month', l_shipdate)::DATE AS month,
@@ -83,9 +86,10 @@ def two_week_streaks(spark, d):
     return held.select("event_type", F.col("week").cast("string").alias("week"), F.col("held").cast("long").alias("held"))
 
 
-@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
 def customers_without_orders(spark, d):
-    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    """Customers without a finished order."""
+    c, o = t(spark, d, "customer"), t(spark, d, "orders").filter("o_orderstatus = 'F'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -201,8 +205,20 @@ def monthly_cap(spark, d):
 @query("""WITH r AS (SELECT event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS n7 FROM events)
 SELECT event_type, min(n7) AS least, max(n7) AS most, count(*) FILTER (n7 < 10) AS below_floor FROM r GROUP BY event_type""")
 def demand_floor(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-7 * 86_400_000_000, 0)
-    r = t(spark, d, "events").select("event_type", F.count("*").over(w).alias("n7"))
+    """Whole days are counted once; only the days at both ends of a row's seven are ordered, each by itself."""
+    week = 7 * 86_400_000_000
+    events = t(spark, d, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    day = F.floor(F.col("us") / 86_400_000_000)
+    both = events.withColumn("own", F.lit(1)).unionByName(events.withColumns({"us": F.col("us") - week, "own": F.lit(0)})).withColumn("day", day)
+    order = Window.partitionBy("event_type", "day").orderBy("us")
+    upto, before = F.sum("own").over(order.rangeBetween(Window.unboundedPreceding, 0)), F.sum("own").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    ends = both.select("event_type", "event_id", "day", "own", upto.alias("upto"), F.coalesce(before, F.lit(0)).alias("before"))
+    ends = ends.groupBy("event_type", "event_id").agg(F.max(F.when(F.col("own") == 1, F.col("day"))).alias("day"), F.sum(F.when(F.col("own") == 1, F.col("upto")).otherwise(-F.col("before"))).alias("edge"))
+    # the whole days between, and the first day, of which ``before`` is taken off
+    daily = events.groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+    spread = daily.select("event_type", F.explode(F.sequence(F.col("day") + 1, F.col("day") + 7)).alias("day"), "n")
+    spread = spread.groupBy("event_type", "day").agg(F.sum("n").alias("whole"))
+    r = ends.join(spread, ["event_type", "day"], "left").withColumn("n7", F.col("edge") + F.coalesce("whole", F.lit(0)))
     return r.groupBy("event_type").agg(F.min("n7").alias("least"), F.max("n7").alias("most"), F.count_if(F.col("n7") < 10).alias("below_floor"))
 
 
@@ -226,3 +242,94 @@ def alert_rules(spark, d):
     rows = t(spark, d, "lineitem").filter("l_discount >= 0.05")
     part = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0))
     return rows.agg(F.count("*").alias("n"), F.round(part / F.sum("l_extendedprice"), 6).alias("share"), F.count_if(F.col("l_quantity") > 45).alias("alerts"))
+
+
+@query("""SELECT o_orderkey, round(a + dd * 0.88 * r, 6) AS company, round(b + dd * 0.96 * r, 6) AS small_company, round(greatest(0.07 * r, 5220), 6) AS park_one, round(0.07 * r + dd * 0.93 * r, 6) AS park_none
+FROM (SELECT o_orderkey, o_totalprice AS r, 0.12 * o_totalprice AS a, 0.04 * o_totalprice AS b, CASE WHEN year(o_orderdate) % 2 = 0 THEN 0.06 ELSE 0.08 END AS dd FROM orders)""")
+def tax_regimes(spark, d):
+    """Four regimes at the rates of a year, from a rate dimension."""
+    rates = spark.createDataFrame([(0, 0.06), (1, 0.08)], "turn int, dividend double")
+    o = t(spark, d, "orders").withColumn("turn", (F.year("o_orderdate") % 2).cast("int")).join(F.broadcast(rates), "turn")
+    x, of = F.col("o_totalprice"), lambda rate: F.round(m.after_dividends(F.col("o_totalprice"), F.lit(rate), F.col("dividend")), 6)
+    return o.select("o_orderkey", of(0.12).alias("company"), of(0.04).alias("small_company"), F.round(m.tax_with_floor(x, 0.07, 5220.0), 6).alias("park_one"), of(0.07).alias("park_none"))
+
+
+@query("""SELECT c_custkey, round(0.25 * ceiling, 4) AS day_60, round(0.5 * ceiling, 4) AS day_90 FROM (
+  SELECT c_custkey, any_value(c_acctbal) * 1000 AS ceiling, coalesce(sum(o_totalprice), 0) AS revenue, count(*) FILTER (o_orderstatus = 'P') AS n_open FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
+WHERE revenue < 0.1 * ceiling AND n_open = 0""")
+def day_60_closings(spark, d):
+    paid = t(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("revenue"), F.count_if(F.col("o_orderstatus") == "P").alias("n_open"))
+    c = t(spark, d, "customer").join(paid, F.col("c_custkey") == F.col("o_custkey"), "left").fillna(0, ["revenue", "n_open"]).withColumn("ceiling", F.col("c_acctbal") * 1000)
+    g = m.gates(F.col("ceiling"))
+    return portfolio.to_close(c, "revenue", "ceiling", "n_open").select("c_custkey", F.round(g["day_60"], 4).alias("day_60"), F.round(g["day_90"], 4).alias("day_90"))
+
+
+@query("""WITH k AS (SELECT user_id, ts::DATE AS day, count(*) AS k FROM events GROUP BY 1, 2)
+SELECT user_id, day::VARCHAR AS day, n FROM (SELECT user_id, day, sum(k) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW)::BIGINT AS n FROM k) WHERE n >= 3""")
+def busy_places(spark, d):
+    return portfolio.busy(t(spark, d, "events"), "user_id", "ts").withColumn("day", F.col("day").cast("string"))
+
+
+_WEEKS = """w AS (SELECT event_type, date_trunc('week', ts)::DATE AS week, sum(value) AS usd, count(*) AS hours FROM events GROUP BY ALL),
+dense AS (SELECT event_type, unnest(generate_series(min(week), max(week), INTERVAL 7 DAYS))::DATE AS week FROM w GROUP BY 1),
+r AS (SELECT event_type, week, sum(usd) OVER o / sum(hours) OVER o AS per_hour FROM dense LEFT JOIN w USING (event_type, week) WINDOW o AS (PARTITION BY event_type ORDER BY week ROWS 3 PRECEDING))"""
+
+
+def _rates(spark, d):
+    weeks = t(spark, d, "events").groupBy("event_type", F.date_trunc("week", "ts").cast("date").alias("week")).agg(F.sum("value").alias("usd"), F.count("*").alias("hours"))
+    return portfolio.hourly_rate(weeks, "event_type")
+
+
+@query(f"WITH {_WEEKS} SELECT event_type, week::VARCHAR AS week, round(per_hour, 6) AS per_hour FROM r")
+def trailing_hourly_rate(spark, d):
+    return _rates(spark, d).select("event_type", F.col("week").cast("string").alias("week"), F.round("per_hour", 6).alias("per_hour"))
+
+
+@query(f"WITH {_WEEKS} SELECT week::VARCHAR AS week, arg_min(event_type, (coalesce(round(per_hour, 6), 0), event_type)) AS event_type FROM r GROUP BY week")
+def next_closings(spark, d):
+    """The fixed order is by name."""
+    rates = _rates(spark, d).withColumn("per_hour", F.round("per_hour", 6))
+    order = rates.select("event_type").distinct().withColumn("place", F.col("event_type"))
+    return portfolio.next_to_close(rates, order, "event_type").withColumn("week", F.col("week").cast("string"))
+
+
+@query("""SELECT c_custkey, s_suppkey AS of, CASE WHEN s_suppkey IS NULL THEN 'own' ELSE 'duplicate' END AS status FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey * 3""")
+def duplicate_marks(spark, d):
+    marks = t(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("c_custkey"), F.col("s_suppkey").alias("of"))
+    return portfolio.mark_duplicates(t(spark, d, "customer").select("c_custkey"), marks, "c_custkey")
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN round(o_totalprice * 17.7706, 6) WHEN 'O' THEN round(o_totalprice * 20.2078, 6) END AS converted FROM orders""")
+def converted_prices(spark, d):
+    rates = spark.createDataFrame([("F", 17.7706), ("O", 20.2078)], "ccy string, rate double")
+    rows = portfolio.in_currency(t(spark, d, "orders"), rates, "o_totalprice", "o_orderstatus")
+    return rows.select("o_orderkey", F.round("converted", 6).alias("converted"))
+
+
+@query("""SELECT l_returnflag, round(sum((l_quantity * 1000 * i + l_extendedprice * o) / 1e6), 4) AS usd FROM lineitem JOIN (VALUES ('A', 3.0, 15.0), ('N', 1.0, 5.0), ('R', 0.25, 1.25)) v(f, i, o) ON l_returnflag = f GROUP BY 1""")
+def model_costs(spark, d):
+    prices = spark.createDataFrame([("A", 3.0, 15.0), ("N", 1.0, 5.0), ("R", 0.25, 1.25)], "l_returnflag string, price_in double, price_out double")
+    rows = t(spark, d, "lineitem").join(F.broadcast(prices), "l_returnflag")
+    cost = m.token_cost(F.col("l_quantity") * 1000, F.col("l_extendedprice"), F.col("price_in"), F.col("price_out"))
+    return rows.groupBy("l_returnflag").agg(F.round(F.sum(cost), 4).alias("usd"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'L2' ELSE 'L3' END AS level, p_size <= 20 AS flag FROM part WHERE NOT (p_size <= 20 AND p_retailprice < 1200)""")
+def original_parts(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", (F.col("p_size") <= 20).alias("model"), (F.col("p_retailprice") < 1200).alias("topic"))
+    return portfolio.originality(rows, "model", "topic").select("p_partkey", "level", "flag")
+
+
+@query("""SELECT o_orderkey, o_orderdate < TIMESTAMP '1995-01-01' AS old, o_totalprice FROM orders WHERE regexp_matches(lower(o_orderpriority), 'urgent|high')""")
+def marked_evidence(spark, d):
+    """Rows chosen by a keyword, with a mark on those from before a day."""
+    o = t(spark, d, "orders").filter(F.lower("o_orderpriority").rlike("urgent|high"))
+    return o.select("o_orderkey", (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).alias("old"), "o_totalprice")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def split_tables(spark, d):
+    """A wide table in three parts that share the key, joined again one to one."""
+    c = t(spark, d, "customer")
+    a, b, e = c.select("c_custkey", "c_name"), c.select("c_custkey", "c_acctbal"), c.select("c_custkey", "c_mktsegment")
+    return a.join(b, "c_custkey").join(e, "c_custkey")

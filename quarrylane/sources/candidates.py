@@ -56,3 +56,18 @@ def table_with(rows: DataFrame, id_pattern: str, *names: str) -> DataFrame:
     """Rows whose first cell is an id of that pattern, with as many cells as there are names."""
     fits = (F.size("cells") == len(names)) & F.element_at("cells", 1).rlike(id_pattern)
     return rows.filter(fits).select(*[F.element_at("cells", i + 1).alias(n) for i, n in enumerate(names)])
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Verification records of Markdown files: id, lens, verdict, p, ceiling_usd, evidence.
+
+    A record starts with a third-level heading "id · lens — verdict". Of its bullets, the one that names P( gives the probability and the
+    one for month 6 ("6-") the ceiling; numbered lines are its evidence, in order.
+    """
+    text = spark.read.text(path, wholetext=True)
+    records = text.select(F.explode(F.slice(F.split("value", r"(?m)^### (?=[A-Z]+-\d+ · )"), 2, 1 << 30)).alias("r"))
+    head = lambda i: F.regexp_extract("r", r"^([A-Z]+-\d+) · (.*?) — ([a-z_]+)\s", i)
+    bullet = lambda mark: F.regexp_extract("r", rf"(?m)^- [^:\n]*{mark}[^:\n]*: *([0-9][0-9 .]*)", 1)
+    number = lambda c: F.regexp_replace(c, " ", "").try_cast("double")
+    evidence = F.regexp_extract_all("r", F.lit(r"(?m)^\d+\. (.+)$"), F.lit(1))
+    return records.select(head(1).alias("id"), head(2).alias("lens"), head(3).alias("verdict"), number(bullet(r"P\(")).alias("p"), number(bullet(r"6-")).alias("ceiling_usd"), evidence.alias("evidence")).filter("id <> ''")

@@ -17,26 +17,45 @@ def weekly_share(journal: DataFrame, late: str = "2 days") -> DataFrame:
     return weeks.agg(F.try_divide(flagged, F.sum("amount")).alias("share"), F.sum("amount").alias("amount"))
 
 
-def route_leads(events: DataFrame, contractors: list[str], minutes: int = 30) -> DataFrame:
-    """A lead is one contractor's for some minutes; if none answers in that time, the next one's.
+def route_leads(events: DataFrame, contractors: list[str], minutes: int = 30, late: str = "1 minute") -> DataFrame:
+    """A lead is one contractor's for some minutes of event time; if none answers, the next one's.
 
-    Events: (lead, ts, answer); a row without an answer opens the lead.
+    Events: (lead, ts, answer); the first row of a lead opens it. Timers run on the watermark, so a
+    replay gives the same result. An answer counts for the contractor whose window it falls in.
     """
+    window = minutes * 60_000
 
     def route(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn = state.get[0] if state.exists else -1
-        answered = any(bool(r["answer"].notna().any()) for r in rows) if not state.hasTimedOut else False
-        if answered:
-            state.remove()
-            yield pd.DataFrame({"lead": [key[0]], "contractor": [contractors[max(turn, 0) % len(contractors)]], "status": ["answered"]})
-        elif state.hasTimedOut or turn < 0:
-            turn += 1
-            if turn >= len(contractors):
+        turn, deadline = state.get if state.exists else (-1, 0)
+        seen = [] if state.hasTimedOut else sorted((int(r.ts.timestamp() * 1000), r.answer is not None) for f in rows for r in f.itertuples())
+        out: list[tuple[str | None, str]] = []
+
+        def pass_on(until: int) -> None:
+            nonlocal turn, deadline
+            while 0 <= turn < len(contractors) and deadline <= until:
+                turn, deadline = turn + 1, deadline + window
+                out.append((contractors[turn], "offered") if turn < len(contractors) else (None, "expired"))
+
+        done = False
+        for at, answer in seen:
+            if turn < 0:
+                turn, deadline = 0, at + window
+                out.append((contractors[0], "offered"))
+            pass_on(at)
+            if answer and turn < len(contractors):
+                out.append((contractors[turn], "answered"))
+                done = True
+                break
+        if not done:
+            pass_on(state.getCurrentWatermarkMs())
+        if done or turn >= len(contractors):
+            if state.exists:
                 state.remove()
-                yield pd.DataFrame({"lead": [key[0]], "contractor": [None], "status": ["expired"]})
-            else:
-                state.update((turn,))
-                state.setTimeoutDuration(minutes * 60_000)
-                yield pd.DataFrame({"lead": [key[0]], "contractor": [contractors[turn]], "status": ["offered"]})
-
-    return events.groupBy("lead").applyInPandasWithState(route, "lead string, contractor string, status string", "turn int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        else:
+            state.update((turn, deadline))
+            state.setTimeoutTimestamp(deadline)
+        if out:
+            yield pd.DataFrame({"lead": key[0], "contractor": [c for c, _ in out], "status": [s for _, s in out]})
+
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("lead").applyInPandasWithState(route, "lead string, contractor string, status string", "turn int, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
