@@ -11,6 +11,7 @@ matches: a match starts after all parts and matches before it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylane.llm import bloom
-from quarrylane.llm.common import scratch, stash, text_of
+from quarrylane.llm.common import attach, scratch, stash, text_of
 
 
 @dataclass(frozen=True)
@@ -72,8 +73,8 @@ class Ledger:
     def scanned(self) -> DataFrame:
         return self._read("scanned", SCANNED)
 
-    def findings(self) -> DataFrame:
-        return self._read("findings", FOUND).distinct()
+    def findings(self, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        return only(self._read("findings", FOUND)).distinct()
 
     def add(self, findings: DataFrame, scanned: DataFrame) -> None:
         findings.write.mode("append").parquet(f"{self.folder}/findings")
@@ -121,10 +122,24 @@ def scan(versions: DataFrame, ledger: Ledger, path_col: str = "doc_id", text_col
     Bloom filter finds them. Only the others shuffle, to be compared with the ledger and scanned
     once for each blob.
     """
-    spark, all_rules = versions.sparkSession, F.array(*[F.lit(r.version) for r in rules])
+    return _scan(versions, ledger, path_col, text_col, rules)[0]
+
+
+def _filter(paths: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Keeps rows of the ledger whose blob may be one of these; the rest of its history never shuffles."""
+    log2 = bloom.log_bits(paths.count())
+    bitmaps = bloom.build(paths.select(F.xxhash64("blob").alias("key")), "key", log2)
+    return lambda rows: bloom.flag(rows, F.xxhash64("blob"), bitmaps, log2, "maybe").filter("maybe").drop("maybe")
+
+
+def _scan(versions: DataFrame, ledger: Ledger, path_col: str, text_col: str, rules: tuple[Rule, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """What scan gives, and the filter of ledger rows."""
+    all_rules = F.array(*[F.lit(r.version) for r in rules])
     texts = versions.select(F.col(path_col).alias("path"), text_of(text_col).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     paths = stash(texts.select("path", "blob"), "paths")
-    seen = ledger.scanned().select("blob", F.explode("versions").alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
+    only = _filter(paths)
+    seen = only(ledger.scanned()).select("blob", F.explode("versions").alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
+    seen = stash(seen, "seen")
     known = paths.select("blob").unionAll(seen.select("blob"))
     log2 = bloom.log_bits(known.count())
     bitmaps = bloom.build(known.select(F.xxhash64("blob").alias("key")), "key", log2, at_least=2)
@@ -136,7 +151,7 @@ def scan(versions: DataFrame, ledger: Ledger, path_col: str = "doc_id", text_col
     done = paths.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(all_rules, F.coalesce("seen", F.array().cast("array<string>"))).alias("versions")).filter(F.size("versions") > 0)
     done = stash(done, "scanned")
     ledger.add(spans(alone.unionByName(shared), rules), done)
-    return paths
+    return paths, only
 
 
 def report(versions: DataFrame, folder: str | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -149,16 +164,19 @@ def report(versions: DataFrame, folder: str | None = None, path_col: str = "doc_
     """
     spark = versions.sparkSession
     ledger = Ledger(spark, folder or scratch(spark, "ledger"))
-    paths = scan(versions, ledger, path_col, text_col, rules)
+    paths, only = _scan(versions, ledger, path_col, text_col, rules)
     place = F.coalesce(*[F.when(F.col("version") == r.version, F.lit(i)) for i, r in enumerate(rules)])
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("place") + 1)
-    found = ledger.findings().withColumn("place", place).filter("place is not null").withColumn("kind", kind)
+    found = ledger.findings(only).withColumn("place", place).filter("place is not null").withColumn("kind", kind)
     each = F.array_sort(F.collect_list(F.struct("start", "place", "kind", "end"))).alias("each")
     blobs = found.groupBy("blob").agg(each, *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE])
     name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.array_join(F.transform(F.filter("each", lambda s: s["kind"].isin(*BASE)), name), ",")
-    blobs = stash(blobs.select("blob", *[f"n_{k}" for k in BASE], F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("each", name), ",").alias("spans")), "findings")
-    out = paths.join(blobs, "blob", "left")
+    blobs = blobs.select("blob", *[f"n_{k}" for k in BASE], F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("each", name), ",").alias("spans"))
+    # a blob may have very many paths
+    counts = paths.groupBy("blob").agg(F.count("*").alias("n_paths"))
+    blobs = stash(counts.join(blobs, "blob", "left"), "findings")
+    out = attach(paths, blobs, "blob", "n_paths", max(1, paths.count()))
     return out.select(
         F.col("path").alias("doc_id"),
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
