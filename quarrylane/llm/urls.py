@@ -63,8 +63,12 @@ def grams(text: Column) -> Column:
     """All character n-grams of SIZES, with marks for the ends."""
     t = F.concat(F.lit("^"), text, F.lit("$"))
     n = F.length(t)
-    of = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.substring(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in SIZES]
-    return F.concat(*of)
+
+    def of(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(t, i, F.lit(k)))
+        return F.when(n >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(k) for k in SIZES])
 
 
 def featured(urls: DataFrame) -> DataFrame:
