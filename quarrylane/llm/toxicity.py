@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quarrylane.llm.common import stash, text_of
 
 #: The classifier and its lexicon are fitted on so many labelled rows at most, the first ones in
-#: order of a hash of the id; and the lexicon has so many terms at most.
-MOST_LABELLED, MOST_TERMS = 20_000, 300
+#: order of a hash of the id. All terms of these rows that pass the limits below are in the lexicon.
+MOST_LABELLED = 20_000
 #: Least log-likelihood ratio of a term, and lengths of stems.
 LEAST_G2, STEMS = 18.0, (4, 5, 6, 7)
 #: Errors allowed in a term, from a length on.
@@ -162,7 +162,11 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     if not n.pos or not n.neg:
         return []
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    stems = F.flatten(F.array(*[F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]))
+
+    def begins(k: int) -> Column:
+        return F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    stems = F.flatten(F.array(*[begins(k) for k in STEMS]))
     terms = rows.select(words.alias("words"), "toxic").select(F.explode(F.concat("words", F.array_distinct(stems))).alias("term"), "toxic")
     seen = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     share = (F.col("a") + F.col("b")) / (n.pos + n.neg)
@@ -170,7 +174,7 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     g2 = 2 * (part(F.col("a"), n.pos) + part(F.col("b"), n.neg) + part(n.pos - F.col("a"), n.pos * (1 - share) / share) + part(n.neg - F.col("b"), n.neg * (1 - share) / share))
     odds = F.log(((F.col("a") + 0.5) / (n.pos + 1)) / ((F.col("b") + 0.5) / (n.neg + 1)))
     best = seen.filter("a >= 3").withColumn("g2", g2).withColumn("weight", odds).filter((F.col("g2") >= LEAST_G2) & (F.col("weight") > 1.5))
-    best = best.orderBy(F.desc("g2"), "term").limit(MOST_TERMS).collect()
+    best = best.orderBy(F.desc("g2"), "term").collect()
     return [Term(r.term.rstrip("*"), r.term.endswith("*"), r.weight) for r in best]
 
 
