@@ -13,14 +13,23 @@ def reconcile(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("id").agg(F.min("p").alias("p"), F.min("ceiling").alias("ceiling"), F.max("hours").alias("hours"), F.bool_or(F.col("verdict") == "refuted").alias("refuted"))
 
 
-def calibration(scores: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
-    return scores.agg(F.median(before).alias("median_before"), F.median(after).alias("median_after"), F.try_divide(F.median(after), F.median(before)).alias("ratio"))
+def calibration(scores: DataFrame, before: str = "before", after: str = "after", width: float = 10.0) -> DataFrame:
+    """Both medians and their ratio; ``width`` is that of the bins in which ranks are found."""
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).cast("double").alias("score")) for name, c in (("before", before), ("after", after))])
+    medians = quantiles(scores.select(F.explode(sides).alias("s")).select("s.*"), "side", "score", {"median": 0.5}, width)
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("median")))
+    return medians.agg(of("before").alias("median_before"), of("after").alias("median_after"), F.try_divide(of("after"), of("before")).alias("ratio"))
 
 
 def at_least_one(rows: DataFrame, *by: str, p: str = "p") -> DataFrame:
     return rows.groupBy(*by).agg((1 - F.product(1 - F.col(p))).alias("p_any"))
 
 
+def overridden(rows: DataFrame, judged: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """A computed value, but the judged one (column ``by`` of another table) where there is one."""
+    return rows.join(judged.select(key, by), key, "left").withColumn(value, F.coalesce(by, value)).drop(by)
+
+
 def with_common_factor(rows: DataFrame, factor: float, group: str = "correlation_group", p: str = "p", otherwise: str = "p_otherwise", chance: str = "chance") -> DataFrame:
     """P of at least one under a factor common to all groups.
 
@@ -113,7 +122,7 @@ def mark_duplicates(rows: DataFrame, marks: DataFrame, key: str = "id") -> DataF
 
 def renamed_ids(rows: DataFrame, crosswalk: DataFrame, key: str = "id") -> DataFrame:
     """Ids through a crosswalk (old, new); ids that it lacks stay."""
-    return rows.join(F.broadcast(crosswalk), F.col(key) == F.col("old"), "left").withColumn(key, F.coalesce("new", key)).drop("old", "new")
+    return rows.join(crosswalk, F.col(key) == F.col("old"), "left").withColumn(key, F.coalesce("new", key)).drop("old", "new")
 
 
 def scenario_money(rows: DataFrame, weights: DataFrame) -> DataFrame:

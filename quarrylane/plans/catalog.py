@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylane.functions import cells
 from quarrylane.functions import measures as m
 from quarrylane.operators import portfolio
 
@@ -333,3 +334,116 @@ def split_tables(spark, d):
     c = t(spark, d, "customer")
     a, b, e = c.select("c_custkey", "c_name"), c.select("c_custkey", "c_acctbal"), c.select("c_custkey", "c_mktsegment")
     return a.join(b, "c_custkey").join(e, "c_custkey")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice AS x, o_orderkey % 5 + 1 AS h, o_orderstatus AS s, year(o_orderdate) AS y FROM orders)
+SELECT o_orderkey, round(x / (h * 4.33), 6) AS per_hour, round(x / 1.2, 6) AS without_vat, round((x * 2.0 / 1.2 - (0.04 * (x * 2.0 / 1.2) + 0.4)) * 0.99, 6) AS left_over,
+round(0.8 * x - 100, 6) AS net, round(x - 1000, 6) AS margin, round((x - 1000) / x, 6) AS margin_share, round(greatest(5220 / 0.07 - x, 0), 6) AS to_floor,
+round(x * (0.3 / 0.7), 6) AS headroom, round(x * (0.7 / 0.3), 6) AS needed, x / (x + 50000) >= 0.72 AS share_ok, round(x / CASE s WHEN 'F' THEN 12 WHEN 'O' THEN 3 ELSE 1 END, 6) AS monthly,
+round(0.12 * greatest(x * 0.91 - 2475, 0), 6) AS pay_tax, round(x * 0.91 - 0.12 * greatest(x * 0.91 - 2475, 0), 6) AS pay_net, round(0.3 * 17400 * h, 6) AS head_floor,
+round(x * CASE WHEN s = 'P' THEN 0.5 ELSE 1 END, 6) AS railed, round(CASE WHEN y < 1995 THEN 0 WHEN y = 1995 THEN 0.1 ELSE 0.4 END * x, 6) AS enforced FROM o""")
+def order_money(spark, d):
+    """Hourly rates, margins, taxes, shares and penalties of an amount."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", (F.col("o_orderkey") % 5 + 1).alias("h"), F.year("o_orderdate").alias("year"))
+    x, h, margin, pay = F.col("o_totalprice"), F.col("h"), m.margin(F.col("o_totalprice"), F.lit(1000.0)), m.after_allowances(F.col("o_totalprice"))
+    period = F.when(F.col("o_orderstatus") == "F", "year").when(F.col("o_orderstatus") == "O", "quarter").otherwise("month")
+    rail = F.when(F.col("o_orderstatus") == "P", "crypto").otherwise("card")
+    found = {
+        "per_hour": m.per_hour(x, h), "without_vat": m.without_vat(x), "left_over": m.waterfall(x, 2.0, 0.2, 0.04, 0.4, 0.01), "net": m.net_of_compute(x, F.lit(100.0)),
+        "margin": margin["usd"], "margin_share": margin["share"], "to_floor": m.to_floor(x, 5220.0, 0.07), "headroom": m.headroom(x), "needed": m.needed(x), "monthly": m.monthly(x, period),
+        "pay_tax": pay["tax"], "pay_net": pay["net"], "head_floor": m.floor_per_head(17400.0, h), "railed": m.penalised(x, m.rail_factor(rail)), "enforced": m.enforcement(F.col("year"), 1995) * x,
+    }
+    return o.select("o_orderkey", m.share_ok(x, F.lit(50000.0)).alias("share_ok"), *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
+@query("""SELECT p_partkey, round(x * 0.5 * 0.64, 6) AS users, round(n * 2.4, 6) AS applications, round(x * 0.013, 6) AS stars, round(x * 0.05, 6) AS cpm, round(x / n) AS multiple, round(x / 1000 * 25 * n, 6) AS mail,
+round(x / 1000 * 2 * 0.4, 6) AS views, round(x / (x + 100000) * 5000, 6) AS pool, round(x * 0.1 * 0.5, 6) AS funnel, round(1 - pow(1 - 0.02, n), 6) AS any_of, round(n / 100.0 * 13 / 23, 6) AS shrunk,
+round(n / 100.0 * ((x + 3 * x) / 2) / n, 6) AS first_month FROM (SELECT p_partkey, p_retailprice AS x, p_size AS n FROM part)""")
+def part_ceilings(spark, d):
+    """Ceilings and chances."""
+    x, n, p = F.col("p_retailprice"), F.col("p_size"), F.col("p_size") / 100
+    found = {
+        "users": m.users_ceiling(x, 0.5), "applications": m.application_cost(n), "stars": m.stars(x), "cpm": m.cpm_share(x), "multiple": m.sale_multiple(x, n), "mail": m.mail_ceiling(x, F.lit(25.0), n),
+        "views": m.views_ceiling(x, F.lit(2.0), 0.5, 0.8), "pool": m.pool_share(x, x + 100000, F.lit(5000.0)), "funnel": m.funnel(x, 0.1, 0.5), "any_of": m.any_of(F.lit(0.02), n),
+        "shrunk": m.shrunk(p, 7, 20, 30), "first_month": m.first_month_score(p, x, 3 * x, n)["value"],
+    }
+    return t(spark, d, "part").select("p_partkey", *[F.round(c, 6).alias(k) for k, c in found.items()])
+
+
+@query("""SELECT round(median(l_extendedprice), 6) AS median_before, round(median(l_extendedprice * (1 - l_discount)), 6) AS median_after,
+round(median(l_extendedprice * (1 - l_discount)) / median(l_extendedprice), 6) AS ratio, count(*) AS n FROM lineitem""")
+def price_calibration(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_extendedprice").alias("before"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("after"))
+    ratio = portfolio.calibration(rows, width=1000.0).select(*[F.round(c, 6).alias(c) for c in ("median_before", "median_after", "ratio")])
+    return ratio.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+
+
+@query("""SELECT p_partkey, round(coalesce(CASE WHEN p_size > 25 THEN p_size * 10.0 END, p_retailprice * coalesce(f, 0.4)), 6) AS comparable
+FROM part LEFT JOIN (VALUES (1, 0.5), (2, 0.25)) v(size, f) ON p_size = size""")
+def comparable_scores(spark, d):
+    """The verified score, else the raw one at the ratio, or at that of a verified analogue."""
+    analogues = spark.createDataFrame([(1, 0.5), (2, 0.25)], "p_size int, factor double")
+    rows = t(spark, d, "part").join(F.broadcast(analogues), "p_size", "left")
+    verified = F.when(F.col("p_size") > 25, F.col("p_size") * 10.0)
+    return rows.select("p_partkey", F.round(m.comparable(verified, F.col("p_retailprice"), 0.4, F.col("factor")), 6).alias("comparable"))
+
+
+@query("""SELECT scenario, round(sum(w * c_acctbal), 4) AS usd_month FROM customer JOIN (VALUES ('low', 'BUILDING', 0.25), ('low', 'MACHINERY', 0.5), ('high', 'BUILDING', 0.5), ('high', 'MACHINERY', 1.0)) v(scenario, id, w) ON c_mktsegment = id GROUP BY scenario""")
+def scenario_totals(spark, d):
+    weights = spark.createDataFrame([("low", "BUILDING", 0.25), ("low", "MACHINERY", 0.5), ("high", "BUILDING", 0.5), ("high", "MACHINERY", 1.0)], "scenario string, id string, weight double")
+    rows = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("id")).agg(F.sum("c_acctbal").alias("ceiling"))
+    return portfolio.scenario_money(rows, weights).withColumn("usd_month", F.round("usd_month", 4))
+
+
+@query("""SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'P' THEN 0.05 ELSE p END, 6) AS p_any
+FROM orders JOIN (SELECT l_orderkey, 1 - product(1 - l_discount) AS p FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def judged_any_discount(spark, d):
+    """P of at least one, but a judged value where there is one."""
+    p = portfolio.at_least_one(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_discount").alias("p")), "o_orderkey")
+    judged = t(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", F.lit(0.05).alias("judged"))
+    return portfolio.overridden(p, judged, "o_orderkey", "p_any", "judged").withColumn("p_any", F.round("p_any", 6))
+
+
+@query("""WITH g AS (SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN 0.6 * (1 - product(1 - n_nationkey / 100.0)) + 0.4 * (1 - product(1 - n_nationkey / 200.0)) ELSE 1 - product(1 - n_nationkey / 100.0) END AS p FROM nation GROUP BY n_regionkey)
+SELECT round(0.9 * (1 - product(1 - p)), 6) AS p_any FROM g""")
+def correlated_any(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_regionkey").alias("correlation_group"), (F.col("n_nationkey") / 100).alias("p"), (F.col("n_nationkey") / 200).alias("p_otherwise"), F.when(F.col("n_regionkey") % 2 == 0, 0.6).alias("chance"))
+    return portfolio.with_common_factor(n, 0.9).select(F.round("p_any", 6).alias("p_any"))
+
+
+@query("""SELECT l_orderkey, round(sum(l_quantity * l_extendedprice * (1 - l_discount) - CASE WHEN l_linenumber = 1 THEN 100 ELSE 0 END), 4) AS ceiling, round(sum(l_tax * l_discount), 6) AS p FROM lineitem GROUP BY l_orderkey""")
+def order_ceilings(spark, d):
+    rows = t(spark, d, "lineitem")
+    items = rows.select("l_orderkey", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("fee"), F.when(F.col("l_linenumber") == 1, 100.0).alias("cost"))
+    p = portfolio.total_probability(rows, "l_orderkey", "l_tax", "l_discount")
+    return portfolio.unit_ceiling(items, "l_orderkey").join(p, "l_orderkey").select("l_orderkey", F.round("ceiling", 4).alias("ceiling"), F.round("p", 6).alias("p"))
+
+
+@query("""SELECT event_type, round(sum(n) * 0.8, 6) AS customers FROM (SELECT event_type, date_trunc('month', ts) AS month, count(DISTINCT user_id) AS n FROM events GROUP BY ALL) GROUP BY event_type""")
+def retained_users(spark, d):
+    setups = t(spark, d, "events").groupBy("event_type", F.trunc("ts", "month").alias("month")).agg(F.countDistinct("user_id").alias("n"))
+    return portfolio.retained(setups, "event_type").withColumn("customers", F.round("customers", 6))
+
+
+@query("""SELECT CASE WHEN s_suppkey IS NULL THEN c_custkey ELSE s_suppkey + 1000000 END AS id, c_name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
+def crosswalk(spark, d):
+    ids = t(spark, d, "supplier").select(F.col("s_suppkey").alias("old"), (F.col("s_suppkey") + 1000000).alias("new"))
+    return portfolio.renamed_ids(t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), ids)
+
+
+@query("""SELECT stem, n_name, count(*) AS n FROM (SELECT 'AB' AS stem, unnest(range(p_size, p_size + 3)) AS k FROM part) JOIN nation ON n_nationkey = k GROUP BY ALL""")
+def listed_rails(spark, d):
+    """Id lists in cells, spelled out and joined."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    listed = t(spark, d, "part").select(F.concat(F.lit("AB-"), two(F.col("p_size")), F.lit("…"), two(F.col("p_size") + 2)).alias("cell"))
+    ids = listed.groupBy("cell").agg(F.count("*").alias("n")).select("n", F.explode(cells.id_list(F.col("cell"))).alias("id"))
+    rails = t(spark, d, "nation").select(F.concat(F.lit("AB-"), two(F.col("n_nationkey"))).alias("id"), "n_name")
+    return ids.join(rails, "id").groupBy(cells.prefix(F.col("id")).alias("stem"), "n_name").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT unnest([o_orderpriority, o_orderstatus]) AS label FROM orders) JOIN (VALUES ('F', 'done'), ('O', 'open'), ('P', 'open'), ('1-URGENT', 'soon'), ('2-HIGH', 'soon')) v(l, kind) ON l = label GROUP BY kind""")
+def label_kinds(spark, d):
+    """Bracketed labels of a cell, by the kind that each stands for."""
+    kinds = spark.createDataFrame([("f", "done"), ("o", "open"), ("p", "open"), ("1-urgent", "soon"), ("2-high", "soon")], "label string, kind string")
+    cell = F.concat(F.lit("seen ["), F.col("o_orderpriority"), F.lit("], then ["), F.col("o_orderstatus"), F.lit("]"))
+    return t(spark, d, "orders").select(F.explode(cells.labels(cell)).alias("label")).join(F.broadcast(kinds), "label").groupBy("kind").agg(F.count("*").alias("n"))

@@ -34,6 +34,7 @@ def test_cells(spark):
     assert tuple(value(spark, cells.before_after(lit("195 → —")))) == (195, None)
     assert tuple(value(spark, cells.interval(lit("~21–30")))) == (21, 30, True)
     assert value(spark, cells.id_list(lit("AB-01…03, CD-07"))) == ["AB-01", "AB-02", "AB-03", "CD-07"]
+    assert value(spark, cells.prefix(lit("AB-01"))) == "AB" and value(spark, cells.labels(lit("x [Fact] [CALC]"))) == ["fact", "calc"]
     assert value(spark, cells.days(lit("13 d 21 h"))) == pytest.approx(13.875)
     assert value(spark, cells.dotted_date(lit("~08.10.2026"))).day == datetime.date(2026, 10, 8)
 
@@ -53,6 +54,9 @@ def test_candidate_files_unify(spark, tmp_path):
     (tmp_path / "b.csv").write_text('score,id,ceiling_m6_usd_estimate,p_first_usd_30d_estimate,days\n7,N1,50,0.1,"2-5 wk"\n')
     rows = {r.id: r for r in candidates.read_candidates(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv")).collect()}
     assert rows["AA-01"].hours_week == 2 and rows["N1"].days_to_first is None and rows["N1"].p == 0.1
+    candidates.write_candidates(spark.createDataFrame([("AA-02", 0.5, 'a "b", c')], "id string, p double, crypto_payout string"), str(tmp_path / "out"))
+    again = candidates.read_candidates(spark, str(tmp_path / "out")).first()
+    assert (again.id, again.p, again.crypto_payout) == ("AA-02", 0.5, 'a "b", c')
     (tmp_path / "t.md").write_text("| id | v |\n|---|---|\n  | AA-01 | 5 → 3 |\n")
     table = candidates.table_with(candidates.read_pipe_tables(spark, str(tmp_path / "t.md")), r"^[A-Z]+-\d+$", "id", "v")
     assert [tuple(r) for r in table.collect()] == [("AA-01", "5 → 3")]
@@ -127,3 +131,19 @@ def test_lead_routing(spark, tmp_path):
     assert got["a"] == [("x", "offered"), ("y", "offered"), (None, "expired")]
     assert got["c"][0] == ("x", "offered")
 
+
+
+def test_weekly_share(spark, tmp_path):
+    """Shares of closed weeks; a row later than the watermark allows no longer counts."""
+    day = lambda n: datetime.datetime(2026, 1, 1) + datetime.timedelta(n)
+    batches = [[(day(0), True, 30.0), (day(1), False, 10.0)], [(day(20), True, 5.0)], [(day(0), True, 99.0)], [(day(40), False, 1.0)], [(day(60), False, 1.0)]]
+    for k, rows in enumerate(batches):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        spark.createDataFrame(rows, "ts timestamp, flagged boolean, amount double").coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        part = next((tmp_path / f"b{k}").glob("part-*"))
+        os.utime(part.rename(tmp_path / "in" / f"{k}.parquet"), (1e9 + k, 1e9 + k))  # the stream takes the files in this order
+    stream = spark.readStream.schema("ts timestamp, flagged boolean, amount double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = monitors.weekly_share(stream).writeStream.format("memory").queryName("shares").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("shares").orderBy("window").collect()
+    assert [(r.share, r.amount) for r in got] == [(0.75, 40.0), (1.0, 5.0), (0.0, 1.0)]
