@@ -137,13 +137,11 @@ def test_weekly_share(spark, tmp_path):
     """Shares of closed weeks; a row later than the watermark allows no longer counts."""
     day = lambda n: datetime.datetime(2026, 1, 1) + datetime.timedelta(n)
     batches = [[(day(0), True, 30.0), (day(1), False, 10.0)], [(day(20), True, 5.0)], [(day(0), True, 99.0)], [(day(40), False, 1.0)], [(day(60), False, 1.0)]]
-    for k, rows in enumerate(batches):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        spark.createDataFrame(rows, "ts timestamp, flagged boolean, amount double").coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
-        part = next((tmp_path / f"b{k}").glob("part-*"))
-        os.utime(part.rename(tmp_path / "in" / f"{k}.parquet"), (1e9 + k, 1e9 + k))  # the stream takes the files in this order
-    stream = spark.readStream.schema("ts timestamp, flagged boolean, amount double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = monitors.weekly_share(stream).writeStream.format("memory").queryName("shares").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("shares").orderBy("window").collect()
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:
+        spark.createDataFrame(rows, "ts timestamp, flagged boolean, amount double").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ts timestamp, flagged boolean, amount double").parquet(source)
+        q = monitors.weekly_share(stream).writeStream.format("parquet").option("path", sink).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(sink).orderBy("window").collect()
     assert [(r.share, r.amount) for r in got] == [(0.75, 40.0), (1.0, 5.0), (0.0, 1.0)]
