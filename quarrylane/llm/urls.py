@@ -56,7 +56,7 @@ def best_rule(h: Column, p: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The longest rule that fits (equal lengths: the longer host, then code points), or null."""
     ordered = sorted(rules, key=lambda r: (-len(r.name), -len(r.host), r.name))
     fits = [((h == r.host) | F.endswith(h, F.lit(f".{r.host}"))) & F.startswith(p, F.lit(r.path)) for r in ordered]
-    return F.coalesce(*[F.when(f, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))) for f, r in zip(fits, ordered, strict=True)], F.lit(None))
+    return F.coalesce(*[F.when(f, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))) for f, r in zip(fits, ordered, strict=True)], F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
 def grams(text: Column) -> Column:

@@ -304,6 +304,21 @@ def test_url_fields_equal_sql_and_scores_brute_force(spark):
     assert urls.judge(df.limit(0), model).count() == 0
 
 
+def test_urls_of_unseen_hosts(spark):
+    """Each fourth of the hosts is judged by a model that has seen none of them."""
+    hosts = sorted({*urls.BLOCKED_HOSTS, *urls.ALLOWED_HOSTS}, key=lambda h: hashlib.md5(h.encode()).hexdigest())
+    table, seen = urls.labelled(spark), Counter()
+    for k in range(4):
+        held = F.col("host").isin(hosts[k::4])
+        model = urls.train(table.filter(~held))
+        rows = table.filter(held).select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "host", "path").alias("url"), "label")
+        judged = urls.judge(rows.withColumn("page_id", F.struct("page_id", "label")), model, rules=()).select("page_id.label", "verdict")
+        seen.update((r.label, r.verdict) for r in judged.collect())
+    hits, wrong, missed = seen[1.0, "block"], seen[0.0, "block"], seen[1.0, "allow"]
+    print("unseen hosts", dict(seen))
+    assert sum(seen.values()) == 240 and hits >= 0.65 * (hits + wrong) and hits >= 0.65 * (hits + missed)
+
+
 def test_urls(spark):
     rows = ["http://a.Example.COM/en/71?q", "https://x.net/de/8#t", "https://www.example.net/de/81", "no scheme", None, "http://example.com", "http://casino-win.test/casino/bonus", "x://org/es/1\n?a"]
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
