@@ -340,7 +340,7 @@ def split_tables(spark, d):
 SELECT o_orderkey, round(x / (h * 4.33), 6) AS per_hour, round(x / 1.2, 6) AS without_vat, round((x * 2.0 / 1.2 - (0.04 * (x * 2.0 / 1.2) + 0.4)) * 0.99, 6) AS left_over,
 round(0.8 * x - 100, 6) AS net, round(x - 1000, 6) AS margin, round((x - 1000) / x, 6) AS margin_share, round(greatest(5220 / 0.07 - x, 0), 6) AS to_floor,
 round(x * (0.3 / 0.7), 6) AS headroom, round(x * (0.7 / 0.3), 6) AS needed, x / (x + 50000) >= 0.72 AS share_ok, round(x / CASE s WHEN 'F' THEN 12 WHEN 'O' THEN 3 ELSE 1 END, 6) AS monthly,
-round(0.12 * greatest(x * 0.91 - 2475, 0), 6) AS pay_tax, round(x * 0.91 - 0.12 * greatest(x * 0.91 - 2475, 0), 6) AS pay_net, round(0.3 * 17400 * h, 6) AS head_floor,
+round(0.12 * greatest(x * 0.91 - 2475, 0), 6) AS pay_tax, round(x * 0.91 - 0.12 * greatest(x * 0.91 - 2475, 0), 6) AS pay_net, round(0.3::DOUBLE * 17400 * h, 6) AS head_floor,
 round(x * CASE WHEN s = 'P' THEN 0.5 ELSE 1 END, 6) AS railed, round(CASE WHEN y < 1995 THEN 0 WHEN y = 1995 THEN 0.1 ELSE 0.4 END * x, 6) AS enforced FROM o""")
 def order_money(spark, d):
     """Hourly rates, margins, taxes, shares and penalties of an amount."""
@@ -356,7 +356,7 @@ def order_money(spark, d):
     return o.select("o_orderkey", m.share_ok(x, F.lit(50000.0)).alias("share_ok"), *[F.round(c, 6).alias(n) for n, c in found.items()])
 
 
-@query("""SELECT p_partkey, round(x * 0.5 * 0.64, 6) AS users, round(n * 2.4, 6) AS applications, round(x * 0.013, 6) AS stars, round(x * 0.05, 6) AS cpm, round(x / n) AS multiple, round(x / 1000 * 25 * n, 6) AS mail,
+@query("""SELECT p_partkey, round(x * 0.5 * 0.64, 6) AS users, round(n * 2.4::DOUBLE, 6) AS applications, round(x * 0.013, 6) AS stars, round(x * 0.05, 6) AS cpm, round(x / n) AS multiple, round(x / 1000 * 25 * n, 6) AS mail,
 round(x / 1000 * 2 * 0.4, 6) AS views, round(x / (x + 100000) * 5000, 6) AS pool, round(x * 0.1 * 0.5, 6) AS funnel, round(1 - pow(1 - 0.02, n), 6) AS any_of, round(n / 100.0 * 13 / 23, 6) AS shrunk,
 round(n / 100.0 * ((x + 3 * x) / 2) / n, 6) AS first_month FROM (SELECT p_partkey, p_retailprice AS x, p_size AS n FROM part)""")
 def part_ceilings(spark, d):
@@ -419,7 +419,7 @@ def order_ceilings(spark, d):
     return portfolio.unit_ceiling(items, "l_orderkey").join(p, "l_orderkey").select("l_orderkey", F.round("ceiling", 4).alias("ceiling"), F.round("p", 6).alias("p"))
 
 
-@query("""SELECT event_type, round(sum(n) * 0.8, 6) AS customers FROM (SELECT event_type, date_trunc('month', ts) AS month, count(DISTINCT user_id) AS n FROM events GROUP BY ALL) GROUP BY event_type""")
+@query("""SELECT event_type, round(sum(n) * 0.8::DOUBLE, 6) AS customers FROM (SELECT event_type, date_trunc('month', ts) AS month, count(DISTINCT user_id) AS n FROM events GROUP BY ALL) GROUP BY event_type""")
 def retained_users(spark, d):
     setups = t(spark, d, "events").groupBy("event_type", F.trunc("ts", "month").alias("month")).agg(F.countDistinct("user_id").alias("n"))
     return portfolio.retained(setups, "event_type").withColumn("customers", F.round("customers", 6))
