@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm import bpe, dedup, mixing, neardup, quality, secrets, tokens, toxicity, urls, warc
+from quarrylane.llm import audit, bpe, dedup, mixing, neardup, packing, quality, secrets, tokens, toxicity, trie, urls, warc
 from quarrylane.llm.common import table
 from quarrylane.session import ship
 
@@ -164,3 +164,55 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN lead END AS refers_to
 FROM f
 """
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_trie"] = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: list_transform(range(8), lambda b: (ascii(s) >> b::INT) & 1)))),
+  lambda a, x: xor(a >> 1, 3988292384::BIGINT * (xor(a, x) & 1))), 4294967295::BIGINT) % 9 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, turn, 0 AS own, pos FROM c JOIN t ON t.conv_id = c.conv_id - (c.conv_id % 5 + 5) % 5 AND pos <= h UNION ALL SELECT c.conv_id, turn, 1, pos FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+l AS (SELECT conv_id, coalesce(list(turn ORDER BY own, pos) FILTER (turn IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+q AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM l),
+p AS (SELECT conv_id, n, depth, CASE WHEN depth = 0 THEN '' ELSE sha256(turns[1:depth]::VARCHAR) END AS here, CASE WHEN depth = 1 THEN '' WHEN depth > 1 THEN sha256(turns[1:depth - 1]::VARCHAR) END AS above,
+  coalesce(strlen(turns[depth].text), 0) AS bytes FROM q),
+nodes AS (SELECT here, any_value(above) AS above, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY here),
+kids AS (SELECT above, count(*) AS n_children FROM nodes GROUP BY above),
+inside AS (SELECT DISTINCT a.here AS top, b.here FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT top, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves FROM inside JOIN nodes USING (here) LEFT JOIN kids ON kids.above = nodes.here GROUP BY top)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.here = x.above LEFT JOIN kids ON kids.above = x.here JOIN sums ON sums.top = x.here
+"""
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+v AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM v LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(range(5)) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT list_aggregate(list_transform(o, lambda i: chr((65 + i)::INT)), 'string_agg', '') AS filter_order, unnest(range(1, 6)) AS step, o FROM o),
+y AS (SELECT part, filter_order, step, o[step] AS f, (mask >> o[step]::INT) & 1 = 1 AS fails, mask = 1 << o[step]::INT AS alone, n, g, x, list_min(list_transform(range(1, 6), lambda i: CASE WHEN (mask >> o[i]::INT) & 1 = 1 THEN i ELSE 6 END)) AS gone FROM m, s),
+z AS (SELECT part, filter_order, step, f, sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN gone = step THEN g ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = step THEN x ELSE 0 END)::BIGINT AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM z
+"""
