@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 CURRENCIES = (("$", "USD"), ("€", "EUR"), ("RON", "RON"), ("MDL", "MDL"))
 NOTHING = ("", "—", "-", "None", "n/a")
+#: Dotted dates, what joins several of them, and what leaves the start open, in two languages: fixed values.
+DATES = r"(\d{1,2})(?:\.(\d{1,2}))?(?:\.(\d{4}))?(?:\s*[–-]\s*(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?)?"
+JOINED = r"\s*(?:[,;]|\sи\s|\sand\s)\s*"
+UNTIL = r"(?:^|\s)(?:до|until|by)\s"
 
 
 def number(cell: Column) -> Column:
@@ -37,13 +41,14 @@ def prefix(identifier: Column) -> Column:
 
 
 def id_list(cell: Column) -> Column:
-    """Ids of a cell like ``AB-01…03, CD-07``: ranges are spelled out."""
+    """Ids of a cell like ``AB-01…03, CD-07, N3``: ranges are spelled out, with at least the first number's digits."""
 
     def spell(part: Column) -> Column:
-        stem, first = F.regexp_extract(part, r"([A-Z]+-)\d+", 1), F.regexp_extract(part, r"[A-Z]+-(\d+)", 1)
-        last = F.regexp_extract(part, r"…\s*(?:[A-Z]+-)?(\d+)", 1)
+        piece = lambda i: F.regexp_extract(part, r"([A-Z]+-?)(\d+)(?:\s*…\s*(?:[A-Z]+-?)?(\d+))?", i)
+        stem, first, last = piece(1), piece(2), piece(3)
         numbers = F.sequence(first.try_cast("int"), F.coalesce(last.try_cast("int"), first.try_cast("int")))
-        return F.when(stem != "", F.transform(numbers, lambda n: F.concat(stem, F.lpad(n.cast("string"), 2, "0")))).otherwise(F.array().cast("array<string>"))
+        padded = lambda n: F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.length(first)), F.lit("0"))
+        return F.when(stem != "", F.transform(numbers, lambda n: F.concat(stem, padded(n)))).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(F.split(cell, r"\s*,\s*"), spell))
 
@@ -63,3 +68,28 @@ def dotted_date(cell: Column) -> Column:
     """dd.mm.yyyy with a flag that says whether the cell is just that."""
     text = F.regexp_extract(cell, r"(\d{2}\.\d{2}\.\d{4})", 1)
     return F.struct(F.try_to_timestamp(text, F.lit("dd.MM.yyyy")).cast("date").alias("day"), (F.trim(cell) == text).alias("exact"))
+
+
+def date_ranges(cell: Column, slack: int = 3) -> Column:
+    """Intervals (lo, hi, approx) of a cell with dotted dates, in their order.
+
+    ``21.11.2026`` is a day, ``21–25.11.2026`` and ``28.09–02.10.2026`` are ranges, ``11.2026`` is a month, and dates
+    joined by a comma or "and" are one interval each. A date without a year has the cell's last
+    one. "~" or "≈" widens by ``slack`` days; "until" leaves the start open (null). Other text makes none.
+    """
+    year = F.regexp_extract(cell, r"(\d{4})(?!.*\d{4})", 1)
+
+    def interval_of(part: Column) -> Column:
+        number = lambda i: F.nullif(F.regexp_extract(part, DATES, i), F.lit(""))
+        day_1, month_1, year_1, day_2, month_2, year_2 = (number(i) for i in range(1, 7))
+        own_year = F.coalesce(year_2, year_1, year)
+        date = lambda d, m, y: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        lo = date(day_1, F.coalesce(month_1, month_2), F.coalesce(year_1, own_year))
+        hi = F.when(day_2.isNotNull(), date(day_2, month_2, own_year)).otherwise(lo)
+        month = F.try_to_date(F.nullif(F.regexp_extract(part, r"^\D*(\d{1,2}\.\d{4})\D*$", 1), F.lit("")), "M.yyyy")
+        lo, hi = F.coalesce(month, lo), F.coalesce(F.last_day(month), hi)
+        approx = part.rlike("[≈~]")
+        near = lambda d, n: F.when(approx, F.date_add(d, n)).otherwise(d)
+        return F.struct(F.when(part.rlike(UNTIL), F.lit(None).cast("date")).otherwise(near(lo, -slack)).alias("lo"), near(hi, slack).alias("hi"), approx.alias("approx"))
+
+    return F.filter(F.transform(F.split(cell, JOINED), interval_of), lambda x: x["hi"].isNotNull())

@@ -52,10 +52,10 @@ def test_candidate_files_unify(spark, tmp_path):
 
     (tmp_path / "a.csv").write_text('id,p,ceiling,hours,score\nAA-01,0.5,100,2,25\n')
     (tmp_path / "b.csv").write_text('score,id,ceiling_m6_usd_estimate,p_first_usd_30d_estimate,days\n7,N1,50,0.1,"2-5 wk"\n')
-    rows = {r.id: r for r in candidates.read_candidates(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv")).collect()}
+    rows = {r.id: r for r in candidates.read_candidates(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), required=("id", "p")).collect()}
     assert rows["AA-01"].hours_week == 2 and rows["N1"].days_to_first is None and rows["N1"].p == 0.1
     candidates.write_candidates(spark.createDataFrame([("AA-02", 0.5, 'a "b", c')], "id string, p double, crypto_payout string"), str(tmp_path / "out"))
-    again = candidates.read_candidates(spark, str(tmp_path / "out")).first()
+    again = candidates.read_candidates(spark, str(tmp_path / "out"), required=("id", "p")).first()
     assert (again.id, again.p, again.crypto_payout) == ("AA-02", 0.5, 'a "b", c')
     (tmp_path / "t.md").write_text("| id | v |\n|---|---|\n  | AA-01 | 5 → 3 |\n")
     table = candidates.table_with(candidates.read_pipe_tables(spark, str(tmp_path / "t.md")), r"^[A-Z]+-\d+$", "id", "v")
