@@ -13,6 +13,12 @@ def reconcile(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("id").agg(F.min("p").alias("p"), F.min("ceiling").alias("ceiling"), F.max("hours").alias("hours"), F.bool_or(F.col("verdict") == "refuted").alias("refuted"))
 
 
+def viable(candidates: DataFrame, reviews: DataFrame, key: str = "id") -> DataFrame:
+    """Candidates that no review refutes; those without reviews stay, and so does a null verdict."""
+    refuted = reviews.filter("verdict = 'refuted'").select(key).distinct()
+    return candidates.join(refuted, key, "left_anti")
+
+
 def calibration(scores: DataFrame, before: str = "before", after: str = "after", width: float = 10.0) -> DataFrame:
     """Both medians and their ratio; ``width`` is that of the bins in which ranks are found."""
     sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).cast("double").alias("score")) for name, c in (("before", before), ("after", after))])
@@ -79,7 +85,7 @@ def retained(setups: DataFrame, by: str, n: str = "n", rate: float = 0.8) -> Dat
 
 def in_currency(rows: DataFrame, rates: DataFrame, amount: str = "amount", ccy: str = "ccy") -> DataFrame:
     """Adds ``converted``: the amount at the stated rate of its currency; without a rate: null."""
-    return rows.join(F.broadcast(rates.select(F.col("ccy").alias("_ccy"), "rate")), F.col(ccy) == F.col("_ccy"), "left").withColumn("converted", F.col(amount) * F.col("rate")).drop("_ccy", "rate")
+    return rows.join(rates.select(F.col("ccy").alias("_ccy"), "rate"), F.col(ccy) == F.col("_ccy"), "left").withColumn("converted", F.col(amount) * F.col("rate")).drop("_ccy", "rate")
 
 
 def originality(rows: DataFrame, same_model: str, same_topic: str) -> DataFrame:
@@ -100,6 +106,13 @@ def busy(requests: DataFrame, by: str, ts: str, least: int = 3, days: int = 14)
     return daily.select(by, "day", F.sum("k").over(w).alias("n")).filter(F.col("n") >= least)
 
 
+def moving_average(rows: DataFrame, by: str, day: str, value: str, span: int = 28) -> DataFrame:
+    """by, day, average: over the days with rows among the trailing ``span``, of each origin; a day's rows are summed first."""
+    daily = rows.groupBy(by, F.col(day).cast("date").alias("day")).agg(F.sum(value).alias("v"))
+    w = Window.partitionBy(by).orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(1 - span, 0)
+    return daily.select(by, "day", F.avg("v").over(w).alias("average"))
+
+
 def hourly_rate(weeks: DataFrame, by: str, week: str = "week", usd: str = "usd", hours: str = "hours", span: int = 4) -> DataFrame:
     """Dollars per hour over the trailing weeks; weeks without a row between a group's first and last count as empty."""
     ends = weeks.groupBy(by).agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
@@ -110,7 +123,7 @@ def hourly_rate(weeks: DataFrame, by: str, week: str = "week", usd: str = "usd",
 
 def next_to_close(rates: DataFrame, order: DataFrame, key: str, per_hour: str = "per_hour", by: str = "week") -> DataFrame:
     """Whom to close: the least dollars per hour; on ties, as when nobody earns, the first in a fixed order."""
-    placed = rates.join(F.broadcast(order), key)
+    placed = rates.join(order, key)
     return placed.groupBy(by).agg(F.min_by(key, F.struct(F.coalesce(per_hour, F.lit(0.0)), "place")).alias(key))
 
 
@@ -130,8 +143,8 @@ def scenario_money(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return weights.join(rows, "id").groupBy("scenario").agg(F.sum(F.col("weight") * F.col("ceiling")).alias("usd_month"))
 
 
-def day_90_cash(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.sum(F.col("p") * F.col("ceiling") * day_90_share(F.col("first_day"))).alias("usd"))
+def day_90_cash(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum(F.col("p") * F.col("ceiling") * day_90_share(F.col("first_day"))).alias("usd"))
 
 
 def top(rows: DataFrame, n: int, by: str, key: str = "id") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrylane.functions import cells
 from quarrylane.functions import measures as m
-from quarrylane.operators import portfolio
+from quarrylane.operators import admission, graphs, history, nearest, portfolio, spans, terms
+from quarrylane.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,11 +38,23 @@ def customer_score_top10(spark, d):
     return portfolio.top(scored, 10, "score", "c_custkey")
 
 
-@query("""SELECT o_orderkey, min(l_discount) AS least_discount, min(l_extendedprice) AS least_price, max(l_quantity) AS most_quantity
+@query("""SELECT o_orderkey, min(l_discount) AS least_discount, min(l_extendedprice) AS least_price, max(l_quantity) AS most_quantity, bool_or(l_returnflag = 'R' AND l_discount > 0.08) AS refuted
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def order_line_reconcile(spark, d):
-    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_discount").alias("least_discount"), F.min("l_extendedprice").alias("least_price"), F.max("l_quantity").alias("most_quantity"))
-    return t(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    merged = portfolio.reconcile(_reviews(spark, d)).select(F.col("id").alias("o_orderkey"), F.col("p").alias("least_discount"), F.col("ceiling").alias("least_price"), F.col("hours").alias("most_quantity"), "refuted")
+    return t(spark, d, "orders").select("o_orderkey").join(merged, "o_orderkey", "left")
+
+
+def _reviews(spark, d):
+    """An order's lines as its reviews."""
+    verdict = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08), "refuted").otherwise("holds")
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_discount").alias("p"), F.col("l_extendedprice").alias("ceiling"), F.col("l_quantity").alias("hours"), verdict.alias("verdict"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_discount > 0.08)""")
+def viable_orders(spark, d):
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    return portfolio.viable(orders, _reviews(spark, d)).withColumnRenamed("id", "o_orderkey")
 
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75,
@@ -113,10 +126,10 @@ def quantity_totals(spark, d):
 
 @query("""SELECT o_orderkey, round(greatest(0.07 * o_totalprice, 5220), 6) AS floor_tax, round(0.15 * least(o_totalprice, 120000) + 0.35 * greatest(o_totalprice - 120000, 0), 6) AS bracket_tax,
 round(0.039 * o_totalprice + 0.4, 6) AS card_fee, round(least(0.007 * o_totalprice, 40), 6) AS capped_fee, round(greatest(0.0025 * o_totalprice, 25) + 10, 6) AS wire_fee,
-round(CASE WHEN o_totalprice < 500 THEN 15 ELSE 29 END + 0.02 * o_totalprice, 6) AS step_fee FROM orders""")
+round(CASE WHEN o_totalprice < 100000 THEN 15 ELSE 29 END + 0.02 * o_totalprice, 6) AS step_fee FROM orders""")
 def fee_schedule(spark, d):
     x, r = F.col("o_totalprice"), lambda c: F.round(c, 6)
-    return t(spark, d, "orders").select("o_orderkey", r(m.tax_with_floor(x, 0.07, 5220.0)).alias("floor_tax"), r(m.two_brackets(x, 120000.0, 0.15, 0.35)).alias("bracket_tax"), r(m.fee_percent_fixed(x, 0.039, 0.4)).alias("card_fee"), r(m.fee_at_most(x, 0.007, 40.0)).alias("capped_fee"), r(m.fee_at_least(x, 0.0025, 25.0, 10.0)).alias("wire_fee"), r(m.fee_step(x, 500.0, 15.0, 29.0, 0.02)).alias("step_fee"))
+    return t(spark, d, "orders").select("o_orderkey", r(m.tax_with_floor(x, 0.07, 5220.0)).alias("floor_tax"), r(m.two_brackets(x, 120000.0, 0.15, 0.35)).alias("bracket_tax"), r(m.fee_percent_fixed(x, 0.039, 0.4)).alias("card_fee"), r(m.fee_at_most(x, 0.007, 40.0)).alias("capped_fee"), r(m.fee_at_least(x, 0.0025, 25.0, 10.0)).alias("wire_fee"), r(m.fee_step(x, 100000.0, 15.0, 29.0, 0.02)).alias("step_fee"))
 
 
 @query("""SELECT lang, sum(len(regexp_extract_all(coalesce(text, ''), '(license|public|version)')))::BIGINT AS hits, count(*) AS n FROM documents GROUP BY lang""")
@@ -160,9 +173,9 @@ def yearly_growth(spark, d):
 SELECT c_custkey, k AS day, count(o_orderkey) AS n FROM f CROSS JOIN (VALUES (14), (30), (45), (60), (90)) v(k)
 LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate::DATE <= first + k::INTEGER GROUP BY 1, 2""")
 def milestones(spark, d):
-    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    o = o.select("c_custkey", F.col("o_orderdate").cast("date").alias("day"))
-    since = o.withColumn("since", F.datediff("day", F.min("day").over(Window.partitionBy("c_custkey"))))
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("day"))
+    first = o.groupBy("c_custkey").agg(F.min("day").alias("first"))
+    since = o.join(first, "c_custkey").withColumn("since", F.datediff("day", "first"))
     marks = [14, 30, 45, 60, 90]
     counts = since.groupBy("c_custkey").agg(*[F.count_if(F.col("since") <= k).alias(str(k)) for k in marks])
     return counts.unpivot(["c_custkey"], [str(k) for k in marks], "day", "n").withColumn("day", F.col("day").cast("int"))
@@ -184,23 +197,23 @@ def weakest_nation(spark, d):
 
 @query("""SELECT p_size, round(sum(p_retailprice * CASE WHEN p_size <= 90 THEN pow(90 - p_size, 2) / (60.0 * (180 - p_size)) ELSE 0 END), 4) AS usd FROM part GROUP BY p_size""")
 def day_90_by_start(spark, d):
-    rows = t(spark, d, "part")
-    return rows.groupBy("p_size").agg(F.round(F.sum(F.col("p_retailprice") * m.day_90_share(F.col("p_size"))), 4).alias("usd"))
+    rows = t(spark, d, "part").select("p_size", F.lit(1.0).alias("p"), F.col("p_retailprice").alias("ceiling"), F.col("p_size").alias("first_day"))
+    return portfolio.day_90_cash(rows, "p_size").withColumn("usd", F.round("usd", 4))
 
 
 @query("""SELECT o_orderkey, CASE WHEN day(h) <= 1 THEN date_trunc('month', h) WHEN day(h) <= 15 THEN date_trunc('month', h) + INTERVAL 14 DAYS ELSE date_trunc('month', h) + INTERVAL 1 MONTH END::DATE::VARCHAR AS payout
-FROM (SELECT o_orderkey, o_totalprice, (o_orderdate::DATE + 21) AS h FROM orders) WHERE o_totalprice >= 50""")
+FROM (SELECT o_orderkey, o_totalprice, (o_orderdate::DATE + 21) AS h FROM orders) WHERE o_totalprice >= 100000""")
 def payout_dates(spark, d):
     held = F.date_add(F.col("o_orderdate").cast("date"), 21)
     month = F.trunc(held, "month")
     payout = F.when(F.dayofmonth(held) <= 1, month).when(F.dayofmonth(held) <= 15, F.date_add(month, 14)).otherwise(F.add_months(month, 1))
-    return t(spark, d, "orders").filter("o_totalprice >= 50").select("o_orderkey", payout.cast("string").alias("payout"))
+    return t(spark, d, "orders").filter("o_totalprice >= 100000").select("o_orderkey", payout.cast("string").alias("payout"))
 
 
-@query("""SELECT user_id, date_trunc('month', ts)::DATE::VARCHAR AS month, round(least(sum(value), 500), 4) AS counted FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, date_trunc('month', ts)::DATE::VARCHAR AS month, round(least(sum(value), 3000), 4) AS counted FROM events GROUP BY 1, 2""")
 def monthly_cap(spark, d):
     g = t(spark, d, "events").groupBy("user_id", F.trunc("ts", "month").alias("month")).agg(F.sum("value").alias("v"))
-    return g.select("user_id", F.col("month").cast("string").alias("month"), F.round(F.least("v", F.lit(500.0)), 4).alias("counted"))
+    return g.select("user_id", F.col("month").cast("string").alias("month"), F.round(F.least("v", F.lit(3000.0)), 4).alias("counted"))
 
 
 @query("""WITH r AS (SELECT event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS n7 FROM events)
@@ -246,11 +259,11 @@ def alert_rules(spark, d):
 
 
 @query("""SELECT o_orderkey, round(a + dd * 0.88 * r, 6) AS company, round(b + dd * 0.96 * r, 6) AS small_company, round(greatest(0.07 * r, 5220), 6) AS park_one, round(0.07 * r + dd * 0.93 * r, 6) AS park_none
-FROM (SELECT o_orderkey, o_totalprice AS r, 0.12 * o_totalprice AS a, 0.04 * o_totalprice AS b, CASE WHEN year(o_orderdate) % 2 = 0 THEN 0.06 ELSE 0.08 END AS dd FROM orders)""")
+FROM (SELECT o_orderkey, o_totalprice AS r, 0.12 * o_totalprice AS a, 0.04 * o_totalprice AS b, CASE WHEN o_orderdate >= DATE '1998-03-01' THEN 0.08 WHEN o_orderdate >= DATE '1996-01-01' THEN 0.06 END AS dd FROM orders)""")
 def tax_regimes(spark, d):
-    """Four regimes at the rates of a year, from a rate dimension."""
-    rates = spark.createDataFrame([(0, 0.06), (1, 0.08)], "turn int, dividend double")
-    o = t(spark, d, "orders").withColumn("turn", (F.year("o_orderdate") % 2).cast("int")).join(F.broadcast(rates), "turn")
+    """Four regimes at the rate that held on the day; before the first rate there is none."""
+    dividends = spark.createDataFrame([("dividend", "1996-01-01", 0.06), ("dividend", "1998-03-01", 0.08)], "tax string, since string, dividend double")
+    o = history.at_rate(t(spark, d, "orders").withColumn("tax", F.lit("dividend")), dividends, "tax", "o_orderdate", "dividend")
     x, of = F.col("o_totalprice"), lambda rate: F.round(m.after_dividends(F.col("o_totalprice"), F.lit(rate), F.col("dividend")), 6)
     return o.select("o_orderkey", of(0.12).alias("company"), of(0.04).alias("small_company"), F.round(m.tax_with_floor(x, 0.07, 5220.0), 6).alias("park_one"), of(0.07).alias("park_none"))
 
@@ -286,11 +299,14 @@ def trailing_hourly_rate(spark, d):
     return _rates(spark, d).select("event_type", F.col("week").cast("string").alias("week"), F.round("per_hour", 6).alias("per_hour"))
 
 
-@query(f"WITH {_WEEKS} SELECT week::VARCHAR AS week, arg_min(event_type, (coalesce(round(per_hour, 6), 0), event_type)) AS event_type FROM r GROUP BY week")
+CLOSING_ORDER = ("signup", "view", "click", "error", "purchase")
+
+
+@query(f"WITH {_WEEKS} SELECT week::VARCHAR AS week, arg_min(event_type, (coalesce(2 * round(round(per_hour, 6) / 2), 0), list_position({list(CLOSING_ORDER)}, event_type))) AS event_type FROM r GROUP BY week")
 def next_closings(spark, d):
-    """The fixed order is by name."""
-    rates = _rates(spark, d).withColumn("per_hour", F.round("per_hour", 6))
-    order = rates.select("event_type").distinct().withColumn("place", F.col("event_type"))
+    """Rates that are equal to two dollars are ties, which a fixed order decides."""
+    rates = _rates(spark, d).withColumn("per_hour", 2 * F.round(F.round("per_hour", 6) / 2))
+    order = spark.createDataFrame([(name, i) for i, name in enumerate(CLOSING_ORDER)], "event_type string, place int")
     return portfolio.next_to_close(rates, order, "event_type").withColumn("week", F.col("week").cast("string"))
 
 
@@ -321,11 +337,11 @@ def original_parts(spark, d):
     return portfolio.originality(rows, "model", "topic").select("p_partkey", "level", "flag")
 
 
-@query("""SELECT o_orderkey, o_orderdate < TIMESTAMP '1995-01-01' AS old, o_totalprice FROM orders WHERE regexp_matches(lower(o_orderpriority), 'urgent|high')""")
+@query("""SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-01' AS old, o_totalprice FROM orders WHERE regexp_matches(lower(o_orderpriority), 'urgent|high')""")
 def marked_evidence(spark, d):
     """Rows chosen by a keyword, with a mark on those from before a day."""
     o = t(spark, d, "orders").filter(F.lower("o_orderpriority").rlike("urgent|high"))
-    return o.select("o_orderkey", (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).alias("old"), "o_totalprice")
+    return o.select("o_orderkey", (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).alias("old"), "o_totalprice")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -431,13 +447,15 @@ def crosswalk(spark, d):
     return portfolio.renamed_ids(t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), ids)
 
 
-@query("""SELECT stem, n_name, count(*) AS n FROM (SELECT 'AB' AS stem, unnest(range(p_size, p_size + 3)) AS k FROM part) JOIN nation ON n_nationkey = k GROUP BY ALL""")
+@query("""SELECT stem, n_name, count(*) AS n FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'N' ELSE 'AB' END AS stem, unnest(range(p_size + 70, p_size + 73)) AS k FROM part) JOIN nation ON n_nationkey + 90 = k GROUP BY ALL""")
 def listed_rails(spark, d):
-    """Id lists in cells, spelled out and joined."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    listed = t(spark, d, "part").select(F.concat(F.lit("AB-"), two(F.col("p_size")), F.lit("…"), two(F.col("p_size") + 2)).alias("cell"))
+    """Id lists in cells, with and without a dash and over 99, spelled out and joined."""
+    text = lambda c: c.cast("string")
+    stem = F.when(F.col("p_size") % 2 == 0, "N").otherwise("AB-")
+    listed = t(spark, d, "part").select(F.concat(stem, text(F.col("p_size") + 70), F.lit("…"), text(F.col("p_size") + 72)).alias("cell"))
     ids = listed.groupBy("cell").agg(F.count("*").alias("n")).select("n", F.explode(cells.id_list(F.col("cell"))).alias("id"))
-    rails = t(spark, d, "nation").select(F.concat(F.lit("AB-"), two(F.col("n_nationkey"))).alias("id"), "n_name")
+    rails = t(spark, d, "nation").select(F.explode(F.array(F.lit("AB-"), F.lit("N"))).alias("stem"), "n_nationkey", "n_name")
+    rails = rails.select(F.concat("stem", text(F.col("n_nationkey") + 90)).alias("id"), "n_name")
     return ids.join(rails, "id").groupBy(cells.prefix(F.col("id")).alias("stem"), "n_name").agg(F.sum("n").alias("n"))
 
 
@@ -447,3 +465,121 @@ def label_kinds(spark, d):
     kinds = spark.createDataFrame([("f", "done"), ("o", "open"), ("p", "open"), ("1-urgent", "soon"), ("2-high", "soon")], "label string, kind string")
     cell = F.concat(F.lit("seen ["), F.col("o_orderpriority"), F.lit("], then ["), F.col("o_orderstatus"), F.lit("]"))
     return t(spark, d, "orders").select(F.explode(cells.labels(cell)).alias("label")).join(F.broadcast(kinds), "label").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH dd AS (SELECT event_type, ts::DATE AS day, sum(value) AS v FROM events GROUP BY ALL)
+SELECT event_type, day::VARCHAR AS day, round(avg(v) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW), 6) AS average FROM dd""")
+def moving_average_by_origin(spark, d):
+    averages = portfolio.moving_average(t(spark, d, "events"), "event_type", "ts", "value")
+    return averages.select("event_type", F.col("day").cast("string").alias("day"), F.round("average", 6).alias("average"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, y ORDER BY o_orderdate, o_orderkey) AS k
+  FROM (SELECT o_custkey, year(o_orderdate) AS y, o_orderdate, o_orderkey, o_totalprice AS x, o_orderpriority < '4' AS part FROM orders)),
+g AS (SELECT DISTINCT o_custkey, y, 0::BIGINT AS k, NULL::BIGINT AS o_orderkey, false AS admitted, 0::DOUBLE AS part_sum, 0::DOUBLE AS other_sum FROM o
+  UNION ALL SELECT o_custkey, y, k, o_orderkey, enters, part_sum + CASE WHEN part THEN x ELSE 0 END, other_sum + CASE WHEN enters AND NOT part THEN x ELSE 0 END
+  FROM (SELECT o.*, part_sum, other_sum, part OR part_sum / (part_sum + other_sum + x) >= 0.72 AS enters FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.y = g.y AND o.k = g.k + 1))
+SELECT o_orderkey, admitted, round(part_sum, 2) AS part_sum, round(other_sum, 2) AS other_sum FROM g WHERE k > 0""")
+def invoice_gate(spark, d):
+    """Orders of a customer and year in order: those that would press the part's share under the limit are refused, and don't count later."""
+    journal = t(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderdate", "o_orderkey", (F.col("o_orderpriority") < "4").alias("part"), F.col("o_totalprice").alias("amount"))
+    gated = admission.admit(journal, ["o_custkey", "y"], ["o_orderdate", "o_orderkey"])
+    return gated.select("o_orderkey", "admitted", F.round("part_sum", 2).alias("part_sum"), F.round("other_sum", 2).alias("other_sum"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_discount >= 0.09 AND b.l_discount >= 0.09),
+n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS k, coalesce(list(o) FILTER (o IS NOT NULL), []) AS near
+  FROM supplier LEFT JOIN (SELECT a AS x, b AS o FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b) ON x = s_suppkey GROUP BY s_suppkey, s_acctbal),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT n.k, CASE WHEN list_has_any(taken, near) THEN taken ELSE list_append(taken, s_suppkey) END FROM g JOIN n ON n.k = g.k + 1)
+SELECT s_suppkey, s_acctbal FROM supplier WHERE list_contains((SELECT arg_max(taken, k) FROM g), s_suppkey)""")
+def independent_suppliers(spark, d):
+    """The richest suppliers of which no two stand next to each other in an order, both at a high discount."""
+    lines = t(spark, d, "lineitem").filter("l_discount >= 0.09").select("l_orderkey", "l_linenumber", "l_suppkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("b"))
+    edges = lines.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("a"), "b")
+    return graphs.independent_set(t(spark, d, "supplier").select("s_suppkey", "s_acctbal"), edges, "s_suppkey", "s_acctbal")
+
+
+@query("""WITH RECURSIVE m AS (SELECT c_custkey AS id, (c_custkey * 31 + c_nationkey * 17) % (SELECT max(c_custkey) FROM customer) + 1 AS of FROM customer WHERE c_nationkey < 22),
+w AS (SELECT id, of AS cur, [id] AS seen FROM m UNION ALL SELECT w.id, m.of, list_append(seen, cur) FROM w JOIN m ON m.id = cur WHERE NOT list_contains(seen, cur))
+SELECT w.id, CASE WHEN m.id IS NULL THEN cur END AS last, CASE WHEN m.id IS NULL THEN len(seen) END AS hops,
+  CASE WHEN m.id IS NOT NULL THEN list_min(seen[list_position(seen, cur):]) END AS cycle, m.id IS NOT NULL AND cur = w.id AS in_cycle
+FROM w LEFT JOIN m ON m.id = cur WHERE m.id IS NULL OR list_contains(seen, cur)""")
+def merged_ids(spark, d):
+    """Merges of merges followed to their end; those that run in circles are told."""
+    c = t(spark, d, "customer")
+    most = c.agg(F.max("c_custkey")).first()[0] or 1
+    marks = c.filter("c_nationkey < 22").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 31 + F.col("c_nationkey") * 17) % most + 1).alias("of"))
+    return graphs.last_successors(marks)
+
+
+_VERSIONS = """s AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, DATE '2026-01-01' + (page_id % 12)::INT AS day, min(sha256(regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1))) AS digest FROM pages GROUP BY 1, 2),
+n AS (SELECT day, row_number() OVER (ORDER BY day) AS number, lead(day) OVER (ORDER BY day) AS following FROM (SELECT DISTINCT day FROM s)),
+m AS (SELECT *, CASE WHEN lag(number) OVER w = number - 1 AND lag(digest) OVER w = digest THEN 0 ELSE 1 END AS starts FROM s JOIN n USING (day) WINDOW w AS (PARTITION BY host ORDER BY number)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY host ORDER BY number) AS run FROM m),
+v AS (SELECT host, digest, min(day) AS valid_from, max(number) AS last_number FROM r GROUP BY host, run, digest),
+versions AS (SELECT host, digest, valid_from, (SELECT following FROM n WHERE number = last_number) AS valid_to FROM v)"""
+
+
+def _page_versions(spark, d):
+    pages = t(spark, d, "pages").select(
+        F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 12).cast("int")).alias("day"), F.regexp_extract("url", "://[^/?#]*/([^/?#]*)", 1).alias("section")
+    )
+    return history.versions(pages, "host", "day", "section")
+
+
+@query(f"WITH {_VERSIONS} SELECT host, digest, valid_from::VARCHAR AS valid_from, valid_to::VARCHAR AS valid_to FROM versions")
+def page_versions(spark, d):
+    """A snapshot for each day: for how long each host had its first section."""
+    v = _page_versions(spark, d)
+    return v.select("host", "digest", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
+
+
+@query(f"WITH {_VERSIONS} SELECT host, digest FROM versions WHERE valid_from <= DATE '2026-01-06' AND (valid_to IS NULL OR valid_to > DATE '2026-01-06')")
+def pages_as_of(spark, d):
+    return history.as_of(_page_versions(spark, d), "2026-01-06").select("host", "digest")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS ccy, min(l_shipdate)::DATE AS since, round(1 + avg(l_discount), 6) AS rate FROM lineitem WHERE l_shipdate >= DATE '1995-06-01' GROUP BY l_returnflag, date_trunc('quarter', l_shipdate)),
+o AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS day, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS ccy FROM orders)
+SELECT o_orderkey, round(o_totalprice * rate, 4) AS converted FROM o ASOF LEFT JOIN r ON o.ccy = r.ccy AND o.day >= r.since""")
+def dated_conversion(spark, d):
+    """Amounts at the rate of their day, from a history of rates; before the first there is none."""
+    lines = t(spark, d, "lineitem").filter("l_shipdate >= date'1995-06-01'")
+    rates = lines.groupBy(F.col("l_returnflag").alias("ccy"), F.trunc("l_shipdate", "quarter").alias("q")).agg(F.min("l_shipdate").cast("date").alias("since"), F.round(1 + F.avg("l_discount"), 6).alias("rate"))
+    ccy = F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "O", "N").otherwise("A")
+    found = history.at_rate(t(spark, d, "orders").withColumn("ccy", ccy), rates.drop("q"), "ccy", "o_orderdate", "rate")
+    return found.select("o_orderkey", F.round(F.col("o_totalprice") * F.col("rate"), 4).alias("converted"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS c, l_orderkey, min(l_shipdate)::DATE AS lo, max(l_shipdate)::DATE AS hi FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT o_orderkey, count(*) AS n, max(l_orderkey) AS latest FROM orders JOIN s ON c = o_custkey AND lo <= o_orderdate::DATE + 14 AND hi >= o_orderdate::DATE GROUP BY o_orderkey""")
+def shipping_windows(spark, d):
+    """Spans of shipping that overlap a customer's order windows, which come as text cells."""
+    o, dotted = t(spark, d, "orders"), lambda c: F.date_format(c, "dd.MM.yyyy")
+    cell = F.concat(dotted(F.col("o_orderdate")), F.lit("–"), dotted(F.date_add(F.col("o_orderdate").cast("date"), 14)))
+    windows = o.select(F.col("o_custkey").alias("c"), "o_orderkey", F.explode(cells.date_ranges(cell)).alias("w")).select("c", "o_orderkey", "w.lo", "w.hi")
+    spans_of = t(spark, d, "lineitem").join(o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("c", "l_orderkey").agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
+    met = spans.overlapping(windows, spans_of, ["c"], days=60)
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("b_l_orderkey").alias("latest"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.vec_id AS query, arg_min(b.vec_id, (list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) ** 2)), b.vec_id)) AS id,
+round(sqrt(min(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) ** 2)))), 6) AS distance FROM e a JOIN e b ON a.label % 2 = 0 AND b.label % 2 = 1 GROUP BY a.vec_id""")
+def nearest_analogues(spark, d):
+    """For each vector of an even label the nearest of the odd ones."""
+    e = t(spark, d, "embeddings")
+    found = nearest.nearest(e.filter("label % 2 = 0"), e.filter("label % 2 = 1"), "vec_id", "embedding")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+_TERMS = ("the", "track", "page", "href", "cookie")
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS term, count(*) FILTER (k > 0) AS n_pages, sum(k)::BIGINT AS n_hits FROM (SELECT len(regexp_extract_all(html, '(?i)\\b{x}\\b')) AS k FROM pages) HAVING sum(k) > 0" for x in _TERMS))
+def indexed_keywords(spark, d):
+    """Keyword counts from an index that is written once and read by term."""
+    path = scratch(spark, "index")
+    terms.write_index(t(spark, d, "pages"), "page_id", "html", path)
+    return terms.look_up(spark, path, list(_TERMS)).groupBy("term").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_hits"))

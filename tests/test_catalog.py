@@ -4,7 +4,7 @@ import pytest
 from quarrylane.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages embeddings".split()
 
 
 def rows(names, records):
