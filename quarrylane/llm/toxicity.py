@@ -150,10 +150,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of up to MOST_LABELLED labelled rows that aren't held out."""
+    """(text, toxic) of up to MOST_LABELLED labelled ids that aren't held out: one row for each, with the least of its texts."""
     rows = labels.select(F.col("doc_id").alias("_id"), "toxic").filter(~held_out(F.col("_id")) & F.col("toxic").isNotNull())
     sample = stash(rows.groupBy("_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED), "labelled")
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "toxic")
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "_id")
+    return texts.groupBy("_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> list[Term]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -88,39 +89,71 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, id_col: str = "pa
 
 @dataclass
 class ArcRecord:
+    """A record; one without fields is what was skipped between records."""
+
     offset: int
     fields: dict[str, str]
     block: bytes
     is_version: bool = False
+    is_cut: bool = False
+
+
+#: What a header line has for an address, and the day or time that comes after it.
+ADDRESS = re.compile(r"[0-9A-Fa-f]*[.:][0-9A-Fa-f.:]+")
+STAMP = re.compile(r"\d{8,14}")
+
+
+def header_fields(line: str, names: list[str]) -> dict[str, str] | None:
+    """The fields of a header line; None if it is none.
+
+    The length is last, the date is a number after an address; what is before them is the URL and what
+    is between the date and the fields that end the line is the content type, both with spaces if
+    need be. Of several such dates the last before a word with a slash, else the last, is taken.
+    """
+    words = line.split(" ")
+    ends = len(names) - names.index("Content-type") - 1
+    if not words[-1].isdigit() or not words[-1].isascii():
+        return None
+    places = [i for i in range(2, len(words) - ends - 1) if STAMP.fullmatch(words[i])]
+    places = [i for i in places if ADDRESS.fullmatch(words[i - 1])] or places
+    typed = [i for i in places if "/" in words[i + 1] or words[i + 1] in ("-", "no-type", "unknown")]
+    if not places:
+        return None
+    at = (typed or places)[-1]
+    values = [" ".join(words[: at - 1]), words[at - 1], words[at], " ".join(words[at + 1 : len(words) - ends]), *words[len(words) - ends :]]
+    return dict(zip(names, values, strict=True))
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an archive, its version block first.
 
-    A version block is at the start only; a later record is a page, whatever its URL.
-    A header line has as many fields as its version says, counted from the right, as URLs may hold
-    spaces. What doesn't parse as a header is skipped to the next line.
+    A version block is at the start only; a later record is a page, whatever its URL. Lines that are
+    no header are skipped to the next one that is, and given as a record without fields. A block that
+    ends before its declared length is given as far as it is there, and marked.
     """
-    fields, at = ARC_FIELDS[1], 0
+    names, at, lost = ARC_FIELDS[1], 0, 0
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0:
-            return
-        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
+        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
         is_version = at == 0 and line.startswith("filedesc://")
-        if is_version:
+        if is_version and end >= 0:
             # the version is on the next line, and says how to read this one
             second = data[end + 1 : data.find(b"\n", end + 1)].split(b" ")
-            fields = ARC_FIELDS.get(int(second[0]) if second[0].isdigit() else 1, ARC_FIELDS[1])
-        values = line.rsplit(" ", len(fields) - 1)
-        if len(values) == len(fields) and values[-1].isdigit() and values[fields.index("Archive-date")].isdigit():
-            size = int(values[-1])
-            yield ArcRecord(at, dict(zip(fields, values, strict=True)), data[end + 1 : end + 1 + size], is_version)
-            at = end + 1 + size
-            while data[at : at + 1] in (b"\n", b"\r"):
-                at += 1
-        else:
-            at = end + 1
+            names = ARC_FIELDS.get(int(second[0]) if second[0].isdigit() else 1, ARC_FIELDS[1])
+        fields = header_fields(line, names) if end >= 0 else None
+        if fields is None:
+            at = end + 1 if end >= 0 else len(data)
+            continue
+        if data[lost:at].strip(b"\r\n"):
+            yield ArcRecord(lost, {}, data[lost:at])
+        block = data[end + 1 : end + 1 + int(fields["Archive-length"])]
+        yield ArcRecord(at, fields, block, is_version, len(block) < int(fields["Archive-length"]))
+        at = end + 1 + int(fields["Archive-length"])
+        while data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
+        lost = at
+    if data[lost:].strip(b"\r\n"):
+        yield ArcRecord(lost, {}, data[lost:])
 
 
 def plain(data: bytes) -> bytes:
@@ -147,22 +180,24 @@ def _number(x: str | None) -> int | None:
     return int(x) if x and x.lstrip("-").isdigit() else None
 
 
-ARC_ROW = "record_id string, kind string, uri string, date string, ip string, page_id long, head binary, payload binary, payload_bytes long, payload_digest string"
+ARC_ROW = "record_id string, kind string, uri string, date string, ip string, page_id long, head binary, payload binary, payload_bytes long, payload_digest string, is_cut boolean"
 
 
 def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ARC_ROW.split(", ")]
-    types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in ARC_ROW.split(", ")]
+    types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in ARC_ROW.split(", ")]
     for batch in batches:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows: list[tuple] = []
             size = 0
             for r in parse_arc(plain(data.as_py())):
-                info = r.is_version
-                head, payload, http = (b"", r.block, {}) if info else http_parts(r.block)
-                name = r.fields["URL"] if info else f"{path.rsplit('/', 1)[-1]}#{r.offset}"
-                kind = "warcinfo" if info else "response" if head else "resource"
-                rows.append((str(uuid.uuid5(uuid.NAMESPACE_URL, name)), kind, r.fields["URL"], iso_date(r.fields["Archive-date"]), r.fields["IP-address"], _number(http.get(PAGE_HEADER.lower())), head, payload, len(payload), hashlib.sha256(payload).hexdigest()))
+                bare = r.is_version or not r.fields
+                head, payload, http = (b"", r.block, {}) if bare else http_parts(r.block)
+                place = f"{path.rsplit('/', 1)[-1]}#{r.offset}"
+                name = r.fields["URL"] if r.is_version else place
+                kind = "warcinfo" if r.is_version else "skipped" if not r.fields else "response" if head else "resource"
+                uri, date = r.fields.get("URL", place), r.fields.get("Archive-date")
+                rows.append((str(uuid.uuid5(uuid.NAMESPACE_URL, name)), kind, uri, iso_date(date) if date else None, r.fields.get("IP-address"), _number(http.get(PAGE_HEADER.lower())), head, payload, len(payload), hashlib.sha256(payload).hexdigest(), r.is_cut))
                 size += len(payload)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -172,14 +207,24 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives in a folder; heads and payloads are bytes."""
+    """The records of all archives in a folder; heads and payloads are bytes.
+
+    What is no record comes as kind ``skipped``, with its archive and offset as uri; a block that ends before
+    its declared length has ``is_cut``.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     return files.mapInArrow(_from_arc, ARC_ROW)
 
 
+def damage(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts over the archives of a folder: records, skipped stretches and their bytes, records that are cut."""
+    skipped = F.col("kind") == "skipped"
+    return read_arc(spark, folder).agg(F.count_if(~skipped).alias("records"), F.count_if(skipped).alias("skipped"), F.coalesce(F.sum(F.when(skipped, F.col("payload_bytes"))), F.lit(0)).alias("skipped_bytes"), F.count_if("is_cut").alias("cut"))
+
+
 def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Column:
     """A WARC record as bytes, without the two line ends after it."""
-    lines = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\n"), *[F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields]]
+    lines = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\n"), *[F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields], F.when(F.col("is_cut"), "WARC-Truncated: unspecified\r\n").otherwise("")]
     head = F.concat(*lines, F.lit("WARC-Block-Digest: sha256:"), F.sha2(block, 256), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head.cast("binary"), block)
 
@@ -206,9 +251,10 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, compression:
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, the one with the smallest page id
     (null ids last, then by record id) is the response and the others are revisits of it. Payloads
-    of records that can't be revisits don't shuffle.
+    of records that can't be revisits don't shuffle. Records that are cut say so (WARC-Truncated); what
+    is no record isn't carried over, ``damage`` counts it.
     """
-    records = read_arc(spark, arc_folder)
+    records = read_arc(spark, arc_folder).filter("kind <> 'skipped'")
     narrow = stash(records.filter("kind = 'response'").select("record_id", "page_id", "payload_digest", "payload_bytes"), "payloads")
     large = narrow.filter(F.col("payload_bytes") >= LEAST_REVISIT)
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record_id")).alias("first")

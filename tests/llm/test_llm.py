@@ -467,7 +467,7 @@ def test_pipeline(spark):
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    assert set(queries.QUERIES) == {q for q in queries.QUERIES if re.match(r"op\d+_", q)} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) == {q for q in queries.QUERIES if re.match(r"op\d+_", q)} and len(queries.QUERIES) == 13
 
 
 CLASHES = ("packed", "id", "sha", "n", "maybe", "kept", "key", "row", "judged", "rank", "size", "_pos0", "_bucket1", "doc_id_", "r", "gone")
