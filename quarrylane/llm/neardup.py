@@ -260,20 +260,30 @@ def _involved_sets(rows: DataFrame, involved: DataFrame, width: int, work: Works
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], work: Workspace) -> DataFrame:
     """Pairs (a, b) compared on their full sets: sizes, common, linked, b's shingles outside a.
 
-    A set with very many partners goes to several tasks; there are HOT_SHARE such sets at most.
+    A set with very many partners, on either side, goes to several tasks; there are HOT_SHARE such
+    sets a side at most. Sets of few partners are read where they lie, in buckets of their node.
     """
     num, den = threshold
     pairs = work.stash(pairs, "pairs")
     share = max(PARTNERS, pairs.count() // HOT_SHARE)
-    heavy = work.stash(pairs.groupBy("a").agg(F.floor(F.count("*") / F.lit(share)).cast("int").alias("more")).filter("more > 0"), "heavy")
+
+    def heavy(side: str) -> DataFrame:
+        counts = pairs.groupBy(side).agg(F.floor(F.count("*") / F.lit(share)).cast("int").alias(f"{side}_more"))
+        return work.stash(counts.filter(f"{side}_more > 0"), f"heavy-{side}")
+
+    heavy_a, heavy_b = heavy("a"), heavy("b")
     hub = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n"), F.col("shingles").alias("a_set"))
     own = sets.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("shingles").alias("b_set"))
     # later rounds need few of the sets
-    hub = hub.join(pairs.select("a").distinct(), "a", "left_semi").join(F.broadcast(heavy), "a", "left")
-    hub = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).drop("more")
-    own = own.join(pairs.select("b").distinct(), "b", "left_semi")
-    dealt = pairs.join(F.broadcast(heavy), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1).cast("int")).drop("more")
-    both = dealt.join(own, "b").join(hub, ["a", "part"]).withColumn("common", F.size(F.array_intersect("b_set", "a_set")).cast("long"))
+    hub = hub.join(pairs.select("a").distinct(), "a", "left_semi").join(F.broadcast(heavy_a), "a", "left")
+    parts = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(f"{side}_more", F.lit(0))))
+    hub = hub.withColumn("part", parts("a")).drop("a_more")
+    part = lambda side, other: F.pmod(F.xxhash64(other), F.coalesce(f"{side}_more", F.lit(0)) + 1).cast("int")
+    dealt = pairs.join(F.broadcast(heavy_a), "a", "left").withColumn("part", part("a", "b")).drop("a_more")
+    few = dealt.join(F.broadcast(heavy_b.select("b")), "b", "left_anti").join(own.join(pairs.select("b").distinct(), "b", "left_semi"), "b")
+    many = dealt.join(F.broadcast(heavy_b), "b").withColumn("b_part", part("b", "a")).drop("b_more")
+    many = many.join(own.join(F.broadcast(heavy_b), "b").withColumn("b_part", parts("b")).drop("b_more"), ["b", "b_part"]).drop("b_part")
+    both = few.unionByName(many).join(hub, ["a", "part"]).withColumn("common", F.size(F.array_intersect("b_set", "a_set")).cast("long"))
     linked = den * F.col("common") >= num * (F.col("n") + F.col("a_n") - F.col("common"))
     needed = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
     prefix = F.greatest(F.lit(1), F.col("n") - F.col("common") - F.greatest(F.lit(1), needed - F.col("common")) + 1).cast("int")
