@@ -27,29 +27,35 @@ BINS, PASSES = 1 << 12, 3
 SMALL = 100_000
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+def source_targets(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """source, source_size, target from (source, source_size): one row per source.
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes.
     No target passes ``most`` times its source's size; what is over is shared again by weight.
-    The fixed point has one price: target = min(most * size, price * weight). In order of
-    most * size / weight, the first source that isn't above its cap at the price that is left when
-    all before it are capped gives it.
+    The fixed point has one price: target = min(most * size, price * weight). From the price
+    without caps, each round leaves the sources out that are above their cap at the price before
+    it, until no more are. Sources are dealt by ranges of their order and places counted from
+    the numbers of the ranges before, so that no task holds all of them.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(order) - 1) % len(weights)
+    last = F.col("source").isNull()
+    dealt = work.stash(sizes.select("source", "source_size").repartitionByRange(last, "source").withColumn("task", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task
+    before = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("task", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("task").orderBy(last, "source"))
+    turn = (F.col("before") + own - 1) % len(weights)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int"))
-    caps = sizes.select("source", "source_size", w.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    everything = Window.partitionBy()
-    # order by cap / weight; before: those with a smaller ratio
-    ranked = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = ranked.rowsBetween(Window.unboundedPreceding, -1)
-    capped, used = F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    price = (F.sum("source_size").over(everything) - capped) / (F.sum("weight").over(everything) - used)
-    priced = caps.withColumn("price", price).withColumn("fits", F.col("cap") >= F.col("price") * F.col("weight"))
-    least = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("price")))).over(everything)
-    target = F.least(F.col("cap"), F.coalesce(least["price"] * F.col("weight"), F.col("cap")))
-    return priced.select("source", "source_size", target.alias("target"))
+    caps = dealt.join(F.broadcast(counts), "task").select("source", "source_size", w.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    caps = work.stash(caps, "caps")
+    total, shares = caps.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    price, capped = total / shares if shares else 0.0, (0.0, 0.0)
+    while True:
+        over = caps.filter(F.col("cap") < F.lit(price) * F.col("weight")).agg(F.coalesce(F.sum("cap"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if tuple(over) == capped:
+            break
+        capped = tuple(over)
+        price = (total - capped[0]) / (shares - capped[1]) if capped[1] < shares else float("inf")
+    return caps.select("source", "source_size", F.least("cap", F.lit(price) * F.col("weight")).alias("target"))
 
 
 def uniform(identifier: Column, text: Column, seed: int) -> Column:
@@ -102,7 +108,7 @@ def _plan(rows: DataFrame, work: Workspace, weights: tuple[int, ...], most: int)
     by_size = work.stash(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "sizes")
     per_source = by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("rows"))
     per_source = work.stash(per_source, "sources")
-    targets = source_targets(per_source.select("source", "source_size"), weights, most).withColumn("key", _key(F.col("source"))).drop("source")
+    targets = source_targets(per_source, work, weights, most).withColumn("key", _key(F.col("source"))).drop("source")
     targets = work.stash(targets.join(per_source.select(_key(F.col("source")).alias("key"), "rows"), "key"), "targets")
 
     # the price: from the longest document down, the first that stays below ``most`` if all longer ones get ``most``
