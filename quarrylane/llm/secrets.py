@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +67,12 @@ class Ledger:
         self.spark, self.folder = spark, folder
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        # mode append on an empty frame makes the folder, so that a first read finds a table
-        self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing was scanned yet
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", SCANNED)
