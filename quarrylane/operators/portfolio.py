@@ -19,7 +19,7 @@ def viable(candidates: DataFrame, reviews: DataFrame, key: str = "id") -> DataFr
     return candidates.join(refuted, key, "left_anti")
 
 
-def calibration(scores: DataFrame, before: str = "before", after: str = "after", width: float = 10.0) -> DataFrame:
+def calibration(scores: DataFrame, before: str = "before", after: str = "after", width: float | None = None) -> DataFrame:
     """Both medians and their ratio; ``width`` is that of the bins in which ranks are found."""
     sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).cast("double").alias("score")) for name, c in (("before", before), ("after", after))])
     medians = quantiles(scores.select(F.explode(sides).alias("s")).select("s.*"), "side", "score", {"median": 0.5}, width)
@@ -47,12 +47,19 @@ def with_common_factor(rows: DataFrame, factor: float, group: str = "correlation
     return rows.groupBy(group).agg(mixed.alias("p")).agg((factor * (1 - F.product(1 - F.col("p")))).alias("p_any"))
 
 
-def quantiles(rows: DataFrame, by: str, value: str, points: dict[str, float], width: float) -> DataFrame:
+#: Bins over the range of values where no width is given.
+BINS = 1000
+
+
+def quantiles(rows: DataFrame, by: str, value: str, points: dict[str, float], width: float | None = None) -> DataFrame:
     """Interpolated quantiles by name for each group, without holding a group's values in one place.
 
-    Equal values are counted first; ranks are found in bins of ``width``, and only the bins that
-    hold a wanted rank are ordered. Nulls don't count.
+    Equal values are counted first; ranks are found in bins of ``width`` (none: a thousandth of the
+    values' range), and only the bins that hold a wanted rank are ordered. Nulls don't count.
     """
+    if width is None:
+        low, high = rows.agg(F.min(value), F.max(value)).first()
+        width = float(high - low) / BINS if low is not None and high > low else 1.0
     counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("v") / width))
     bins = counts.groupBy(by, "bin").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))

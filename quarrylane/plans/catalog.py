@@ -11,6 +11,7 @@ from quarrylane.functions import cells
 from quarrylane.functions import measures as m
 from quarrylane.operators import admission, graphs, history, nearest, portfolio, spans, terms
 from quarrylane.session import scratch
+from quarrylane.sources import candidates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -390,7 +391,7 @@ def part_ceilings(spark, d):
 round(median(l_extendedprice * (1 - l_discount)) / median(l_extendedprice), 6) AS ratio, count(*) AS n FROM lineitem""")
 def price_calibration(spark, d):
     rows = t(spark, d, "lineitem").select(F.col("l_extendedprice").alias("before"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("after"))
-    ratio = portfolio.calibration(rows, width=1000.0).select(*[F.round(c, 6).alias(c) for c in ("median_before", "median_after", "ratio")])
+    ratio = portfolio.calibration(rows).select(*[F.round(c, 6).alias(c) for c in ("median_before", "median_after", "ratio")])
     return ratio.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
 
 
@@ -583,3 +584,39 @@ def indexed_keywords(spark, d):
     path = scratch(spark, "index")
     terms.write_index(t(spark, d, "pages"), "page_id", "html", path)
     return terms.look_up(spark, path, list(_TERMS)).groupBy("term").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_hits"))
+
+
+@query("""SELECT o_orderkey, round(o_totalprice)::DOUBLE AS amount, CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'EUR' ELSE 'MDL' END AS ccy, round(o_totalprice)::DOUBLE AS before,
+CASE WHEN o_orderstatus <> 'F' THEN (o_custkey % 90)::DOUBLE END AS after, (o_custkey % 50)::DOUBLE AS lo, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 50 + 9)::DOUBLE ELSE (o_custkey % 50)::DOUBLE END AS hi,
+o_orderstatus = 'P' AS approx, round(o_custkey % 20 + (o_orderkey % 24) / 24.0, 6) AS days, (o_orderkey % 101)::DOUBLE AS share FROM orders""")
+def parsed_cells(spark, d):
+    """Money, pairs, ranges, durations and numbers, written as the cells of free text and read from them."""
+    text, o = lambda c: c.cast("string"), t(spark, d, "orders")
+    status, spaced = F.col("o_orderstatus"), F.regexp_replace(F.format_number(F.round("o_totalprice"), 0), ",", " ")
+    cell = o.select(
+        "o_orderkey",
+        F.when(status == "F", F.concat(F.lit("≈$"), spaced)).when(status == "O", F.concat(spaced, F.lit(" € a year"))).otherwise(F.concat(spaced, F.lit(" MDL"))).alias("money"),
+        F.concat(spaced, F.lit(" → "), F.when(status == "F", "—").otherwise(text(F.col("o_custkey") % 90))).alias("pair"),
+        F.concat(F.when(status == "P", "~").otherwise(""), text(F.col("o_custkey") % 50), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("–"), text(F.col("o_custkey") % 50 + 9))).otherwise("")).alias("range"),
+        F.concat(text(F.col("o_custkey") % 20), F.lit(" d "), text(F.col("o_orderkey") % 24), F.lit(" h")).alias("span"),
+        F.concat(F.lit("about "), text(F.col("o_orderkey") % 101), F.lit("% of all")).alias("share"),
+    )
+    money, pair, between = cells.money(F.col("money")), cells.before_after(F.col("pair")), cells.interval(F.col("range"))
+    return cell.select(
+        "o_orderkey", money["amount"].cast("double").alias("amount"), money["ccy"].alias("ccy"), pair["before"].alias("before"), pair["after"].alias("after"),
+        between["lo"].alias("lo"), between["hi"].alias("hi"), between["approx"].alias("approx"), F.round(cells.days(F.col("span")), 6).alias("days"), cells.number(F.col("share")).alias("share"),
+    )
+
+
+@query("""SELECT 'AB-' || c_custkey AS id, c_nationkey / 100.0 AS p, round(c_acctbal) AS ceiling, (c_custkey % 5)::DOUBLE AS hours,
+CASE WHEN c_custkey % 5 > 0 THEN round(c_nationkey / 100.0 * round(c_acctbal) / (c_custkey % 5), 6) END AS score, c_name || ', "' || c_mktsegment || '"' AS payout FROM customer""")
+def candidate_files(spark, d):
+    """Candidates written as CSV files under other names, read under the unified ones, and scored."""
+    path = scratch(spark, "candidates")
+    rows = t(spark, d, "customer").select(
+        F.concat(F.lit("AB-"), F.col("c_custkey").cast("string")).alias("id"), F.round("c_acctbal").alias("month6_ceiling_usd"), (F.col("c_custkey") % 5).alias("owner_hours_week"),
+        F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("crypto_payout"), (F.col("c_nationkey") / 100).alias("p_first_usd_30d"),
+    )
+    candidates.write_candidates(rows, path)
+    read = candidates.read_candidates(spark, path).select("id", "p", F.col("ceiling_usd").cast("double").alias("ceiling"), F.col("hours_week").alias("hours"), F.col("crypto_payout").alias("payout"))
+    return read.withColumn("score", F.round(m.score(F.col("p"), F.col("ceiling"), F.col("hours")), 6))
