@@ -446,12 +446,39 @@ def brute_mix(rows):
     return out
 
 
+def verdict(text, lang, model, encoding):
+    """Whether the quality rules keep a text, from the libraries' tokens and the bands' limits alone."""
+    w = words(text)
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if windows[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+    if len(w) < 50 or 100 * len(covered) > 50 * len(w):
+        return False
+    entropy = lambda ids: -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+    first, second = model.encode(text), encoding.encode_ordinary(text)
+    fallback = [i for i in first if model.is_byte(i) and model.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>")]
+    latin = sum(len(x) for x in re.findall("[A-Za-zÀ-ɏ]+", text))
+    cyrillic = sum(len(x) for x in re.findall("[Ѐ-ӿ]+", text))
+    letters = sum(map(str.isalpha, text))
+    band = "other" if max(latin, cyrillic) * 2 < min(len(text), letters) else "latin" if latin >= cyrillic else "cyrillic"
+    if band == "latin":
+        bare = [re.sub(r"[#$%&*!?.,;:|<>\\\"()]", "", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in w]
+        bare = [x for x in bare if x]
+        counts = sorted((sum(x in telling.split() for x in bare), k) for k, telling in quality.TELLING.items())
+        (second_most, _), (most, name) = counts[-2:]
+        band = name if most >= max(3, 2 * second_most, len(bare) / 50) else lang if lang in quality.TELLING else band
+    b = quality.BANDS[band]
+    limit = lambda x, n: x.level + x.slope / math.sqrt(n) - x.scatter / math.sqrt(min(n, 1000))
+    held = [(b.chars_per_token[0], len(text) / len(first), first), (b.chars_per_token[1], len(text) / len(second), second), (b.entropy[0], entropy(first), first), (b.entropy[1], entropy(second), second)]
+    high = max(len(text) / len(first), len(text) / len(second)) <= b.most_chars_per_token
+    return high and len(fallback) / len(first) <= b.most_fallback_share and all(value >= limit(least, len(ids)) for least, value, ids in held)
+
+
 def test_pipeline(spark):
     """Ids, copies and token ids of run() equal those of a brute-force version of all stages."""
     d = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, d).collect()
-    library, pieces, encoding = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), quality.Pieces(public_tokenizers.path("piece_bpe_32k.model")), quality.ranks(public_tokenizers.path(quality.MULTI))
-    kept = [r for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect() if quality.judge(r.text or "", r.lang, pieces.encode([r.text or ""])[0], pieces.foreign, encoding)[6]]
+    library, model, encoding = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), quality.ranks(public_tokenizers.path(quality.MULTI))
+    kept = [r for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect() if verdict(r.text or "", r.lang, model, encoding)]
     best = {}
     for r in kept:
         k = re.sub(r"[\x20\x09-\x0D]", "", r.text)
