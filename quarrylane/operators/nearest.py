@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.session import cut
 
-#: Rows that stand together in a block of a cell, however many the cell has.
+#: Rows that stand together in a block of a cell, on average, however many the cell has.
 BLOCK = 512
 
 
@@ -74,9 +74,10 @@ def nearest(queries: DataFrame, among: DataFrame, key: str = "id", vector: str =
     place = _placed(np.array([r.v for r in chosen], np.float64))
     members = cut(there.mapInArrow(place, kind).select("id", "v", "cell", F.get("away", "cell").alias("reach")), "cells")
     asking = cut(clean(queries).mapInArrow(place, kind), "queries")
-    radius = {r.cell: r.reach for r in members.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}  # a row for each pivot at most
-    parts = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-members.count() // BLOCK)))).cast("int")
-    blocks = members.groupBy("cell", parts.alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    found = members.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).collect()  # a row for each pivot at most
+    radius = {r.cell: r.reach for r in found}
+    parts = F.create_map(*[F.lit(x) for r in found for x in (r.cell, -(-r.n // BLOCK))])
+    blocks = members.groupBy("cell", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell"))).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
     blocks = cut(blocks.select("cell", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("block")), "blocks")
     cells = F.array(*[F.struct(F.lit(c).cast("long").alias("cell"), F.greatest(F.lit(0.0), F.get("away", F.lit(c)) - F.lit(r)).alias("least")) for c, r in sorted(radius.items())])
     reachable = asking.select(F.col("id").alias("query"), "v", F.lit(True).alias("own"), F.explode(cells).alias("c")).select("query", "v", "own", "c.*")

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of an index, and groups of pages into which each term's list is cut.
-FOLDERS, CHUNKS = 64, 256
+#: Folders of an index, and pages in a part of a term's list, on average.
+FOLDERS, CHUNK_PAGES = 64, 4096
 TERM = r"[a-z0-9_]+"
 
 
-def postings(pages: DataFrame, key: str, text: str, chunks: int = CHUNKS) -> DataFrame:
+def postings(pages: DataFrame, key: str, text: str, chunks: int | None = None) -> DataFrame:
     """term, folder, chunk, pages (array of key and count, by key), n_pages, n_hits.
 
-    Terms are runs of ASCII letters, digits and underscores, in lower case. A list is cut by a hash of the page, so
-    the list of a term that all pages hold is ``chunks`` rows. Null texts and keys hold nothing.
+    Terms are runs of ASCII letters, digits and underscores, in lower case. A list is cut by a hash of the page into
+    ``chunks`` parts (none: one for each CHUNK_PAGES pages), so that no row grows with the number of
+    pages. Null texts and keys hold nothing.
     """
+    chunks = chunks or -(-pages.count() // CHUNK_PAGES) or 1
     words = F.regexp_extract_all(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({TERM})"), F.lit(1))
     rows = pages.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(words).alias("term"))
     counts = rows.groupBy("term", "key").agg(F.count("*").alias("n"))
@@ -28,7 +30,7 @@ def _folder():
     return F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
 
 
-def write_index(pages: DataFrame, key: str, text: str, path: str, chunks: int = CHUNKS) -> None:
+def write_index(pages: DataFrame, key: str, text: str, path: str, chunks: int | None = None) -> None:
     """Folders by a hash of the term; within files terms are in order, so that row groups are skipped."""
     lists = postings(pages, key, text, chunks)
     lists.repartition("folder", "chunk").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(path)
