@@ -541,13 +541,13 @@ def pages_as_of(spark, d):
     return history.as_of(_page_versions(spark, d), "2026-01-06").select("host", "digest")
 
 
-@query("""WITH r AS (SELECT l_returnflag AS ccy, min(l_shipdate)::DATE AS since, round(1 + avg(l_discount), 6) AS rate FROM lineitem WHERE l_shipdate >= DATE '1995-06-01' GROUP BY l_returnflag, date_trunc('quarter', l_shipdate)),
+@query("""WITH r AS (SELECT l_returnflag AS ccy, min(l_shipdate)::DATE AS since, 1 + (count(*) % 97) / 100.0::DOUBLE AS rate FROM lineitem WHERE l_shipdate >= DATE '1995-06-01' GROUP BY l_returnflag, date_trunc('quarter', l_shipdate)),
 o AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS day, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS ccy FROM orders)
 SELECT o_orderkey, round(o_totalprice * rate, 4) AS converted FROM o ASOF LEFT JOIN r ON o.ccy = r.ccy AND o.day >= r.since""")
 def dated_conversion(spark, d):
     """Amounts at the rate of their day, from a history of rates; before the first there is none."""
     lines = t(spark, d, "lineitem").filter("l_shipdate >= date'1995-06-01'")
-    rates = lines.groupBy(F.col("l_returnflag").alias("ccy"), F.trunc("l_shipdate", "quarter").alias("q")).agg(F.min("l_shipdate").cast("date").alias("since"), F.round(1 + F.avg("l_discount"), 6).alias("rate"))
+    rates = lines.groupBy(F.col("l_returnflag").alias("ccy"), F.trunc("l_shipdate", "quarter").alias("q")).agg(F.min("l_shipdate").cast("date").alias("since"), (1 + (F.count("*") % 97) / 100).alias("rate"))
     ccy = F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "O", "N").otherwise("A")
     found = history.at_rate(t(spark, d, "orders").withColumn("ccy", ccy), rates.drop("q"), "ccy", "o_orderdate", "rate")
     return found.select("o_orderkey", F.round(F.col("o_totalprice") * F.col("rate"), 4).alias("converted"))
