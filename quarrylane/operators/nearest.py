@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.session import cut
 
-#: Rows that stand together in a block of a cell, on average, however many the cell has.
+#: Rows, and queries, that stand together in a block of a cell, on average, however many the cell has.
 BLOCK = 512
 
 
@@ -43,19 +43,24 @@ def _placed(pivots: np.ndarray):
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest of a block for each query beside it: (query, id, distance), ties to the smaller id."""
+    """(query, id, distance): the nearest of a block for each query of the block beside it, ties to the smaller id."""
     for batch in batches:
-        rows = []
-        for query, v, own, ids, flat in zip(*(batch.column(c) for c in ("query", "v", "own", "ids", "block")), strict=True):
-            members, mine = np.array(ids.as_py(), np.int64), np.array(v.as_py(), np.float64)
-            block = flat.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(members), -1)
-            away = _distances(mine[None], block)[0]
-            at = np.lexsort((members, away))[0]
-            rows.append((query.as_py(), int(members[at]), float(away[at])))
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        found = []
+        for row in range(batch.num_rows):
+            queries, asked, ids, held = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("queries", "asked", "ids", "held"))
+            away = _distances(asked.reshape(len(queries), -1), held.reshape(len(ids), -1))  # ids are in order
+            best = away.argmin(axis=1)
+            found.append((queries, ids[best], away[np.arange(len(queries)), best]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "id", "distance"])
 
 
+def _blocks(rows: DataFrame, key: str, part: Column, ids: str, values: str) -> DataFrame:
+    """cell, the keys of a part of the cell's rows in order, and their vectors one after the other."""
+    grouped = rows.groupBy("cell", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "v"))).alias("rows"))
+    return grouped.select("cell", F.transform("rows", lambda r: r["key"]).alias(ids), F.flatten(F.transform("rows", lambda r: r["v"])).alias(values))
+
+
 def nearest(queries: DataFrame, among: DataFrame, key: str = "id", vector: str = "vector", pivots: int = 32) -> DataFrame:
     """query, id, distance: for each query row the nearest row of ``among`` by Euclidean distance, ties to the smaller id.
 
@@ -77,21 +82,21 @@ def nearest(queries: DataFrame, among: DataFrame, key: str = "id", vector: str =
     found = members.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).collect()  # a row for each pivot at most
     radius = {r.cell: r.reach for r in found}
     parts = F.create_map(*[F.lit(x) for r in found for x in (r.cell, -(-r.n // BLOCK))])
-    blocks = members.groupBy("cell", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell"))).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    blocks = cut(blocks.select("cell", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("block")), "blocks")
+    blocks = cut(_blocks(members, "id", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell"))), "ids", "held"), "blocks")
     cells = F.array(*[F.struct(F.lit(c).cast("long").alias("cell"), F.greatest(F.lit(0.0), F.get("away", F.lit(c)) - F.lit(r)).alias("least")) for c, r in sorted(radius.items())])
-    reachable = asking.select(F.col("id").alias("query"), "v", F.lit(True).alias("own"), F.explode(cells).alias("c")).select("query", "v", "own", "c.*")
+    reachable = asking.select(F.col("id").alias("query"), "v", F.explode(cells).alias("c")).select("query", "v", "c.*")
+    together = -(-asking.count() // BLOCK) or 1
 
     def search(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(blocks, "cell").select("query", "v", "own", "ids", "block")
-        found = met.mapInArrow(_best, "query long, id long, distance double")
+        met = _blocks(pairs, "query", F.pmod(F.xxhash64("query"), F.lit(together)), "queries", "asked").join(blocks, "cell")
+        found = met.select("queries", "asked", "ids", "held").mapInArrow(_best, "query long, id long, distance double")
         return found.groupBy("query").agg(F.min(F.struct("distance", "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
 
-    first = reachable.groupBy("query").agg(F.min(F.struct("least", "cell", "v", "own")).alias("f")).select("query", "f.cell", "f.v", "f.own")
+    first = reachable.groupBy("query").agg(F.min(F.struct("least", "cell", "v")).alias("f")).select("query", "f.cell", "f.v")
     bound = cut(search(first), "bounds")
     seen = first.select("query", F.col("cell").alias("seen"))
     # a hair over the bound, so that rounding of distances leaves no tie out
     rest = reachable.join(bound.select("query", "distance"), "query").join(seen, "query").filter((F.col("cell") != F.col("seen")) & (F.col("least") <= F.col("distance") * (1 + 1e-9)))
-    better = search(rest.select("query", "v", "own", "cell"))
+    better = search(rest.select("query", "v", "cell"))
     both = bound.unionByName(better).groupBy("query").agg(F.min(F.struct("distance", "id")).alias("b"))
     return both.select("query", F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
