@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import portions, stash, text_of
+from quarrylane.llm.common import attach, portions, stash, text_of
 
 LETTERS = "ABCDE"
 STEPS = len(LETTERS)
@@ -80,9 +80,9 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """
     measured = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), _measured()(text_of(text_col)).alias("m"))
     rows = stash(measured.select("doc_id", "part", "m.*"), "audit")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
+    first = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"), "repeated")
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
-    return rows.join(first, "digest", "left").select("doc_id", "part", (F.col("mask") + late * 16).cast("int").alias("mask"))
+    return attach(rows, first, "digest", "n", max(1, rows.count()), "left").select("doc_id", "part", (F.col("mask") + late * 16).cast("int").alias("mask"))
 
 
 def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def squeezed(text: Column) -> Column:
     return text
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of rows with the record of their group, whatever the group's size.
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of rows with the record of their group, whatever the group's size.
 
     ``groups`` has one row per key with the number of its rows in ``size``; ``total`` is at least
     the sum of these. A group with ``total / HOT_SHARE`` rows or more is hot: there are at most
@@ -84,7 +84,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
     hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
     near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return near.unionByName(far)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylane.llm import audit, queries
+from quarrylane.llm.common import attach
 
 DIR = "/root/testdata/sf0.001"
 
@@ -99,3 +100,11 @@ def test_query_equals_sql(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = {tuple(r[:3]): list(r[3:]) for r in con.execute(queries.ORACLES["op13_filter_audit"]).fetchall()}
     assert found(queries.QUERIES["op13_filter_audit"](spark, DIR)) == want
+
+
+def test_attach_keeps_rows_without_a_group(spark):
+    """The left form, with a hot group, cold ones and rows of none."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") < 2500, "hot").when(F.col("id") < 2600, F.concat(F.lit("k"), F.col("id"))).otherwise(F.concat(F.lit("none"), F.col("id"))).alias("key"))
+    groups = rows.filter("id < 2600").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = attach(rows, groups, "key", "n", 4000, "left")
+    assert got.count() == 4000 and got.filter("least is null").count() == 1400 and got.filter("key = 'hot' and least = 0").count() == 2500
