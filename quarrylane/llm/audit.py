@@ -8,18 +8,17 @@ and step; these are summed. So what shuffles depends on the number of parts and
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import itertools
-import re
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import attach, portions, stash, text_of
+from quarrylane.llm.common import WORD, attach, stash, text_of
 
 LETTERS = "ABCDE"
 STEPS = len(LETTERS)
@@ -32,43 +31,16 @@ FAILS = (np.arange(1 << STEPS)[:, None] >> np.arange(STEPS) & 1).astype(bool)
 FIRST = np.where(FAILS[:, None, :], PLACE, STEPS).min(axis=2)
 
 FIGURES = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
-#: Parts that a task holds before it gives what it has, and bytes from which words aren't listed at once.
-MANY_PARTS, LONG = 500, 1 << 20
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-CAPITALS, SIGNS = bytes(range(65, 91)), b"#$%&*|"
-
-
-def own_failures(text: bytes, points: int) -> int:
-    """The filters A to D that a UTF-8 text of so many code points fails, as bits 0 to 3."""
-    if len(text) < LONG:
-        words = text.split()
-        n, distinct = len(words), len(set(words))
-    else:
-        n, seen = 0, set()
-        for m in WORD.finditer(text):
-            n += 1
-            seen.add(m[0])
-        distinct = len(seen)
-    capitals = len(text) - len(text.translate(None, CAPITALS))
-    signs = len(text.translate(None, SIGNS)) < len(text)
-    return (n < 200) | (100 * distinct < 50 * n) << 1 | (100 * capitals > 3 * points) << 2 | signs << 3
-
-
-def _measured():
-    @F.arrow_udf("struct<mask:int,digest:binary>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            masks, digests = [], []
-            for part in portions([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
-                column = part.column(0)
-                points = pc.utf8_length(column).to_pylist()
-                for text, n in zip(column.cast(pa.large_binary()), points, strict=True):
-                    raw = text.as_py()
-                    masks.append(own_failures(raw, n))
-                    digests.append(hashlib.sha256(raw).digest()[:16])
-            yield pa.StructArray.from_arrays([pa.array(masks, pa.int32()), pa.array(digests, pa.binary())], names=["mask", "digest"])
-
-    return run
+#: Parts that a task holds before it gives what it has.
+MANY_PARTS = 500
+
+
+def own_failures(text: Column) -> Column:
+    """The filters A to D that a text fails, as bits 0 to 3."""
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    n, distinct = F.size(words), F.size(F.array_distinct(words))
+    fails = [n < 200, 100 * distinct < 50 * n, 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.length(text), text.rlike("[#$%&*|]")]
+    return functools.reduce(operator.add, [f.cast("int") * (1 << i) for i, f in enumerate(fails)])
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -76,10 +48,12 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     A null text is empty, a null part the empty string. E compares with smaller ids only: of rows
     of one text and one id none fails by another, and a row without an id neither fails E nor makes
-    others fail it. Each text is read once; what is joined is its digest of 128 bits.
+    others fail it. Each text is read once, by SQL functions; what is joined is its digest of 128 bits.
     """
-    measured = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), _measured()(text_of(text_col)).alias("m"))
-    rows = stash(measured.select("doc_id", "part", "m.*"), "audit")
+    text = text_of(text_col)
+    digest = F.substring(F.sha2(text.cast("binary"), 256), 1, 32)
+    measured = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), own_failures(text).alias("mask"), digest.alias("digest"))
+    rows = stash(measured, "audit")
     first = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"), "repeated")
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
     return attach(rows, first, "digest", "n", max(1, rows.count()), "left").select("doc_id", "part", (F.col("mask") + late * 16).cast("int").alias("mask"))
