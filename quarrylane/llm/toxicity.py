@@ -3,7 +3,8 @@
 The lexicon is learned from labelled rows: words, and stems that words begin with, which toxic
 texts have more often than others. The automaton's states are sets of (trie node, errors); they are
 made when first reached and remembered, so most words cost one look-up for each character until no
-term is left in reach. A window around each match tells quotation from abuse.
+term is left in reach. Words near a term that clean labelled texts hold are words of their own, not
+misspellings. A window around each match tells quotation from abuse.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from quarrylane.llm.common import stash, text_of
 #: The classifier and its lexicon are fitted on so many labelled rows at most, the first ones in
 #: order of a hash of the id. All terms of these rows that pass the limits below are in the lexicon.
 MOST_LABELLED = 20_000
-#: Least log-likelihood ratio of a term, and lengths of stems.
-LEAST_G2, STEMS = 18.0, (4, 5, 6, 7)
-#: Errors allowed in a term, from a length on.
+#: Least log-likelihood ratio and log odds of a term, and lengths of stems.
+LEAST_G2, LEAST_ODDS, STEMS = 18.0, 1.5, (4, 5, 6, 7)
+#: Errors allowed in a term and in a stem, from a length on.
 ERRORS = ((9, 2), (5, 1), (0, 0))
+STEM_ERRORS = ((7, 1), (0, 0))
 WINDOW = 80
 WORD = re.compile(r"[^\W_](?:[\w@$*!]*[\w])?")
 QUOTES = re.compile("[\"“”„«»]")
@@ -42,13 +44,23 @@ class Term:
     weight: float
 
 
+#: Weight and errors where no term is near.
+NONE = (0.0, 0)
+
+
+def closest(match: tuple[float, int]) -> tuple[bool, int, float]:
+    """Order of matches: any before none, fewest errors, largest weight."""
+    return match[0] > 0, -match[1], match[0]
+
+
 class Lexicon:
-    """Terms in a trie, with an automaton for words within a few errors of one."""
+    """Terms in a trie, with an automaton for words within a few errors of one; ``real`` words need to be terms."""
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: list[Term], real: frozenset[str] = frozenset()):
+        self.real = real
         self.children: list[dict[str, int]] = [{}]
         self.whole: dict[int, tuple[float, int]] = {}
-        self.stem: dict[int, float] = {}
+        self.stem: dict[int, tuple[float, int]] = {}
         for t in terms:
             node = 0
             for c in t.text:
@@ -56,16 +68,15 @@ class Lexicon:
                     self.children.append({})
                     self.children[node][c] = len(self.children) - 1
                 node = self.children[node][c]
-            if t.stem:
-                self.stem[node] = max(t.weight, self.stem.get(node, 0.0))
-            else:
-                self.whole[node] = (t.weight, next(k for n, k in ERRORS if len(t.text) >= n))
-        self.most = max((k for _, k in self.whole.values()), default=0)
+            kind, limits = (self.stem, STEM_ERRORS) if t.stem else (self.whole, ERRORS)
+            weight = max(t.weight, kind.get(node, (0.0, 0))[0])
+            kind[node] = (weight, next(k for n, k in limits if len(t.text) >= n))
+        self.most = max((k for kind in (self.whole, self.stem) for _, k in kind.values()), default=0)
         self.states: list[dict[int, int]] = []
         self.ids: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[float, int]] = []
-        self.stems: list[float] = []
+        self.stems: list[tuple[float, int]] = []
         self.words: dict[str, tuple[float, int]] = {}
         self.dead = self._state({})
         self.start = self._state({0: 0})
@@ -85,9 +96,9 @@ class Lexicon:
             self.ids[key] = len(self.states)
             self.states.append(nodes)
             self.steps.append({})
-            ends = [(w, e) for n, e in nodes.items() if n in self.whole for w, k in [self.whole[n]] if e <= k]
-            self.ends.append(max(ends, key=lambda x: (-x[1], x[0]), default=(0.0, 0)))
-            self.stems.append(max((self.stem[n] for n, e in nodes.items() if not e and n in self.stem), default=0.0))
+            for kind, found in ((self.whole, self.ends), (self.stem, self.stems)):
+                met = [(kind[n][0], e) for n, e in nodes.items() if n in kind and e <= kind[n][1]]
+                found.append(max(met, key=closest, default=NONE))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -105,18 +116,19 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[float, int]:
-        """Weight and errors of the closest term (of a stem: without errors); weight 0: no match."""
+        """Weight and errors of the closest term, or stem that the word begins with; weight 0: no match."""
         if (known := self.words.get(word)) is not None:
             return known
-        state, stem = self.start, 0.0
+        state, stem = self.start, NONE
         for c in word:
             to = self.steps[state].get(c)
             state = self._step(state, c) if to is None else to
             if state == self.dead:
                 break
-            stem = max(stem, self.stems[state])
-        weight, errors = self.ends[state]
-        found = (stem, 0) if stem > weight or (errors and stem) else (weight, errors)
+            stem = max(stem, self.stems[state], key=closest)
+        found = max(stem, self.ends[state], key=closest)
+        if found[1] and word in self.real:
+            found = NONE
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         self.words[word] = found
@@ -157,10 +169,32 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     return texts.groupBy("_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
+def classes(rows: DataFrame) -> tuple[int, int]:
+    """Numbers of toxic and of clean rows."""
+    n = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    return n[0], n[1]
+
+
+def log_odds(pos: int, neg: int) -> Column:
+    """Smoothed log odds of what ``a`` of the toxic and ``b`` of the clean rows hold."""
+    return F.log(((F.col("a") + 0.5) / (pos + 1)) / ((F.col("b") + 0.5) / (neg + 1)))
+
+
+def learn_real_words(rows: DataFrame, terms: tuple[Term, ...]) -> frozenset[str]:
+    """Words near a term that clean rows hold, unless toxic rows hold them as much more often as a term.
+
+    They come from at most MOST_LABELLED rows.
+    """
+    pos, neg = classes(rows)
+    words = rows.select(F.explode(_near(terms)("text")).alias("word"), "toxic")
+    seen = words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    return frozenset(r.word for r in seen.filter((F.col("b") > 0) & (log_odds(pos, neg) <= LEAST_ODDS)).select("word").collect())
+
+
 def learn_lexicon(rows: DataFrame) -> list[Term]:
     """Terms that toxic texts have more often, by Dunning's log-likelihood ratio."""
-    n = rows.agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg")).first()
-    if not n.pos or not n.neg:
+    pos, neg = classes(rows)
+    if not pos or not neg:
         return []
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
@@ -170,11 +204,10 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     stems = F.flatten(F.array(*[begins(k) for k in STEMS]))
     terms = rows.select(words.alias("words"), "toxic").select(F.explode(F.concat("words", F.array_distinct(stems))).alias("term"), "toxic")
     seen = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    share = (F.col("a") + F.col("b")) / (n.pos + n.neg)
+    share = (F.col("a") + F.col("b")) / (pos + neg)
     part = lambda x, total: F.when(x > 0, x * F.log(x / (total * share))).otherwise(0.0)
-    g2 = 2 * (part(F.col("a"), n.pos) + part(F.col("b"), n.neg) + part(n.pos - F.col("a"), n.pos * (1 - share) / share) + part(n.neg - F.col("b"), n.neg * (1 - share) / share))
-    odds = F.log(((F.col("a") + 0.5) / (n.pos + 1)) / ((F.col("b") + 0.5) / (n.neg + 1)))
-    best = seen.filter("a >= 3").withColumn("g2", g2).withColumn("weight", odds).filter((F.col("g2") >= LEAST_G2) & (F.col("weight") > 1.5))
+    g2 = 2 * (part(F.col("a"), pos) + part(F.col("b"), neg) + part(pos - F.col("a"), pos * (1 - share) / share) + part(neg - F.col("b"), neg * (1 - share) / share))
+    best = seen.filter("a >= 3").withColumn("g2", g2).withColumn("weight", log_odds(pos, neg)).filter((F.col("g2") >= LEAST_G2) & (F.col("weight") > LEAST_ODDS))
     best = best.orderBy(F.desc("g2"), "term").collect()
     return [Term(r.term.rstrip("*"), r.term.endswith("*"), r.weight) for r in best]
 
@@ -182,6 +215,7 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[Term, ...]
+    real: frozenset[str]
     weights: tuple[float, ...]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -210,16 +244,28 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = stash(labelled(docs, labels, id_col, text_col), "training")
     terms = tuple(learn_lexicon(rows))
+    real = learn_real_words(rows, terms)
     # at most MOST_LABELLED rows of three numbers
-    found = rows.select(_features(terms)("text").alias("x"), "toxic").collect()
+    found = rows.select(_features(terms, real)("text").alias("x"), "toxic").collect()
     x = np.array([[*r.x] for r in found]).reshape(-1, 3)
-    return Model(terms, fit(x, np.array([r.toxic for r in found], float)))
+    return Model(terms, real, fit(x, np.array([r.toxic for r in found], float)))
 
 
-def _features(terms: tuple[Term, ...]):
-    @F.arrow_udf("array<double>")
+def _near(terms: tuple[Term, ...]):
+    @F.arrow_udf("array<string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = Lexicon(list(terms))
+        for texts in batches:
+            words = [{w for m in WORD.finditer(t.as_py() or "") if lexicon.match(w := m[0].lower())[1]} for t in texts]
+            yield pa.array([sorted(w) for w in words], pa.list_(pa.string()))
+
+    return run
+
+
+def _features(terms: tuple[Term, ...], real: frozenset[str]):
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lexicon = Lexicon(list(terms), real)
         for texts in batches:
             yield pa.array([lexicon.features(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
 
@@ -229,7 +275,7 @@ def _features(terms: tuple[Term, ...]):
 def _score(model: Model):
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lexicon = Lexicon(list(model.terms))
+        lexicon = Lexicon(list(model.terms), model.real)
         for texts in batches:
             x = np.array([lexicon.features(t.as_py() or "") for t in texts]).reshape(-1, 3)
             yield pa.array(model.score(x), pa.float64())
