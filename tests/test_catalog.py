@@ -23,3 +23,9 @@ def test_query_equals_sql(spark, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
+def test_payout_dates_takes_all_orders_from_50(spark):
+    """Each order has a payout date: none of the tables' totals is under 50."""
+    got = catalog.QUERIES["payout_dates"](spark, DIR).select("o_orderkey").collect()
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in spark.read.parquet(f"{DIR}/orders.parquet").select("o_orderkey").collect())
