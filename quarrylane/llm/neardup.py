@@ -13,13 +13,16 @@ linked if
 
 * they share a shingle outside the hub, and then one among the first
   |x - hub| - max(1, needed(x) - |x & hub|) + 1 of x in hash order (a prefix filter in which the
-  hub's shingles come last). Bucket and shingle make a smaller bucket; or
+  hub's shingles come last). Bucket and shingle make a smaller bucket. How many of these buckets
+  two share bounds |(x & y) - hub| once more: what is shared beyond either prefix is the end of
+  one ordered list, so at most max(1, needed - |. & hub|) - 1 for one of both; or
 * min(|x & hub|, |y & hub|) alone suffices, which only holds for x + y <= min * (1 + T) / T; a join
   on classes of sizes and of the room that this leaves for the other's size finds those pairs.
 
 All first buckets with one hub are one bucket, so a set's shingles are carried on once for each
 hub it meets (about one), not for each band. Smaller buckets of up to FEW members are compared in
-full, larger ones get hubs of their own in the next round, until no bucket holds two components.
+full, wider ones too while PAIRS allows it, as each further round carries shingles anew; the largest
+get hubs of their own in the next round, until no bucket holds two components.
 Those that come from one bucket and choose the same hub are one bucket again; it is a part of that
 bucket and lacks the hub, so from there on buckets only shrink and rounds come to an end.
 """
@@ -43,6 +46,9 @@ from quarrylane.llm.common import HOT_SHARE, Workspace, attach, portions, stash,
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared without another hub.
 FEW = 50
+#: Buckets beyond FEW are compared in full too, up to FEW << WIDER members, while their ordered pairs
+#: are at most this many for each document.
+PAIRS, WIDER = 100, 6
 #: Partners of a set that one task compares with it.
 PARTNERS = 250
 #: Elements of a batch that numpy works on at once.
@@ -309,15 +315,27 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     shared = rest.select(F.explode("outside").alias("s"), F.col("key").alias("parent"), "node", "comp", "n", "common", "linked")
     shared = _open(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"), work)
     shared = work.stash(shared, "shared")
-    # larger buckets too, while their pairs are fewer than the documents: that saves rounds
-    limits = [FEW << i for i in range(6)]
-    work_of = shared.agg(*[F.coalesce(F.sum(F.when((F.col("m") > FEW) & (F.col("m") <= k), F.col("m"))), F.lit(0)) for k in limits]).first()
-    few = max(k for k, pairs_of in zip(limits, work_of, strict=True) if k == FEW or pairs_of <= n_docs)
-    x = shared.filter(F.col("m") <= few).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common", "linked")])
-    y = x.select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("node", "comp", "n", "common", "linked")])
+    # larger buckets too, while their pairs are a bounded number for each document: that saves rounds
+    limits = [FEW << i for i in range(WIDER + 1)]
+    *work_of, widest = shared.agg(*[F.coalesce(F.sum(F.when((F.col("m") > FEW) & (F.col("m") <= k), F.col("m"))), F.lit(0)) for k in limits], F.coalesce(F.max("m"), F.lit(0))).first()
+    few = max(k for k, pairs_of in zip(limits, work_of, strict=True) if k == FEW or pairs_of <= PAIRS * n_docs)
+    # what two may share outside the hub that buckets of up to few members don't show
+    beyond = F.greatest(F.lit(1), F.ceil(F.lit(num) * F.col("n") / F.lit(den)) - F.col("common")) - 1
+    known = shared.filter(F.col("m") <= few).withColumn("beyond", beyond)
+    if widest > few:
+        wide = work.stash(shared.filter(F.col("m") > few).groupBy("parent", "node").agg(F.count("*").alias("wide")), "wide")
+        known = known.join(wide, ["parent", "node"], "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
+    else:
+        known = known.withColumn("wide", F.lit(0))
+    x = known.select("key", "parent", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common", "linked", "beyond", "wide")])
+    y = x.select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("node", "comp", "n", "common", "linked", "beyond", "wide")])
     apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & ~(F.col("x_linked") & F.col("y_linked"))
     alike = (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")) & ((F.least("x_common", "y_common") + F.least(F.col("x_n") - F.col("x_common"), F.col("y_n") - F.col("y_common"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
-    by_shingle = x.join(y, "key").filter(apart & alike).select("x_node", "y_node")
+    hidden = F.least("x_wide", "y_wide") + F.greatest("x_beyond", "y_beyond")
+    most = F.least("x_common", "y_common") + hidden
+    counted = x.join(y, "key").filter(apart & alike).select("parent", "x_node", "y_node", most.alias("most"), (F.col("x_n") + F.col("y_n")).alias("both"))
+    counted = counted.groupBy("parent", "x_node", "y_node").agg(F.max("most").alias("most"), F.max("both").alias("both"), F.count("*").alias("met"))
+    by_shingle = counted.filter((F.col("most") + F.col("met")) * (num + den) >= F.col("both") * num).select("x_node", "y_node")
 
     # with room(z) = |z & hub| * (1 + T) / T - |z|, the second condition is |y| <= room(x) and
     # |x| <= room(y); sizes in classes of 12 % and rooms in classes of 25 %, so that few but the

@@ -87,6 +87,30 @@ def test_near_dedup_equals_all_pairs(spark, few, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("sets_")]
 
 
+@pytest.mark.parametrize("wider", [0, 1])
+def test_near_dedup_with_further_hubs_equals_all_pairs(spark, wider, monkeypatch):
+    """Wide buckets that get hubs of their own, some or all of them; and pairs that meet in narrow buckets beside them."""
+    for name, value in (("FEW", 6), ("WIDER", wider), ("PAIRS", 1000 * wider), ("PARTNERS", 10)):
+        monkeypatch.setattr(neardup, name, value)
+    hubs, compare = [], neardup._compare_hubs
+    monkeypatch.setattr(neardup, "_compare_hubs", lambda *a: hubs.append(1) or compare(*a))
+    texts = near_texts(random.Random(5))
+    got = {r.doc_id: r.component_id for r in neardup.link_documents(docs(spark, texts), width=4).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4)[1] and len(hubs) > 1
+
+
+def test_near_dedup_leaves_out_pairs_by_what_they_share(spark, monkeypatch):
+    """Sixty texts share a beginning and a phrase, too little for a link: one round, and hardly a pair beside the hub's."""
+    base, phrase = [f"b{i}" for i in range(70)], [f"p{i}" for i in range(8)]
+    texts = [" ".join([*base, *phrase, *(f"u{k}.{i}" for i in range(22))]) for k in range(60)]
+    texts += [" ".join([*base, *(f"h{i}" for i in range(30))])] + [f"alone {k} of {k} is {k}" for k in range(700)]
+    pairs, verify = [], neardup._verify
+    monkeypatch.setattr(neardup, "_verify", lambda p, *a: pairs.append(p.count()) or verify(p, *a))
+    got = neardup.link_documents(docs(spark, texts), width=4).collect()
+    assert all(r.kept for r in got) and len(got) == len(texts)
+    assert len(pairs) == 2 and sum(pairs) < 3 * 60
+
+
 def test_near_dedup_null_and_repeated_ids(spark):
     """One row of each component stays, whatever the ids; rows of other texts aren't taken along."""
     rng = random.Random(9)
