@@ -9,6 +9,7 @@ CURRENCIES = (("$", "USD"), ("€", "EUR"), ("RON", "RON"), ("MDL", "MDL"))
 NOTHING = ("", "—", "-", "None", "n/a")
 #: Dotted dates, what joins several of them, and what leaves the start open, in two languages: fixed values.
 DATES = r"(\d{1,2})(?:\.(\d{1,2}))?(?:\.(\d{4}))?(?:\s*[–-]\s*(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?)?"
+NUMBERS = ("day_1", "month_1", "year_1", "day_2", "month_2", "year_2")
 JOINED = r"\s*(?:[,;]|\sи\s|\sand\s)\s*"
 UNTIL = r"(?:^|\s)(?:до|until|by)\s"
 
@@ -79,17 +80,22 @@ def date_ranges(cell: Column, slack: int = 3) -> Column:
     """
     year = F.regexp_extract(cell, r"(\d{4})(?!.*\d{4})", 1)
 
-    def interval_of(part: Column) -> Column:
-        number = lambda i: F.nullif(F.regexp_extract(part, DATES, i), F.lit(""))
-        day_1, month_1, year_1, day_2, month_2, year_2 = (number(i) for i in range(1, 7))
+    # each step keeps what the next one uses more than once: inside a lambda nothing is shared
+    def numbers(part: Column) -> Column:
+        return F.struct(part.alias("part"), part.rlike("[≈~]").alias("approx"), *[F.nullif(F.regexp_extract(part, DATES, i + 1), F.lit("")).alias(n) for i, n in enumerate(NUMBERS)])
+
+    def dated(x: Column) -> Column:
+        day_1, month_1, year_1, day_2, month_2, year_2 = (x[n] for n in NUMBERS)
         own_year = F.coalesce(year_2, year_1, year)
         date = lambda d, m, y: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
         lo = date(day_1, F.coalesce(month_1, month_2), F.coalesce(year_1, own_year))
-        hi = F.when(day_2.isNotNull(), date(day_2, month_2, own_year)).otherwise(lo)
-        month = F.try_to_date(F.nullif(F.regexp_extract(part, r"^\D*(\d{1,2}\.\d{4})\D*$", 1), F.lit("")), "M.yyyy")
-        lo, hi = F.coalesce(month, lo), F.coalesce(F.last_day(month), hi)
-        approx = part.rlike("[≈~]")
-        near = lambda d, n: F.when(approx, F.date_add(d, n)).otherwise(d)
-        return F.struct(F.when(part.rlike(UNTIL), F.lit(None).cast("date")).otherwise(near(lo, -slack)).alias("lo"), near(hi, slack).alias("hi"), approx.alias("approx"))
-
-    return F.filter(F.transform(F.split(cell, JOINED), interval_of), lambda x: x["hi"].isNotNull())
+        month = F.try_to_date(F.nullif(F.regexp_extract(x["part"], r"^\D*(\d{1,2}\.\d{4})\D*$", 1), F.lit("")), "M.yyyy")
+        return F.struct(x["approx"].alias("approx"), x["part"].rlike(UNTIL).alias("open"), day_2.isNotNull().alias("two"), lo.alias("lo"), F.when(day_2.isNotNull(), date(day_2, month_2, own_year)).alias("hi"), month.alias("month"))
+
+    def interval_of(x: Column) -> Column:
+        lo, hi = F.coalesce(x["month"], x["lo"]), F.coalesce(F.last_day(x["month"]), F.when(x["two"], x["hi"]).otherwise(x["lo"]))
+        near = lambda d, n: F.when(x["approx"], F.date_add(d, n)).otherwise(d)
+        return F.struct(F.when(x["open"], F.lit(None).cast("date")).otherwise(near(lo, -slack)).alias("lo"), near(hi, slack).alias("hi"), x["approx"].alias("approx"))
+
+    read = F.transform(F.transform(F.split(cell, JOINED), numbers), dated)
+    return F.filter(F.transform(read, interval_of), lambda x: x["hi"].isNotNull())

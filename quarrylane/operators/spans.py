@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.session import cut
+
 FAR = 1 << 30
 
 
@@ -17,15 +19,17 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str] | None = None, days: i
 
     Ends belong to an interval; a null end is open, and what ends before it starts matches nothing.
     Intervals stand in each bin of ``days`` that they touch, and a pair is given in the first bin that both
-    touch, so once. Open ends reach as far as any end of the tables. Take ``days`` near the usual
-    length: an interval stands in its length over ``days`` bins.
+    touch, so once. Open ends reach as far as any end of the tables, so both are written once, for
+    their ends and for the join. Take ``days`` near the usual length: an interval stands in its
+    length over ``days`` bins.
     """
     on = on or []
-    left = a.withColumns({"_lo": _day(lo, -FAR), "_hi": _day(hi, FAR)}).filter("_lo <= _hi")
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], _day(lo, -FAR).alias("_blo"), _day(hi, FAR).alias("_bhi")).filter("_blo <= _bhi")
-    ends = lambda df, x, y: df.select(F.explode(F.array(x, y)).alias("d")).filter(f"abs(d) < {FAR}")
-    first, last = ends(left, "_lo", "_hi").unionByName(ends(right, "_blo", "_bhi")).agg(F.min("d"), F.max("d")).first()
-    first, last = (first or 0) // days, (last or 0) // days
+    left = cut(a.withColumns({"_lo": _day(lo, -FAR), "_hi": _day(hi, FAR)}).filter("_lo <= _hi"), "spans")
+    right = cut(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], _day(lo, -FAR).alias("_blo"), _day(hi, FAR).alias("_bhi")).filter("_blo <= _bhi"), "spans")
+    shut = lambda c: F.when(F.abs(c) < FAR, F.col(c))
+    ends = lambda df, x, y: df.agg(F.least(F.min(shut(x)), F.min(shut(y))), F.greatest(F.max(shut(x)), F.max(shut(y)))).first()
+    found = [d for d in (*ends(left, "_lo", "_hi"), *ends(right, "_blo", "_bhi")) if d is not None] or [0]
+    first, last = min(found) // days, max(found) // days
     clamp = lambda c: F.greatest(F.lit(first), F.least(F.lit(last), F.floor(F.col(c) / days)))
     left = left.withColumn("_bin", F.explode(F.sequence(clamp("_lo"), clamp("_hi"))))
     right = right.withColumn("_bbin", F.explode(F.sequence(clamp("_blo"), clamp("_bhi"))))

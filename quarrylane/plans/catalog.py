@@ -560,7 +560,8 @@ def shipping_windows(spark, d):
     o, dotted = t(spark, d, "orders"), lambda c: F.date_format(c, "dd.MM.yyyy")
     cell = F.concat(dotted(F.col("o_orderdate")), F.lit("–"), dotted(F.date_add(F.col("o_orderdate").cast("date"), 14)))
     windows = o.select(F.col("o_custkey").alias("c"), "o_orderkey", F.explode(cells.date_ranges(cell)).alias("w")).select("c", "o_orderkey", "w.lo", "w.hi")
-    spans_of = t(spark, d, "lineitem").join(o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("c", "l_orderkey").agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
+    shipped = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
+    spans_of = shipped.join(o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("c", "l_orderkey").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     met = spans.overlapping(windows, spans_of, ["c"], days=60)
     return met.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("b_l_orderkey").alias("latest"))
 

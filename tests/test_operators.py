@@ -130,6 +130,20 @@ def test_overlapping(spark):
     assert spans.overlapping(frame(a), frame(b).limit(0)).count() == 0
 
 
+def test_overlapping_takes_its_inputs_once(spark):
+    """The look at the ends and the join share one pass over rows that may be dear to make."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, day(i), day(i + 9)) for i in range(40)], "i long, lo date, hi date").mapInArrow(count, "i long, lo date, hi date")
+    assert spans.overlapping(rows, rows).count() == sum(abs(i - j) <= 9 for i in range(40) for j in range(40))
+    assert seen.value == 80
+
+
 def test_index(spark, tmp_path):
     rows = [(1, "Cookie cookies, the COOKIE_x cookie"), (2, "no cookie: the The"), (3, None), (None, "the"), (4, ""), (5, "the " * 3000), (6, "éthe the")]
     pages = spark.createDataFrame(rows, "id long, html string").withColumns({"term": F.lit("x"), "key": F.lit("y"), "n": F.lit(1)})
