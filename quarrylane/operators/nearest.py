@@ -18,6 +18,8 @@ from quarrylane.session import cut
 
 #: Rows, and queries, that stand together in a block of a cell, on average, however many the cell has.
 BLOCK = 512
+#: Pairs whose differences stand in memory at once.
+REFINED = 1 << 15
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -29,6 +31,26 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((b - x) ** 2).sum(axis=1) for x in a])) if len(a) else np.zeros((0, len(b)))
 
 
+def _closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a the first of the rows of b that _distances puts nearest, and that distance.
+
+    One matrix product gives all squares but for rounding; only rows of b that are within its error
+    of the least are told apart by differences.
+    """
+    a_2, b_2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    about = a_2[:, None] + b_2 - 2 * (a @ b.T)
+    if not np.isfinite(about).all():
+        away = _distances(a, b)
+        best = away.argmin(axis=1)
+        return best, away[np.arange(len(a)), best]
+    error = 16 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(a_2) + np.sqrt(b_2.max())) ** 2
+    row, col = np.nonzero(about <= (about.min(axis=1) + error)[:, None])
+    away = np.concatenate([np.sqrt(((b[col[i : i + REFINED]] - a[row[i : i + REFINED]]) ** 2).sum(axis=1)) for i in range(0, len(row), REFINED)])
+    order = np.lexsort((col, away, row))
+    first = order[np.unique(row[order], return_index=True)[1]]
+    return col[first], away[first]
+
+
 def _placed(pivots: np.ndarray):
     """Adds the distances to all pivots, and the nearest pivot as ``cell``."""
 
@@ -48,9 +70,8 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for row in range(batch.num_rows):
             queries, asked, ids, held = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("queries", "asked", "ids", "held"))
-            away = _distances(asked.reshape(len(queries), -1), held.reshape(len(ids), -1))  # ids are in order
-            best = away.argmin(axis=1)
-            found.append((queries, ids[best], away[np.arange(len(queries)), best]))
+            best, away = _closest(asked.reshape(len(queries), -1), held.reshape(len(ids), -1))  # ids are in order
+            found.append((queries, ids[best], away))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "id", "distance"])
 

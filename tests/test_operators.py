@@ -176,6 +176,31 @@ def test_nearest(spark, pivots, monkeypatch):
     assert nearest.nearest(q, a.limit(0)).count() == 0 and nearest.nearest(q.limit(0), a).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["random", "copies", "far", "huge", "nan"])
+def test_nearest_by_products_equals_differences(kind, monkeypatch):
+    """Ids and distances are those of differences bit for bit, and few pairs of a block are told apart by them."""
+    monkeypatch.setattr(nearest, "REFINED", 50)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(60, 64)), rng.normal(size=(80, 64))
+    if kind == "copies":
+        b[40:] = b[:40]
+        a[:20] = b[:20]
+    elif kind == "far":
+        a, b = a + 1e7, b + 1e7
+    elif kind == "huge":
+        a, b = a * 1e160, b * 1e160
+    elif kind == "nan":
+        b[7, 3] = np.nan
+    with np.errstate(over="ignore", invalid="ignore"):
+        away = nearest._distances(a, b)
+        differences = []
+        monkeypatch.setattr(nearest, "_distances", lambda *x: differences.append(1) or away)
+        best, least = nearest._closest(a, b)
+    want = away.argmin(axis=1)
+    assert best.tolist() == want.tolist() and np.array_equal(least, away[np.arange(60), want], equal_nan=True)
+    assert bool(differences) == (kind in ("huge", "nan"))
+
+
 def test_viable_and_ties(spark):
     candidates = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
     reviews = spark.createDataFrame([("a", "holds"), ("a", "refuted"), ("b", "holds"), ("d", None)], "id string, verdict string")
