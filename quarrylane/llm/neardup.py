@@ -313,7 +313,7 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     rest = _open(_with_comp(seated, labels), work).select("key", "hub", "node", "comp").join(compared, ["hub", "node"])
     rest = work.stash(rest.select("key", "node", "comp", "n", "common", "linked", "outside"), "rest")
     shared = rest.select(F.explode("outside").alias("s"), F.col("key").alias("parent"), "node", "comp", "n", "common", "linked")
-    shared = _open(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"), work)
+    shared = _open(work.stash(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"), "outside"), work)  # exploded once
     shared = work.stash(shared, "shared")
     # larger buckets too, while their pairs are a bounded number for each document: that saves rounds
     limits = [FEW << i for i in range(WIDER + 1)]
