@@ -11,18 +11,19 @@ of one component need no further comparison. For two others x and y, common shin
 hub or not, so |x & y| <= min(|x & hub|, |y & hub|) + |(x & y) - hub|. Hence x and y can only be
 linked if
 
-* they share a shingle outside the hub, and then one among the first
-  |x - hub| - max(1, needed(x) - |x & hub|) + 1 of x in hash order (a prefix filter in which the
-  hub's shingles come last). Bucket and shingle make a smaller bucket. How many of these buckets
-  two share bounds |(x & y) - hub| once more: what is shared beyond either prefix is the end of
-  one ordered list, so at most max(1, needed - |. & hub|) - 1 for one of both; or
+* they share a shingle outside the hub. Bucket and shingle make a smaller bucket, a list; a list whose
+  members are of one component is no use to anyone. Let a set's other lists be ordered from short to
+  long: at the first one that x and y share, all that they share is still to come, so |(x & y) - hub|
+  is at most the lesser of the numbers of lists that either has from there on. A set stays in a list
+  only if |x & hub| and that number reach num / den of its size, so that long lists lose most
+  members, and a pair meets only where the bound lets it be linked; or
 * min(|x & hub|, |y & hub|) alone suffices, which only holds for x + y <= min * (1 + T) / T; a join
   on classes of sizes and of the room that this leaves for the other's size finds those pairs.
 
 All first buckets with one hub are one bucket, so a set's shingles are carried on once for each
-hub it meets (about one), not for each band. Smaller buckets of up to FEW members are compared in
-full, wider ones too while PAIRS allows it, as each further round carries shingles anew; the largest
-get hubs of their own in the next round, until no bucket holds two components.
+hub it meets (about one), not for each band. Lists of up to FEW members are compared in full; in
+wider ones, while PAIRS allows it, members meet by those classes too, as each further round carries
+shingles anew; the largest get hubs of their own in the next round, until no bucket holds two components.
 Those that come from one bucket and choose the same hub are one bucket again; it is a part of that
 bucket and lacks the hub, so from there on buckets only shrink and rounds come to an end.
 """
@@ -37,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.llm import bloom
@@ -46,8 +47,8 @@ from quarrylane.llm.common import HOT_SHARE, Workspace, attach, portions, stash,
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared without another hub.
 FEW = 50
-#: Buckets beyond FEW are compared in full too, up to FEW << WIDER members, while their ordered pairs
-#: are at most this many for each document.
+#: Buckets beyond FEW need no hub either, up to FEW << WIDER members, while their pairs of a member
+#: that isn't linked to the hub and any other are at most this many for each document.
 PAIRS, WIDER = 100, 6
 #: Partners of a set that one task compares with it.
 PARTNERS = 250
@@ -182,10 +183,17 @@ def _with_comp(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _open(members: DataFrame, work: Workspace) -> DataFrame:
-    """Members of buckets that hold two components or more, with the bucket's size m."""
+def _open(members: DataFrame, work: Workspace, sift: bool = False) -> DataFrame:
+    """Members of buckets that hold two components or more, with the bucket's size m.
+
+    ``sift``: few members are expected to be of such buckets; a filter keeps the others from shuffling again.
+    """
     kinds = work.stash(members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "m"), "open")
-    total = kinds.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("t")).first().t
+    count, total = kinds.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    if sift:
+        log2 = bloom.log_bits(count)
+        bitmaps = bloom.build(kinds, "key", log2)
+        members = work.stash(bloom.flag(members, F.col("key"), bitmaps, log2, "maybe").filter("maybe").drop("maybe"), "maybe")
     return attach(members, kinds, "key", "m", max(1, total))
 
 
@@ -212,7 +220,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     nodes = work.stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     turn = Workspace(rows.sparkSession, "round")
-    members = _open(nodes.select("node", F.explode("bands").alias("key")).withColumn("comp", F.col("node")), turn)
+    members = _open(nodes.select("node", F.explode("bands").alias("key")).withColumn("comp", F.col("node")), turn, sift=True)
     # all buckets with one hub are one bucket, so that a node has a row for each hub, not for each band
     members = turn.stash(members.select(F.lit(0).cast("long").alias("parent"), "key", "node", "m"), "buckets")
     involved = work.stash(members.groupBy("node").agg(F.sum("m").alias("mates")).join(nodes.select("node", "print", "n_shingles", "first_id"), "node"), "involved")
@@ -255,7 +263,8 @@ def _involved_sets(rows: DataFrame, involved: DataFrame, width: int, work: Works
     bitmaps = bloom.build(involved.select(F.xxhash64("first_id").alias("_key")), "_key", log2)
     again = bloom.flag(rows, F.xxhash64("doc_id"), bitmaps, log2, "maybe").filter("maybe").select("text")
     again = again.mapInArrow(_sets(width), "print string, shingles array<long>")
-    one = again.join(involved, "print").groupBy("node").agg(F.first("mates").alias("mates"), F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
+    one = again.join(involved, "print").groupBy("print", "node").agg(F.first("mates").alias("mates"), F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
+    one = one.drop("print")  # the join has dealt by it, so the grouping doesn't shuffle
     # in buckets, so that no round shuffles the sets
     spark, name = rows.sparkSession, f"sets_{uuid.uuid4().hex}"
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -263,8 +272,8 @@ def _involved_sets(rows: DataFrame, involved: DataFrame, width: int, work: Works
     return spark.table(name), name
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], work: Workspace) -> DataFrame:
-    """Pairs (a, b) compared on their full sets: sizes, common, linked, b's shingles outside a.
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], work: Workspace, outside: bool = False) -> DataFrame:
+    """Pairs (a, b) compared on their full sets: sizes, common, linked; if asked for, b's shingles outside a.
 
     A set with very many partners, on either side, goes to several tasks; there are HOT_SHARE such
     sets a side at most. Sets of few partners are read where they lie, in buckets of their node.
@@ -291,10 +300,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], work:
     many = many.join(own.join(F.broadcast(heavy_b), "b").withColumn("b_part", parts("b")).drop("b_more"), ["b", "b_part"]).drop("b_part")
     both = few.unionByName(many).join(hub, ["a", "part"]).withColumn("common", F.size(F.array_intersect("b_set", "a_set")).cast("long"))
     linked = den * F.col("common") >= num * (F.col("n") + F.col("a_n") - F.col("common"))
-    needed = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
-    prefix = F.greatest(F.lit(1), F.col("n") - F.col("common") - F.greatest(F.lit(1), needed - F.col("common")) + 1).cast("int")
-    outside = F.slice(F.array_except("b_set", "a_set"), F.lit(1), prefix)
-    return work.stash(both.select("a", "b", "n", "common", linked.alias("linked"), outside.alias("outside")), "compared")
+    beyond = [F.array_except("b_set", "a_set").alias("outside")] if outside else []
+    return work.stash(both.select("a", "b", "n", "common", linked.alias("linked"), *beyond), "compared")
 
 
 def _compare_hubs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +311,7 @@ def _compare_hubs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
     seated = attach(members.select("parent", "key", "node"), hubs, "key", "m", max(1, members.count())).filter("node <> hub")
     seated = work.stash(seated.select(F.xxhash64("parent", "hub").alias("key"), "hub", "node").distinct(), "seated")
     pairs = seated.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    return _verify(pairs, sets, threshold, work).withColumnsRenamed({"a": "hub", "b": "node"}), seated
+    return _verify(pairs, sets, threshold, work, outside=True).withColumnsRenamed({"a": "hub", "b": "node"}), seated
 
 
 def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, threshold: tuple[int, int], n_docs: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -312,43 +319,38 @@ def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, thr
     num, den = threshold
     rest = _open(_with_comp(seated, labels), work).select("key", "hub", "node", "comp").join(compared, ["hub", "node"])
     rest = work.stash(rest.select("key", "node", "comp", "n", "common", "linked", "outside"), "rest")
-    shared = rest.select(F.explode("outside").alias("s"), F.col("key").alias("parent"), "node", "comp", "n", "common", "linked")
-    shared = _open(work.stash(shared.withColumn("key", F.xxhash64("parent", "s")).drop("s"), "outside"), work)  # exploded once
-    shared = work.stash(shared, "shared")
-    # larger buckets too, while their pairs are a bounded number for each document: that saves rounds
+    shared = rest.select(F.explode("outside").alias("s"), F.col("key").alias("parent"), "node", "comp")
+    shared = _open(shared.select(F.xxhash64("parent", "s").alias("key"), "parent", "node", "comp"), work, sift=True)
+    # rem: how many lists a set has from this one on, the short ones first
+    sizes = rest.select(F.col("key").alias("parent"), "node", "n", "common", "linked")
+    onward = Window.partitionBy("parent", "node").orderBy(F.desc("m"), F.desc("key"))
+    shared = shared.withColumn("rem", F.row_number().over(onward).cast("long")).join(sizes, ["parent", "node"])
+    shared = work.stash(shared.filter((F.col("common") + F.col("rem")) * den >= F.col("n") * num), "shared")
+    # wider lists too, while their pairs are a bounded number for each document: that saves rounds
     limits = [FEW << i for i in range(WIDER + 1)]
-    *work_of, widest = shared.agg(*[F.coalesce(F.sum(F.when((F.col("m") > FEW) & (F.col("m") <= k), F.col("m"))), F.lit(0)) for k in limits], F.coalesce(F.max("m"), F.lit(0))).first()
+    work_of = shared.agg(*[F.coalesce(F.sum(F.when(~F.col("linked") & (F.col("m") > FEW) & (F.col("m") <= k), F.col("m"))), F.lit(0)) for k in limits]).first()
     few = max(k for k, pairs_of in zip(limits, work_of, strict=True) if k == FEW or pairs_of <= PAIRS * n_docs)
-    # what two may share outside the hub that buckets of up to few members don't show
-    beyond = F.greatest(F.lit(1), F.ceil(F.lit(num) * F.col("n") / F.lit(den)) - F.col("common")) - 1
-    known = shared.filter(F.col("m") <= few).withColumn("beyond", beyond)
-    if widest > few:
-        wide = work.stash(shared.filter(F.col("m") > few).groupBy("parent", "node").agg(F.count("*").alias("wide")), "wide")
-        known = known.join(wide, ["parent", "node"], "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
-    else:
-        known = known.withColumn("wide", F.lit(0))
-    x = known.select("key", "parent", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common", "linked", "beyond", "wide")])
-    y = x.select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("node", "comp", "n", "common", "linked", "beyond", "wide")])
-    apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & ~(F.col("x_linked") & F.col("y_linked"))
-    alike = (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")) & ((F.least("x_common", "y_common") + F.least(F.col("x_n") - F.col("x_common"), F.col("y_n") - F.col("y_common"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
-    hidden = F.least("x_wide", "y_wide") + F.greatest("x_beyond", "y_beyond")
-    most = F.least("x_common", "y_common") + hidden
-    counted = x.join(y, "key").filter(apart & alike).select("parent", "x_node", "y_node", most.alias("most"), (F.col("x_n") + F.col("y_n")).alias("both"))
-    counted = counted.groupBy("parent", "x_node", "y_node").agg(F.max("most").alias("most"), F.max("both").alias("both"), F.count("*").alias("met"))
-    by_shingle = counted.filter((F.col("most") + F.col("met")) * (num + den) >= F.col("both") * num).select("x_node", "y_node")
-
-    # with room(z) = |z & hub| * (1 + T) / T - |z|, the second condition is |y| <= room(x) and
-    # |x| <= room(y); sizes in classes of 12 % and rooms in classes of 25 %, so that few but the
-    # fitting pairs meet and a set is in few classes; edge takes up rounding
+    fields = ("node", "comp", "n", "common", "linked", "rem")
+    fits = (F.col("x_comp") != F.col("y_comp")) & (F.col("y_linked") | (F.col("x_node") < F.col("y_node")))
+    fits &= (F.least("x_common", "y_common") + F.least("x_rem", "y_rem")) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num
+    side = lambda rows, name, *more: rows.select("key", *[F.col(c).alias(f"{name}_{c}") for c in fields], *more)
+    narrow = shared.filter(F.col("m") <= FEW)
+    by_shingle = side(narrow.filter("not linked"), "x").join(side(narrow, "y"), "key").filter(fits).select("x_node", "y_node")
+
+    # what may be common is |z & hub| + rem, in the bucket itself |z & hub|; with
+    # room(z) = that * (1 + T) / T - |z|, a pair needs |y| <= room(x) and |x| <= room(y); sizes in
+    # classes of 12 % and rooms in classes of 25 %, so that few but the fitting pairs meet and a set
+    # is in few classes; edge takes up rounding
     edge = 1e-9
     cls = lambda v, width: F.floor(F.log(v) / F.lit(math.log(width)))
     classes = lambda low, high, width: F.explode(F.sequence(cls(low * (1 - edge), width), F.greatest(cls(low * (1 - edge), width), cls(high * (1 + edge), width))))
-    n, room = F.col("n"), F.col("common") * (num + den) / F.lit(num) - F.col("n")
-    roomy = rest.withColumn("room", room)
-    x = roomy.filter(~F.col("linked") & (F.col("room") >= n * num / F.lit(den) * (1 - edge))).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "common")], classes(n * num / F.lit(den), F.col("room"), 1.12).alias("c"))
+    wide = shared.filter((F.col("m") > FEW) & (F.col("m") <= few)).select("key", *fields)
+    roomy = rest.withColumn("rem", F.lit(0).cast("long")).select("key", *fields).unionByName(wide)
+    n = F.col("n")
+    roomy = roomy.withColumn("room", (F.col("common") + F.col("rem")) * (num + den) / F.lit(num) - n)
+    x = side(roomy.filter(~F.col("linked") & (F.col("room") >= n * num / F.lit(den) * (1 - edge))), "x", classes(n * num / F.lit(den), F.col("room"), 1.12).alias("c"))
     x = x.withColumn("r", classes(F.col("x_n"), F.col("x_n") * (den * den) / F.lit(num * num), 1.25))
-    y = roomy.filter("room > 0.99").select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "common")], cls(n, 1.12).alias("c"), cls(F.col("room"), 1.25).alias("r"))
-    fits = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_common", "y_common") * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
+    y = side(roomy.filter("room > 0.99"), "y", cls(n, 1.12).alias("c"), cls(F.col("room"), 1.25).alias("r"))
     by_size = x.join(y, ["key", "c", "r"]).filter(fits).select("x_node", "y_node")
     pairs = by_shingle.unionByName(by_size).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return pairs, shared.filter(F.col("m") > few).select("parent", "key", "node")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarrylane.llm import bpe, dedup, mixing, neardup, quality, queries, secrets, tokens, toxicity, urls, warc
+from quarrylane.llm import bpe, common, dedup, mixing, neardup, quality, queries, secrets, tokens, toxicity, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n", "a", "É \x85 x\xa0y", "word " * 3000, "日本語 テスト <|endoftext|> x", "same text here now", "same  text\there now", "same text here now"]
@@ -111,6 +111,26 @@ def test_near_dedup_leaves_out_pairs_by_what_they_share(spark, monkeypatch):
     assert len(pairs) == 2 and sum(pairs) < 3 * 60
 
 
+def test_near_dedup_lists_hold_only_what_may_be_linked(spark, monkeypatch):
+    """Forty texts share most with forty near copies, too little for a link; all but the hub hold the words it lacks."""
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(40)]
+    texts += [" ".join([*base[:75], *(f"u{k}.{i}" for i in range(25))]) for k in range(40)]
+    met, stash = [], common.Workspace.stash
+
+    def spy(self, df, label):
+        out = stash(self, df, label)
+        if label == "shared":
+            lists = out.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("u"))
+            met.append(lists.agg(F.coalesce(F.sum(F.col("m") * F.col("u")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(common.Workspace, "stash", spy)
+    got = {r.doc_id: r.component_id for r in neardup.link_documents(docs(spark, texts), width=4).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4)[1]
+    assert met and sum(met) <= 10 * len(texts), met
+
+
 def test_near_dedup_null_and_repeated_ids(spark):
     """One row of each component stays, whatever the ids; rows of other texts aren't taken along."""
     rng = random.Random(9)
