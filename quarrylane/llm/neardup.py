@@ -311,7 +311,7 @@ def _compare_hubs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
     seated = attach(members.select("parent", "key", "node"), hubs, "key", "m", max(1, members.count())).filter("node <> hub")
     seated = work.stash(seated.select(F.xxhash64("parent", "hub").alias("key"), "hub", "node").distinct(), "seated")
     pairs = seated.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    return _verify(pairs, sets, threshold, work, outside=True).withColumnsRenamed({"a": "hub", "b": "node"}), seated
+    return _verify(pairs, sets, threshold, work, True).withColumnsRenamed({"a": "hub", "b": "node"}), seated
 
 
 def _what_is_left(compared: DataFrame, seated: DataFrame, labels: DataFrame, threshold: tuple[int, int], n_docs: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
