@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylane.llm.common import text_of
+from quarrylane.llm.common import give_back, text_of
 
 #: Words of each of two generations that a worker remembers, and their greatest length.
 REMEMBERED, LONGEST = 100_000, 100
@@ -92,6 +92,9 @@ class ForcedBoundaries:
             self.words[word] = packed
         return packed
 
+    def forget(self) -> None:
+        self.words, self.older = {}, {}
+
     def split(self, text: str) -> list[str]:
         """The normalized words of a text without special strings."""
         if PLAIN.fullmatch(text):
@@ -158,6 +161,9 @@ def _round_trip(path: str, with_ids: bool = False):
                 ends = pa.array(itertools.accumulate((len(p) // 4 for p in packed), initial=0), pa.int32())
                 columns = {"ids": pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))} | columns
             yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+        # the worker lives on for other stages
+        e.forget()
+        give_back()
 
     return run
 
@@ -168,6 +174,8 @@ def _ids(path: str):
         e = encoder(path)
         for texts in batches:
             yield pa.array([e.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32()))
+        e.forget()
+        give_back()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,17 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return near.unionByName(far)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system, as the worker lives on for other stages.
+
+    Arrow and the C library keep what was freed; the latter for each thread that a tokenizer had.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def portions(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most ``limit`` bytes in the column numbered ``text``, or one row."""
     for batch in batches:

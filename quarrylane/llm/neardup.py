@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.llm import bloom
-from quarrylane.llm.common import HOT_SHARE, Workspace, attach, portions, stash, text_of
+from quarrylane.llm.common import HOT_SHARE, Workspace, attach, give_back, portions, stash, text_of
 
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared without another hub.
@@ -127,6 +127,7 @@ def _sign(width: int):
                 bands[i] = row
             prints = [fingerprint(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"])
+        give_back()
 
     return run
 
@@ -136,6 +137,7 @@ def _sets(width: int):
         for batch in portions(batches, 0):
             sets = shingle_sets(batch.column(0).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) if len(s) else "" for s in sets]), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["print", "shingles"])
+        give_back()
 
     return run
 

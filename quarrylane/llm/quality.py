@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import tokens
-from quarrylane.llm.common import SPACES, portions, text_of
+from quarrylane.llm.common import SPACES, give_back, portions, text_of
 
 
 @dataclass(frozen=True)
@@ -273,6 +273,7 @@ def _judge(path: str, multi_path: str):
             yield pa.StructArray.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
         # the worker lives on for other stages
         model.forget()
+        give_back()
 
     return run
 

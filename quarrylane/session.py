@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of the batches that Python workers get, where the session has no limit of its own, and the setting.
+BATCH, BATCH_LIMIT = 1 << 21, "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -22,6 +24,12 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for stages on whole texts: 10,000 of these are copied several times on both sides."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder in the shared folder of ``spark.checkpoint.dir``; a temporary one only where a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
